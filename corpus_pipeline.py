@@ -1,18 +1,45 @@
-"""A filtering pipeline over `documents`; each stage works on what the one before kept."""
+"""A filtering pipeline over `documents`; each stage works on what the one before kept.
+
+Stages return the columns of documents, but for the last, which returns a row for each
+piece of a packed document. Secrets are cut out of the texts that hold them; the other
+filters drop documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import packing, queries
+from seqloom.llm import decontamination, near_duplicates, packing, quality, queries, secrets
 from seqloom.llm.common import documents, saved
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Model scores, similarity classes and packing have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
