@@ -12,14 +12,18 @@ with probability (1 - 0.8**4)**24 = 3e-6.
 Classes are found without listing all pairs of a group:
 
 1. documents of one shingle set are one node;
-2. in each bucket all nodes are linked to its least node only, and each node keeps
-   its least partner; these links are checked by exact Jaccard similarity;
-3. only buckets that still hold several components list pairs, and only pairs of
-   different components; these are checked as well;
+2. in rounds, each bucket that holds several components names a center by chance, and
+   its nodes of other components are held against it. Of the centers whose signature
+   agrees with a node's in at least `LEAST_AGREED` coordinates (of similar pairs all but
+   one in a million do), the best ones are checked by exact Jaccard similarity, and good
+   links join components. A round costs one row a node and bucket;
+3. once the pairs of different components within buckets are few, at most `OPEN_PAIRS`
+   for each node (or after `MAX_ROUNDS`), they are listed, and those with enough agreement
+   are checked, all of them;
 4. components of all good links are the classes.
 
-Links within one component found in step 2 cannot change the classes, so that step 3
-loses none. Every decision rests on the Jaccard similarity of the shingle sets.
+Links inside a component cannot change the classes, and step 3 lists all other pairs of
+a bucket, so that none is lost. Every decision rests on the similarity of shingle sets.
 
 Defined cases: null text is the empty text; a text of fewer than five words is one
 shingle of all its words; texts without words are copies of each other; rows of equal
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
@@ -45,6 +49,14 @@ SIMILARITY = 0.8
 BAND_ROWS = 4
 N_BANDS = 24
 K = BAND_ROWS * N_BANDS
+#: Coordinates in which the signatures of a pair must agree to be checked: more than six
+#: standard deviations below what a similarity of 0.8 gives.
+LEAST_AGREED = 52
+#: Centers that a node is checked against in one round.
+BEST = 2
+MAX_ROUNDS = 8
+#: Pairs of different components that are listed at once: so many, or this multiple of the nodes that share buckets.
+FEW_PAIRS, OPEN_PAIRS = 50_000, 1.0
 #: Chance that a Poisson(1) count is at most 0, 1, 2, ...
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _U = np.uint64
@@ -142,7 +154,8 @@ def row_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, node, bands) a row; node names the shingle set."""
+    """(doc_key, text_key, node, sketch) a row; node names the shingle set, sketch is its
+    signature, null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,14 +167,41 @@ def sketches(docs: DataFrame) -> DataFrame:
                     elements.append(e)
                     weights.append(1 + np.log2(c))
                     nodes.append(int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=8).digest(), "little", signed=True))
-                keys = band_keys(signatures(elements, weights))
-                bands = [k if len(e) else [] for k, e in zip(keys, elements, strict=True)]
+                found = [s.tobytes() if len(e) else None for s, e in zip(signatures(elements, weights), elements, strict=True)]
                 part = batch.slice(first, 64)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_key", "text_key", "node", "bands"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["doc_key", "text_key", "node", "sketch"])
 
     text = text_or_empty()
     picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_key"), row_key(text).alias("text_key"), text.alias("text"))
-    return picked.mapInArrow(run, "doc_key long, text_key long, node long, bands array<long>")
+    return picked.mapInArrow(run, "doc_key long, text_key long, node long, sketch binary")
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """(node, key): a row for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = band_keys(stacked(batch.column(1)))
+            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), N_BANDS)), pa.array(keys.ravel())], names=["node", "key"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node long, key long")
+
+
+def stacked(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(len(sketches), K)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree often enough, with `agreed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agreed = (stacked(batch.column(2)) == stacked(batch.column(3))).sum(1)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agreed, pa.int32())], names=["a", "b", "agreed"])
+            yield out.filter(pa.array(agreed >= LEAST_AGREED))
+
+    side = lambda v: nodes.select(F.col("node").alias(v), F.col("sketch").alias(f"sketch_{v}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, agreed int")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -182,6 +222,14 @@ def checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, within: DataFrame) -> DataFrame:
+    """(node, text) of the nodes `within`, from one document of each."""
+    wanted = nodes.join(within, "node", "left_semi").select("node", "first.*")
+    text = text_or_empty()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_key"), row_key(text).alias("text_key"), text.alias("text"))
+    return saved(rows.join(wanted, ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "op7-texts")
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the least node that can
     be reached. Large-star and small-star steps alternate until nothing changes."""
@@ -211,31 +259,45 @@ def components(links: DataFrame, name: str) -> DataFrame:
 def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The sketches, and (node, label) for all nodes that are linked to another."""
     sketched = saved(sketches(docs), "op7-sketches")
-    nodes = sketched.groupBy("node").agg(F.min("bands").alias("bands"))
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
-    buckets = saved(banded.join(shared.select("key", "center"), "key"), "op7-buckets")
-
-    # Texts of the nodes that share a bucket, one of each.
-    within = buckets.select("node").distinct()
-    wanted = sketched.groupBy("node").agg(F.min(F.struct("doc_key", "text_key")).alias("first")).join(within, "node").select("node", "first.*")
-    text = text_or_empty()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_key"), row_key(text).alias("text_key"), text.alias("text"))
-    texts = saved(rows.join(wanted, ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "op7-texts")
-
-    stars = buckets.where("node <> center").groupBy("node").agg(F.min("center").alias("b")).select(F.col("node").alias("a"), "b")
-    links = saved(checked(stars, texts, similarity), "op7-links")
-    labels = components(links, "op7-stars")
-
-    # Pairs of different components, in the buckets that hold several.
-    labelled = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_rows = saved(labelled.join(mixed_keys, "key"), "op7-open")
-    x, y = (open_rows.select("key", F.col("node").alias(v), F.col("label").alias(f"label_{v}")) for v in "ab")
-    tried = stars.select("a", "b")
-    pairs = x.join(y, "key").where("label_a > label_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = saved(checked(pairs, texts, similarity), "op7-links")
-    return sketched, components(links.union(more), "op7-classes")
+    nodes = saved(sketched.where("sketch is not null").groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("doc_key", "text_key")).alias("first")), "op7-nodes")
+    keyed = banded(nodes)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = saved(keyed.join(shared.select("key"), "key"), "op7-buckets")
+    within = saved(buckets.select("node").distinct(), "op7-within")
+    texts = texts_of(docs, nodes, within)
+    allowed = max(FEW_PAIRS, OPEN_PAIRS * within.count())
+
+    links, labels, tried = None, None, None
+    ordered = lambda v, w: (F.greatest(v, w).alias("a"), F.least(v, w).alias("b"))
+    for n_round in range(MAX_ROUNDS + 1):
+        # Rows of the buckets that still hold several components.
+        labelled = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("labels"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / 2).alias("pairs")).where("labels > 1")
+        rows = saved(labelled.join(sizes.select("key", "pairs"), "key"), "op7-open")
+        n_open = rows.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
+        if n_open <= allowed or n_round == MAX_ROUNDS:
+            break
+        drawn = F.struct(F.xxhash64("node", F.lit(n_round)).alias("h"), F.col("node").alias("center"), F.col("label").alias("center_label"))
+        centers = rows.groupBy("key").agg(F.min(drawn).alias("c")).select("key", "c.center", "c.center_label")
+        pairs = rows.join(centers, "key").where("label <> center_label").select(*ordered("node", "center"), "node").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = likely(pairs.select("a", "b").distinct(), nodes)
+        # For each node its best centers; each pair was drawn by one of its two nodes, or both.
+        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agreed"), "a", "b"))
+        chosen = saved(found.join(pairs, ["a", "b"]).withColumn("_r", best).where(F.col("_r") <= BEST).select("a", "b").distinct(), "op7-tried")
+        tried = chosen if tried is None else tried.union(chosen)
+        good = saved(checked(chosen, texts, similarity), "op7-links")
+        links = good if links is None else links.union(good)
+        labels = components(links, "op7-trees")
+
+    x, y = (rows.select("key", F.col("node").alias(v), F.col("label").alias(f"label_{v}")) for v in ("x", "y"))
+    pairs = x.join(y, "key").where("label_x > label_y").select(*ordered("x", "y")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = saved(likely(pairs, nodes).select("a", "b"), "op7-pairs")
+    good = saved(checked(pairs, texts, similarity), "op7-links")
+    return sketched, components(good if links is None else links.union(good), "op7-classes")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

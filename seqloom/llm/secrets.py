@@ -94,9 +94,10 @@ def hot_range(value: Column, threshold: Column) -> Column:
         leaves = F.when(i >= WINDOW, s["symbols"][i - WINDOW]).otherwise(F.lit(0))
         n_in = s["counts"][enters - 1]
         # A symbol that enters as it leaves keeps its count.
-        n_out = F.when(leaves > 0, s["counts"][F.greatest(leaves, F.lit(1)) - 1])
+        n_out = s["counts"][leaves - 1]
         same = enters == leaves
-        total = F.when(same, s["sum"]).otherwise(s["sum"] + weight[n_in + 1] - weight[n_in] + F.coalesce(weight[n_out - 1] - weight[n_out], F.lit(0.0)))
+        without = F.when(leaves > 0, weight[n_out - 1] - weight[n_out]).otherwise(F.lit(0.0))
+        total = F.when(same, s["sum"]).otherwise(s["sum"] + weight[n_in + 1] - weight[n_in] + without)
         counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, j: c + F.when(j == enters - 1, 1).when(j == leaves - 1, -1).otherwise(0)))
         entropy = math.log2(WINDOW) - total / WINDOW
         hot = (i >= WINDOW - 1) & (entropy >= threshold)
