@@ -46,10 +46,10 @@ PASSAGE_WORDS, STRIDE = 128, 64
 SCORE = 0.5
 #: Least share of the question's and of the answer's word triples.
 OVERLAP = 0.6
-#: Postings in a block of the index.
-POSTINGS = 32
-#: Items in one broadcast block; MAX_ITEM_WORDS bounds each.
-BLOCK_ITEMS = 20_000
+#: Postings in a block of the index, items in a group, and the share of an item that its commonest words may have.
+POSTINGS, GROUP, COMMON_SHARE = 32, 1, 0.3
+#: Items in one broadcast block.
+BLOCK_ITEMS = 5_000
 TRIPLE = 3
 
 _WORD = re.compile(r"\w+")
@@ -95,9 +95,51 @@ class Index:
         self.items = [[k for k, _ in p] for p in postings.values()]
         self.impacts = [[x for _, x in p] for p in postings.values()]
         self.greatest = np.array([max(p) for p in self.impacts] or [0.0])
+        self._group()
         self.block_ends = [[p[min(i + POSTINGS, len(p)) - 1] for i in range(0, len(p), POSTINGS)] for p in self.items]
         self.block_max = [[max(p[i : i + POSTINGS]) for i in range(0, len(p), POSTINGS)] for p in self.impacts]
 
+    def _group(self) -> None:
+        """Sparse rows (term -> group, greatest impact) of the scarcer words, and what the
+        common ones can add to an item of each group."""
+        common_part = np.zeros(len(self.ids))
+        scarce = np.ones(len(self.items), bool)
+        for t in sorted(range(len(self.items)), key=lambda t: (-len(self.items[t]), t)):
+            more = common_part.copy()
+            more[self.items[t]] += self.impacts[t]
+            if len(self.items[t]) == 1 or more.max(initial=0) > COMMON_SHARE:
+                break
+            common_part, scarce[t] = more, False
+        self.n_groups = -(-len(self.ids) // GROUP)
+        self.granted = np.zeros(self.n_groups)
+        np.maximum.at(self.granted, np.arange(len(self.ids)) // GROUP, common_part)
+        groups, tops, sizes = [], [], []
+        for t, (items, impacts) in enumerate(zip(self.items, self.impacts, strict=True)):
+            of: dict[int, float] = {}
+            if scarce[t]:
+                for k, x in zip(items, impacts, strict=True):
+                    of[k // GROUP] = max(of.get(k // GROUP, 0.0), x)
+            groups += of
+            tops += of.values()
+            sizes.append(len(of))
+        self.group_of, self.top_of = np.array(groups, np.int64), np.array(tops)
+        self.row_size = np.array(sizes, np.int64)
+        self.row_start = np.cumsum(self.row_size) - self.row_size
+
+    def promising(self, terms: np.ndarray, known: np.ndarray, threshold: float) -> np.ndarray:
+        """Numbers of the passages that some group's bound lets reach the threshold."""
+        at = np.flatnonzero(known)
+        # Each word once a stride.
+        part, word = np.divmod(np.unique(at // STRIDE * len(self.items) + terms[at]), max(1, len(self.items)))
+        sizes = self.row_size[word]
+        entry = np.repeat(self.row_start[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        steps = -(-len(terms) // STRIDE)
+        sums = np.bincount(np.repeat(part, sizes) * self.n_groups + self.group_of[entry], self.top_of[entry], steps * self.n_groups).reshape(steps, self.n_groups)
+        whole = sums.copy()
+        for i in range(1, PASSAGE_WORDS // STRIDE):
+            whole[:-i] += sums[i:]
+        return np.flatnonzero((whole + self.granted >= threshold - 1e-9).any(1))
+
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of every item with a score of at least `threshold`: block-max WAND."""
         cursors = [[self.items[t][0], 0, t] for t in terms]  # item, position, term
@@ -152,16 +194,10 @@ class Index:
             return []
         terms = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), np.int64, len(words))
         known = terms >= 0
-        sums = np.zeros(len(words) + 1)
-        np.cumsum(np.where(known, self.greatest[terms], 0.0), out=sums[1:])
-        starts = np.arange(0, max(1, len(words) - PASSAGE_WORDS + STRIDE), STRIDE)
-        ends = np.minimum(starts + PASSAGE_WORDS, len(words))
         best: dict[int, tuple] = {}
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= score):
-            first, last = int(starts[k]), int(ends[k])
+        for k in self.promising(terms, known, score):
+            first, last = int(k) * STRIDE, min(int(k) * STRIDE + PASSAGE_WORDS, len(words))
             distinct = np.unique(terms[first:last][known[first:last]])
-            if self.greatest[distinct].sum() < score - 1e-9:
-                continue
             around = None
             for item, got in self.above(distinct.tolist(), score):
                 if around is None:

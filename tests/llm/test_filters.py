@@ -44,7 +44,7 @@ def test_block_max_wand_finds_all_above():
             assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
 
 
-@pytest.mark.parametrize("block_items", [20_000, 1])
+@pytest.mark.parametrize("block_items", [5_000, 1])
 def test_leaks_and_clean(spark, block_items):
     rng = random.Random(3)
     rows = texts(20)
