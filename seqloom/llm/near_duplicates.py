@@ -54,7 +54,7 @@ K = BAND_ROWS * N_BANDS
 LEAST_AGREED = 52
 #: Centers that a node is checked against in one round.
 BEST = 2
-MAX_ROUNDS = 8
+MAX_ROUNDS = 3
 #: Pairs of different components that are listed at once: so many, or this multiple of the nodes that share buckets.
 FEW_PAIRS, OPEN_PAIRS = 50_000, 1.0
 #: Chance that a Poisson(1) count is at most 0, 1, 2, ...
@@ -288,6 +288,8 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         chosen = saved(found.join(pairs, ["a", "b"]).withColumn("_r", best).where(F.col("_r") <= BEST).select("a", "b").distinct(), "op7-tried")
         tried = chosen if tried is None else tried.union(chosen)
         good = saved(checked(chosen, texts, similarity), "op7-links")
+        if not good.take(1):
+            break
         links = good if links is None else links.union(good)
         labels = components(links, "op7-trees")
 
