@@ -19,6 +19,8 @@ SUB, INS, DEL = 0, 1, 2
 KEY = ["state1", "stat", "state2", "top_sym", "bot_sym"]
 #: A model table above so many numbers is not sent to the executors.
 MAX_TABLE = 50_000_000
+#: Alphabets up to this size are written into the expression that codes letters.
+MAX_LITERALS = 500
 
 
 def build_alphabet(sequences: DataFrame) -> DataFrame:
@@ -41,7 +43,13 @@ def validate_letters(sequences: DataFrame, alphabet: DataFrame) -> DataFrame:
 
 def with_letter_ids(sequences: DataFrame, alphabet: DataFrame) -> DataFrame:
     """sequences with `ids` in place of letters; an unknown letter is an error."""
-    rows = alphabet.collect()  # one a letter
+    rows = alphabet.limit(MAX_LITERALS + 1).collect()
+    if len(rows) > MAX_LITERALS:
+        key = [c for c in sequences.columns if c != "letters"]
+        each = sequences.select("group_id", "sequence_id", F.posexplode("letters").alias("_i", "letter")).join(alphabet, "letter", "left")
+        known = each.withColumn("letter_id", F.coalesce("letter_id", F.raise_error(F.concat(F.lit("unknown letter "), "letter")).cast("int")))
+        ids = known.groupBy("group_id", "sequence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "letter_id"))), lambda x: x["letter_id"]).alias("ids"))
+        return sequences.join(ids, ["group_id", "sequence_id"], "left").select(*key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     known = F.create_map(*[v for r in rows for v in (F.lit(r.letter), F.lit(r.letter_id))])
     found = F.transform("letters", lambda x: F.coalesce(F.try_element_at(known, x), F.raise_error(F.concat(F.lit("unknown letter "), x)).cast("int")))
     return sequences.withColumn("ids", found).drop("letters")

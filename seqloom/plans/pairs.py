@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.kernels import Batch, Weights
+from ..sources.shared import numbered
 
 #: Cells of one padded batch of pairs.
 BATCH_CELLS = 400_000
@@ -19,14 +20,20 @@ BATCH_CELLS = 400_000
 
 def sequence_pairs(coded: DataFrame, statistic: Column | None = None) -> DataFrame:
     """(group_id, top_id, bot_id, top, bot, stat) for sequences (group_id, sequence_id,
-    ord, ids): all pairs of a group, the earlier one on top. The pairs of one group are
-    then dealt out over tasks."""
+    ord, ids): all pairs of a group, the earlier one on top. `dealt_out` spreads the pairs
+    of a large group over tasks."""
     a = coded.select("group_id", F.col("sequence_id").alias("top_id"), F.col("ord").alias("_a"), F.col("ids").alias("top"))
     b = coded.select("group_id", F.col("sequence_id").alias("bot_id"), F.col("ord").alias("_b"), F.col("ids").alias("bot"))
     stat = F.lit(0) if statistic is None else statistic
     return a.join(b, "group_id").where("_a < _b").select("group_id", "top_id", "bot_id", "top", "bot", stat.alias("stat"))
 
 
+def dealt_out(pairs: DataFrame, n: int | None = None) -> DataFrame:
+    """The pairs hashed over tasks, where a few large groups hold most of them."""
+    key = ["group_id", "top_id", "bot_id"]
+    return pairs.repartition(n, *key) if n else pairs.repartition(*key)
+
+
 def taxa_pairs(sequences: DataFrame) -> DataFrame:
     """(id1, id2): distinct pairs of sequence ids that share a group, id1 < id2."""
     a = sequences.select("group_id", F.col("sequence_id").alias("id1"))
@@ -36,8 +43,8 @@ def taxa_pairs(sequences: DataFrame) -> DataFrame:
 
 def pair_statistic_index(sequences: DataFrame) -> DataFrame:
     """(id1, id2, label, stat): a number for each pair of ids, for pair-specific models."""
-    by = Window.orderBy("id1", "id2")  # pairs of taxa only
-    return taxa_pairs(sequences).select("id1", "id2", F.concat_ws("|", "id1", "id2").alias("label"), (F.dense_rank().over(by) - 1).cast("int").alias("stat"))
+    found = numbered(taxa_pairs(sequences), "stat", "id1", "id2")
+    return found.select("id1", "id2", F.concat_ws("|", "id1", "id2").alias("label"), F.col("stat").cast("int").alias("stat"))
 
 
 def with_statistics(pairs: DataFrame, index: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def train(
     if pair_specific:
         index = pairs.pair_statistic_index(sequences).cache()
         paired, statistics = pairs.with_statistics(paired, index), index
-    paired = paired.cache()
+    paired = pairs.dealt_out(paired).cache()
     features = model.transition_features(alphabet, letter_features, statistics, use_letter_pairs, use_long_gaps).cache()
     weights = init_weights(spark, initial)
     center = regularization_centers(spark, centers, weights)
@@ -82,7 +82,7 @@ def align_groups(sequences: DataFrame, weights: DataFrame | None = None, letter_
     alphabet = model.build_alphabet(sequences)
     n = alphabet.count()
     table = current_model(model.transition_features(alphabet, letter_features), weights if weights is not None else zero_weights(sequences.sparkSession), n)
-    paired = pairs.sequence_pairs(model.with_letter_ids(sequences, alphabet))
+    paired = pairs.dealt_out(pairs.sequence_pairs(model.with_letter_ids(sequences, alphabet)))
     edges = pairs.pair_posteriors(paired, table, n, over=min(thresholds or [0.0]))
     if thresholds:
         return construct.consensus_grid(sequences, edges, thresholds)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
 
@@ -25,3 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its rows numbered from 0 in the given order, without bringing them into one
+    task: ranges are numbered by themselves, after the number of rows before each."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    ranges = saved(ranges, "numbered")
+    sizes = {r["_range"]: r["n"] for r in ranges.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # one a range
+    if not sizes:
+        return ranges.drop("_range").withColumn(name, F.lit(0).cast("long"))
+    before, total = [0] * (max(sizes) + 1), 0
+    for r in range(max(sizes) + 1):
+        before[r], total = total, total + sizes.get(r, 0)
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn(name, (within + F.array(*map(F.lit, before))[F.col("_range")]).cast("long")).drop("_range")

@@ -205,3 +205,22 @@ def test_reweighted_pairs(spark, zero):
     assert row > 0.8
     other = got[got.aln_id != "homologous group 1"]
     assert np.allclose(sorted(other.score), sorted([91 / 111, 91 / 111, 13 / 222, 13 / 222]))
+
+
+def test_large_alphabets_are_joined(spark, sequences, monkeypatch):
+    alphabet = model.build_alphabet(sequences)
+    one = model.with_letter_ids(sequences, alphabet).collect()
+    monkeypatch.setattr(model, "MAX_LITERALS", 2)
+    two = model.with_letter_ids(sequences, alphabet)
+    assert sorted(two.collect()) == sorted(one)
+    with pytest.raises(Exception, match="unknown letter"):
+        model.with_letter_ids(sequences, alphabet.where("letter_id < 2").union(spark.createDataFrame([("x", 2), ("y", 3)], "letter string, letter_id int"))).collect()
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    from seqloom.sources.shared import numbered
+
+    rows = [(i * 37 % 101,) for i in range(101)]
+    got = numbered(spark.createDataFrame(rows, "v int"), "k", "v").collect()
+    assert sorted((r.k, r.v) for r in got) == [(i, i) for i in range(101)]
+    assert numbered(spark.createDataFrame([], "v int"), "k", "v").count() == 0
