@@ -12,8 +12,9 @@ with probability (1 - 0.8**4)**24 = 3e-6.
 Classes are found without listing all pairs of a group:
 
 1. documents of one shingle set are one node;
-2. in rounds, each bucket that holds several components names a center by chance, and
-   its nodes of other components are held against it. Of the centers whose signature
+2. in rounds, each bucket that holds several components names a center, and its nodes of
+   other components are held against it: first the node that shares buckets with most
+   others, as the text does that a group was copied from, then one by chance. Of the centers whose signature
    agrees with a node's in at least `LEAST_AGREED` coordinates (of similar pairs all but
    one in a million do), the best ones are checked by exact Jaccard similarity, and good
    links join components. A round costs one row a node and bucket;
@@ -54,7 +55,7 @@ K = BAND_ROWS * N_BANDS
 LEAST_AGREED = 52
 #: Centers that a node is checked against in one round.
 BEST = 2
-MAX_ROUNDS = 3
+MAX_ROUNDS = 2
 #: Pairs of different components that are listed at once: so many, or this multiple of the nodes that share buckets.
 FEW_PAIRS, OPEN_PAIRS = 50_000, 1.0
 #: Chance that a Poisson(1) count is at most 0, 1, 2, ...
@@ -262,8 +263,9 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     nodes = saved(sketched.where("sketch is not null").groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("doc_key", "text_key")).alias("first")), "op7-nodes")
     keyed = banded(nodes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = saved(keyed.join(shared.select("key"), "key"), "op7-buckets")
-    within = saved(buckets.select("node").distinct(), "op7-within")
+    buckets = saved(keyed.join(shared, "key"), "op7-buckets")
+    within = saved(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "op7-within")
+    buckets = buckets.select("key", "node")
     texts = texts_of(docs, nodes, within)
     allowed = max(FEW_PAIRS, OPEN_PAIRS * within.count())
 
@@ -277,8 +279,9 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         n_open = rows.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
         if n_open <= allowed or n_round == MAX_ROUNDS:
             break
-        drawn = F.struct(F.xxhash64("node", F.lit(n_round)).alias("h"), F.col("node").alias("center"), F.col("label").alias("center_label"))
-        centers = rows.groupBy("key").agg(F.min(drawn).alias("c")).select("key", "c.center", "c.center_label")
+        drawn = F.struct((-F.col("degree")).alias("d"), F.xxhash64("node", F.lit(n_round)).alias("h"), F.col("node").alias("center"), F.col("label").alias("center_label"))
+        ranked = rows.join(within, "node") if n_round == 0 else rows.withColumn("degree", F.lit(0))
+        centers = ranked.groupBy("key").agg(F.min(drawn).alias("c")).select("key", "c.center", "c.center_label")
         pairs = rows.join(centers, "key").where("label <> center_label").select(*ordered("node", "center"), "node").distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
