@@ -16,7 +16,7 @@ Classes are found without listing all pairs of a group:
    other components are held against it: first the node that shares buckets with most
    others, as the text does that a group was copied from, then one by chance. Of the centers whose signature
    agrees with a node's in at least `LEAST_AGREED` coordinates (of similar pairs all but
-   one in a million do), the best ones are checked by exact Jaccard similarity, and good
+   one in a hundred thousand do), the best ones are checked by exact Jaccard similarity, and good
    links join components. A round costs one row a node and bucket;
 3. once the pairs of different components within buckets are few, at most `OPEN_PAIRS`
    for each node (or after `MAX_ROUNDS`), they are listed, and those with enough agreement
@@ -50,9 +50,9 @@ SIMILARITY = 0.8
 BAND_ROWS = 4
 N_BANDS = 24
 K = BAND_ROWS * N_BANDS
-#: Coordinates in which the signatures of a pair must agree to be checked: more than six
-#: standard deviations below what a similarity of 0.8 gives.
-LEAST_AGREED = 52
+#: Coordinates in which the signatures of a pair must agree to be checked: more than four
+#: standard deviations below what a similarity of 0.8 gives (chance 5e-6).
+LEAST_AGREED = 60
 #: Centers that a node is checked against in one round.
 BEST = 2
 MAX_ROUNDS = 2
@@ -155,8 +155,8 @@ def row_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, node, sketch) a row; node names the shingle set, sketch is its
-    signature, null for a text without words."""
+    """(doc_key, text_key, node, sketch, size) a row; node names the shingle set, sketch is
+    its signature, null for a text without words, size its number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +170,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     nodes.append(int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=8).digest(), "little", signed=True))
                 found = [s.tobytes() if len(e) else None for s, e in zip(signatures(elements, weights), elements, strict=True)]
                 part = batch.slice(first, 64)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["doc_key", "text_key", "node", "sketch"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(found, pa.binary()), pa.array([len(e) for e in elements], pa.int32())], names=["doc_key", "text_key", "node", "sketch", "size"])
 
     text = text_or_empty()
     picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_key"), row_key(text).alias("text_key"), text.alias("text"))
-    return picked.mapInArrow(run, "doc_key long, text_key long, node long, sketch binary")
+    return picked.mapInArrow(run, "doc_key long, text_key long, node long, sketch binary, size int")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -192,17 +192,29 @@ def stacked(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(len(sketches), K)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def brief(nodes: DataFrame) -> DataFrame:
+    """(node, brief): one byte of each coordinate, enough to count those that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = (stacked(batch.column(1)) >> 8).astype(np.uint8)
+            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "brief"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node long, brief binary")
+
+
+def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough, with `agreed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            agreed = (stacked(batch.column(2)) == stacked(batch.column(3))).sum(1)
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(batch), K) for c in batch.columns[2:])
+            agreed = (x == y).sum(1)
             out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agreed, pa.int32())], names=["a", "b", "agreed"])
             yield out.filter(pa.array(agreed >= LEAST_AGREED))
 
-    side = lambda v: nodes.select(F.col("node").alias(v), F.col("sketch").alias(f"sketch_{v}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, agreed int")
+    side = lambda v: briefs.select(F.col("node").alias(v), F.col("brief").alias(f"brief_{v}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "brief_a", "brief_b").mapInArrow(run, "a long, b long, agreed int")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -260,11 +272,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
 def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The sketches, and (node, label) for all nodes that are linked to another."""
     sketched = saved(sketches(docs), "op7-sketches")
-    nodes = saved(sketched.where("sketch is not null").groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("doc_key", "text_key")).alias("first")), "op7-nodes")
+    nodes = saved(sketched.where("sketch is not null").groupBy("node").agg(F.min("sketch").alias("sketch"), F.first("size").alias("size"), F.min(F.struct("doc_key", "text_key")).alias("first")), "op7-nodes")
     keyed = banded(nodes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = saved(keyed.join(shared, "key"), "op7-buckets")
     within = saved(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "op7-within")
+    briefs = saved(brief(nodes.join(within.select("node"), "node")), "op7-briefs")
     buckets = buckets.select("key", "node")
     texts = texts_of(docs, nodes, within)
     allowed = max(FEW_PAIRS, OPEN_PAIRS * within.count())
@@ -285,7 +298,7 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         pairs = rows.join(centers, "key").where("label <> center_label").select(*ordered("node", "center"), "node").distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        found = likely(pairs.select("a", "b").distinct(), nodes)
+        found = likely(pairs.select("a", "b").distinct(), briefs)
         # For each node its best centers; each pair was drawn by one of its two nodes, or both.
         best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agreed"), "a", "b"))
         chosen = saved(found.join(pairs, ["a", "b"]).withColumn("_r", best).where(F.col("_r") <= BEST).select("a", "b").distinct(), "op7-tried")
@@ -296,11 +309,14 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         links = good if links is None else links.union(good)
         labels = components(links, "op7-trees")
 
-    x, y = (rows.select("key", F.col("node").alias(v), F.col("label").alias(f"label_{v}")) for v in ("x", "y"))
-    pairs = x.join(y, "key").where("label_x > label_y").select(*ordered("x", "y")).distinct()
+    # Sets of such a similarity are of like size.
+    sized = rows.join(nodes.select("node", "size"), "node")
+    x, y = (sized.select("key", F.col("node").alias(v), F.col("label").alias(f"label_{v}"), F.col("size").alias(f"size_{v}")) for v in ("x", "y"))
+    like = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y")
+    pairs = x.join(y, "key").where("label_x > label_y").where(like).select(*ordered("x", "y")).distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    pairs = saved(likely(pairs, nodes).select("a", "b"), "op7-pairs")
+    pairs = saved(likely(pairs, briefs).select("a", "b"), "op7-pairs")
     good = saved(checked(pairs, texts, similarity), "op7-links")
     return sketched, components(good if links is None else links.union(good), "op7-classes")
 
