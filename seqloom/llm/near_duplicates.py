@@ -1,7 +1,8 @@
 """Operator 7, near-duplicate documents by DartMinHash signatures.
 
-The elements of a document are its distinct shingles of five words, weighted by
-1 + log2 of their count. Over (weight, rank), each element owns a fixed Poisson
+The elements of a document are its distinct shingles of five words, each of weight 1
+however often it occurs: the signature estimates the very similarity that decides, so
+that a passage repeated more often in one copy hides no link. Over (weight, rank), each element owns a fixed Poisson
 field of darts, found by hashing unit cells; a document sees the darts below its
 element's weight and below a rank that leaves about `k ln k + 2k` of them. Each dart
 falls to one of k coordinates, and the one of least rank is kept. Documents without a
@@ -164,9 +165,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             for first in range(0, len(texts), 64):
                 elements, weights, nodes = [], [], []
                 for t in texts[first : first + 64]:
-                    e, c = np.unique(shingle_hashes(t), return_counts=True)
+                    e = np.unique(shingle_hashes(t))
                     elements.append(e)
-                    weights.append(1 + np.log2(c))
+                    weights.append(np.ones(len(e)))
                     nodes.append(int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=8).digest(), "little", signed=True))
                 found = [s.tobytes() if len(e) else None for s, e in zip(signatures(elements, weights), elements, strict=True)]
                 part = batch.slice(first, 64)

@@ -117,6 +117,20 @@ def test_near_duplicates(spark, monkeypatch, few):
         assert near_duplicates.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_lines_repeated_unlike_often_hide_no_link(spark):
+    """Copies whose shingle sets are alike, but one of whose lines comes once or many times."""
+    rows = []
+    for i in range(12):
+        rng = random.Random(100 + i)
+        once = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))
+        line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        rows += [(10 * i, f"{once} {line}"), (10 * i + 1, " ".join([once, *[line] * 100]))]
+    classes = brute_classes(rows)
+    assert len(set(classes)) == 12
+    got = near_duplicates.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: c for (i, _), c in zip(rows, classes, strict=True)}
+
+
 def test_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     universe = rng.integers(0, 2**63, 120).astype(np.uint64)
