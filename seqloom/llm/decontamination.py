@@ -2,19 +2,23 @@
 
 Every training passage (overlapping windows of `PASSAGE_WORDS` words that cover the
 whole text) is a query over the items. Impacts are BM25 term weights divided by the
-score of the item's own text as a query, so that one threshold serves all items. Two
-bounds skip work and lose nothing:
+score of the item's own text as a query, so that one threshold serves all items. No
+passage can hold half of a long item: one of more than `SEGMENT_WORDS` words is indexed
+as a whole and also as overlapping segments of that many words, each with its own score.
+A passage is twice as long, so that a segment quoted whole lies whole in some passage.
+Two bounds skip work and lose nothing:
 
 - a passage whose words' greatest impacts sum to less than the threshold;
 - within a passage, block-max WAND: postings are cut into blocks with their greatest
   impact, and items whose blocks cannot reach the threshold are passed over.
 
-All items above the threshold are retrieved. Each is verified against the words around
+All items of which the whole or a segment is above the threshold are retrieved, with the
+greatest of their scores, whatever their length. Each is verified against the words around
 the passage: the shares of its question's and of its answer's word triples that occur
 there. The question is the item without its last sentence, the answer its last
 sentence; an item of one sentence is halved.
 
-The index is built in blocks of `BLOCK_ITEMS` items; each is sent to the executors in
+The index is built in blocks of about `BLOCK_ITEMS` items and segments; each is sent to the executors in
 turn, and every passage is held against each, so that the benchmark may grow.
 
 Defined cases: null text is the empty text and matches nothing; an item without words
@@ -42,13 +46,15 @@ from .common import text_or_empty
 
 K1, B = 1.2, 0.75
 PASSAGE_WORDS, STRIDE = 128, 64
+#: Words of a segment of a long item, and between the beginnings of two.
+SEGMENT_WORDS, SEGMENT_STRIDE = PASSAGE_WORDS - STRIDE, 32
 #: Least share of an item's own score.
 SCORE = 0.5
 #: Least share of the question's and of the answer's word triples.
 OVERLAP = 0.6
 #: Postings in a block of the index, items in a group, and the share of an item that its commonest words may have.
 POSTINGS, GROUP, COMMON_SHARE = 32, 1, 0.3
-#: Items in one broadcast block.
+#: Items and segments in one broadcast block.
 BLOCK_ITEMS = 5_000
 TRIPLE = 3
 
@@ -74,14 +80,25 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def segments(words: list[str]) -> list[list[str]]:
+    """The overlapping segments of a long item, up to its end; none of another."""
+    last = len(words) - SEGMENT_WORDS
+    return [words[i : i + SEGMENT_WORDS] for i in (*range(0, last, SEGMENT_STRIDE), last)] if last > 0 else []
+
+
 class Index:
-    """Postings of one block of items. df and n count the items of all blocks."""
+    """Postings of one block of items and of their segments, together its units. df and n
+    count the items of all blocks."""
 
     def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n: int, mean_words: float):
         self.ids = [i for i, _ in items]
         self.parts = [tuple(map(triples, question_and_answer(t))) for _, t in items]
         each = [words_of(t) for _, t in items]
         self.reach = max(map(len, each), default=0)
+        cut = list(map(segments, each))
+        # Items are the first units.
+        self.item_of = [*range(len(each)), *(k for k, parts in enumerate(cut) for _ in parts)]
+        each += [part for parts in cut for part in parts]
         postings: dict[str, list[tuple[int, float]]] = {}
         for k, words in enumerate(each):
             weights = {}
@@ -102,7 +119,7 @@ class Index:
     def _group(self) -> None:
         """Sparse rows (term -> group, greatest impact) of the scarcer words, and what the
         common ones can add to an item of each group."""
-        common_part = np.zeros(len(self.ids))
+        common_part = np.zeros(len(self.item_of))
         scarce = np.ones(len(self.items), bool)
         for t in sorted(range(len(self.items)), key=lambda t: (-len(self.items[t]), t)):
             more = common_part.copy()
@@ -110,9 +127,9 @@ class Index:
             if len(self.items[t]) == 1 or more.max(initial=0) > COMMON_SHARE:
                 break
             common_part, scarce[t] = more, False
-        self.n_groups = -(-len(self.ids) // GROUP)
+        self.n_groups = -(-len(self.item_of) // GROUP)
         self.granted = np.zeros(self.n_groups)
-        np.maximum.at(self.granted, np.arange(len(self.ids)) // GROUP, common_part)
+        np.maximum.at(self.granted, np.arange(len(self.item_of)) // GROUP, common_part)
         groups, tops, sizes = [], [], []
         for t, (items, impacts) in enumerate(zip(self.items, self.impacts, strict=True)):
             of: dict[int, float] = {}
@@ -141,7 +158,7 @@ class Index:
         return np.flatnonzero((whole + self.granted >= threshold - 1e-9).any(1))
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of every item with a score of at least `threshold`: block-max WAND."""
+        """(unit, score) of every unit with a score of at least `threshold`: block-max WAND."""
         cursors = [[self.items[t][0], 0, t] for t in terms]  # item, position, term
         found = []
         slack = 1e-9
@@ -199,7 +216,10 @@ class Index:
             first, last = int(k) * STRIDE, min(int(k) * STRIDE + PASSAGE_WORDS, len(words))
             distinct = np.unique(terms[first:last][known[first:last]])
             around = None
-            for item, got in self.above(distinct.tolist(), score):
+            hits: dict[int, float] = {}
+            for unit, got in self.above(distinct.tolist(), score):
+                hits[self.item_of[unit]] = max(got, hits.get(self.item_of[unit], 0.0))
+            for item, got in hits.items():
                 if around is None:
                     near = words[max(0, first - self.reach) : last + self.reach]
                     around = [{tuple(near[i : i + n]) for i in range(len(near) - n + 1)} for n in range(TRIPLE + 1)]
@@ -210,17 +230,19 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
-    """The index, a block of items at a time; document frequencies count all items."""
+    """The index, a block of items at a time; document frequencies count all items. Long
+    items are counted with their segments, so that blocks are of like size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    n = items.count()
-    n_blocks = -(-n // block_items)
 
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
         return texts.map(words_of)
 
     split = items.withColumn("words", tokens("text"))
-    mean_words = split.agg(F.avg(F.size("words"))).first()[0] or 1.0
+    longer = F.size("words") - SEGMENT_WORDS
+    units = F.when(longer > 0, F.ceil(longer / SEGMENT_STRIDE) + 2).otherwise(1)
+    n, n_units, mean_words = split.agg(F.count("*"), F.sum(units), F.avg(F.size("words"))).first()
+    n_blocks, mean_words = -(-(n_units or 0) // block_items), mean_words or 1.0
     frequency = split.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     numbered = split.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))
     for block in range(n_blocks):

@@ -60,6 +60,29 @@ def test_leaks_and_clean(spark, block_items):
     assert decontamination.leaks(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_items", [5_000, 7])
+def test_long_items_are_found(spark, block_items):
+    """Items that no passage holds by half, quoted whole; one quoted by a tenth is no leak."""
+    rng = random.Random(8)
+    coined = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(n, " ".join(coined(n))) for n in (64, 65, 150, 200, 320, 600, 1500)]
+    items.append((601, f"{' '.join(coined(600))}. {' '.join(coined(6))}."))
+    rows = [(i, f"{prose(rng, rng.randint(60, 400))} {t} {prose(rng, 300)}") for i, t in items]
+    rows.append((5000, " ".join([prose(rng, 100), *items[5][1].split()[270:330], prose(rng, 100)])))
+    bench = spark.createDataFrame([*items, *ITEMS], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows), bench, block_items=block_items).collect()}
+    assert found == {(i, i) for i, _ in items}
+    assert [r.doc_id for r in decontamination.clean(docs(spark, rows), bench, block_items=block_items).collect()] == [5000]
+
+
+def test_segments_cover_long_items():
+    for n in (0, 1, 64, 65, 96, 97, 600):
+        parts = decontamination.segments(list(map(str, range(n))))
+        assert all(len(p) == 64 for p in parts) and bool(parts) == (n > 64)
+        assert not parts or {w for p in parts for w in p} == set(map(str, range(n)))
+        assert len(parts) == (math.ceil((n - 64) / 32) + 1 if n > 64 else 0)
+
+
 def labelled(n=240):
     rng = random.Random(11)
     rows, labels = [], []
