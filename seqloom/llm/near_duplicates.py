@@ -17,7 +17,7 @@ Classes are found without listing all pairs of a group:
    other components are held against it: first the node that shares buckets with most
    others, as the text does that a group was copied from, then one by chance. Of the centers whose signature
    agrees with a node's in at least `LEAST_AGREED` coordinates (of similar pairs all but
-   one in a hundred thousand do), the best ones are checked by exact Jaccard similarity, and good
+   three in a billion do), the best ones are checked by exact Jaccard similarity, and good
    links join components. A round costs one row a node and bucket;
 3. once the pairs of different components within buckets are few, at most `OPEN_PAIRS`
    for each node (or after `MAX_ROUNDS`), they are listed, and those with enough agreement
@@ -51,9 +51,9 @@ SIMILARITY = 0.8
 BAND_ROWS = 4
 N_BANDS = 24
 K = BAND_ROWS * N_BANDS
-#: Coordinates in which the signatures of a pair must agree to be checked: more than four
-#: standard deviations below what a similarity of 0.8 gives (chance 5e-6).
-LEAST_AGREED = 60
+#: Coordinates in which the signatures of a pair must agree to be checked: more than six
+#: standard deviations below what a similarity of 0.8 gives (chance 3e-9).
+LEAST_AGREED = 52
 #: Centers that a node is checked against in one round.
 BEST = 2
 MAX_ROUNDS = 2

@@ -1,6 +1,7 @@
 """Operators 4, 6 and 7, and the pipeline, on small tables."""
 
 import hashlib
+import math
 import os
 import random
 from collections import Counter
@@ -131,6 +132,13 @@ def test_lines_repeated_unlike_often_hide_no_link(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: c for (i, _), c in zip(rows, classes, strict=True)}
 
 
+def test_similar_pairs_are_not_passed_over():
+    """Chance that a pair at the least similarity agrees in too few coordinates, or shares no band."""
+    p, k = near_duplicates.SIMILARITY, near_duplicates.K
+    assert sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(near_duplicates.LEAST_AGREED)) < 1e-8
+    assert (1 - p**near_duplicates.BAND_ROWS) ** near_duplicates.N_BANDS < 1e-5
+
+
 def test_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     universe = rng.integers(0, 2**63, 120).astype(np.uint64)
