@@ -101,6 +101,11 @@ def modelled(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None)
     return paired, model.model_weights(table, n), n
 
 
+def trained(sequences: DataFrame) -> DataFrame:
+    """Weights of the sequences' own model, after all rounds of training."""
+    return training.train(sequences)[-1].weights
+
+
 # --- sources and sinks ------------------------------------------------------
 
 
@@ -682,19 +687,21 @@ def m_step(spark, sf_dir):
 
 @query()
 def train(spark, sf_dir):
-    """Weights after three rounds."""
-    return training.train(order_sequences(spark, sf_dir), iterations=3)[-1].weights.withColumn("weight", F.round("weight", 4))
+    """Weights after the last round."""
+    return trained(order_sequences(spark, sf_dir)).withColumn("weight", F.round("weight", 4))
 
 
 @query()
 def align_groups(spark, sf_dir):
-    return training.align_groups(order_sequences(spark, sf_dir))
+    sequences = order_sequences(spark, sf_dir)
+    return training.align_groups(sequences, trained(sequences))
 
 
 @query()
 def align_event_groups(spark, sf_dir):
     """Long sequences: events of users, ten groups."""
-    return training.align_groups(event_sequences(spark, sf_dir, groups=50), thresholds=[0.5, 0.75])
+    sequences = event_sequences(spark, sf_dir, groups=50)
+    return training.align_groups(sequences, trained(sequences), thresholds=[0.5, 0.75])
 
 
 @query(f"WITH {SEQ}, p AS (SELECT DISTINCT a.sequence_id AS id1, b.sequence_id AS id2 FROM seq a JOIN seq b ON a.group_id = b.group_id AND a.sequence_id < b.sequence_id) SELECT id1, id2, id1 || '|' || id2 AS label, CAST(row_number() OVER (ORDER BY id1, id2) - 1 AS INTEGER) AS stat FROM p")
@@ -703,8 +710,8 @@ def pair_statistic_index(spark, sf_dir):
 
 
 def edges_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: edges of each group's alignment by the pair model."""
-    return M.n_edges(training.align_groups(order_sequences(spark, sf_dir)))
+    """The flagship: edges of each group's alignment by the trained pair model."""
+    return M.n_edges(align_groups(spark, sf_dir))
 
 
 QUERIES["edges_by_group"] = edges_by_group

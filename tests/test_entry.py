@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seqloom import queries
+from seqloom.plans import training
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,6 +35,22 @@ def test_against_sql(spark, sf_dir, name):
     assert text(got) == text(want)
 
 
+def test_groups_are_aligned_with_trained_weights(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def train(sequences, **given):
+        seen.append(given)
+        return [training.Step(9, 0.0, queries.fixed_weights(sequences.sparkSession))]
+
+    monkeypatch.setattr(training, "train", train)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    sequences = queries.order_sequences(spark, sf_dir)
+    assert rows(entry.queries()["align_groups"](spark, sf_dir)) == rows(training.align_groups(sequences, queries.fixed_weights(spark)))
+    for name in ("edges_by_group", "align_event_groups", "train"):
+        assert entry.queries()[name](spark, sf_dir).count() > 0
+    assert seen == [{}] * 4
+
+
 def test_without_llm(tmp_path):
     shutil.copytree(f"{ROOT}/seqloom", tmp_path / "seqloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
