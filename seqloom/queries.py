@@ -549,12 +549,12 @@ def columns_from_edges(spark, sf_dir):
 
 @query()
 def try_adding_edges(spark, sf_dir):
-    return C.try_adding_edges(order_sequences(spark, sf_dir), scored(spark, sf_dir).where("score > 0.45"), gold(spark, sf_dir))
+    return C.try_adding_edges(order_sequences(spark, sf_dir), scored(spark, sf_dir), gold(spark, sf_dir))
 
 
 @query()
 def is_valid_addition(spark, sf_dir):
-    return C.is_valid_addition(order_sequences(spark, sf_dir), scored(spark, sf_dir).where("score > 0.45"))
+    return C.is_valid_addition(order_sequences(spark, sf_dir), scored(spark, sf_dir))
 
 
 @query()

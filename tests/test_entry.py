@@ -51,6 +51,11 @@ def test_groups_are_aligned_with_trained_weights(spark, sf_dir, monkeypatch):
     assert seen == [{}] * 4
 
 
+@pytest.mark.parametrize("name", ["try_adding_edges", "is_valid_addition"])
+def test_every_scored_edge_is_tried(spark, sf_dir, name):
+    assert entry.queries()[name](spark, sf_dir).count() == queries.scored(spark, sf_dir).count() > 0
+
+
 def test_without_llm(tmp_path):
     shutil.copytree(f"{ROOT}/seqloom", tmp_path / "seqloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
