@@ -13,19 +13,25 @@ with probability (1 - 0.8**4)**24 = 3e-6.
 Classes are found without listing all pairs of a group:
 
 1. documents of one shingle set are one node;
-2. in rounds, each bucket that holds several components names a center, and its nodes of
-   other components are held against it: first the node that shares buckets with most
-   others, as the text does that a group was copied from, then one by chance. Of the centers whose signature
-   agrees with a node's in at least `LEAST_AGREED` coordinates (of similar pairs all but
-   three in a billion do), the best ones are checked by exact Jaccard similarity, and good
-   links join components. A round costs one row a node and bucket;
-3. once the pairs of different components within buckets are few, at most `OPEN_PAIRS`
-   for each node (or after `MAX_ROUNDS`), they are listed, and those with enough agreement
-   are checked, all of them;
-4. components of all good links are the classes.
-
-Links inside a component cannot change the classes, and step 3 lists all other pairs of
-a bucket, so that none is lost. Every decision rests on the similarity of shingle sets.
+2. in each of `ROUNDS` rounds, each bucket that holds several components names a center,
+   and its nodes of other components are held against it: first the node that shares
+   buckets with most others, as the text does that a group was copied from, then one by
+   chance. Of the centers whose signature agrees with a node's in at least `LEAST_AGREED`
+   coordinates (of similar pairs all but three in a billion do), the best ones are checked
+   by exact Jaccard similarity, and good links join components. A round costs one row a
+   node and bucket;
+3. pairs of different components in buckets of at most `CROWD` nodes are listed: fewer
+   than that many for each node and bucket. In larger ones, texts often resemble each
+   other just short of a link, each all others. There a pair is listed only if a common
+   shingle lets it be similar enough: the shingles of a set are put in order, those that
+   the fewest sets of crowds hold first, and the place of the first common one bounds what
+   two sets can share. This bound is exact, so that no link is lost, and only the
+   beginnings of sets are joined;
+4. the listed pairs whose signatures agree often enough are checked, all of them, and the
+   components of all good links are the classes.
+
+Links inside a component cannot change the classes. Every decision rests on the
+similarity of shingle sets.
 
 Defined cases: null text is the empty text; a text of fewer than five words is one
 shingle of all its words; texts without words are copies of each other; rows of equal
@@ -54,11 +60,10 @@ K = BAND_ROWS * N_BANDS
 #: Coordinates in which the signatures of a pair must agree to be checked: more than six
 #: standard deviations below what a similarity of 0.8 gives (chance 3e-9).
 LEAST_AGREED = 52
-#: Centers that a node is checked against in one round.
-BEST = 2
-MAX_ROUNDS = 2
-#: Pairs of different components that are listed at once: so many, or this multiple of the nodes that share buckets.
-FEW_PAIRS, OPEN_PAIRS = 50_000, 1.0
+#: Rounds of centers, and centers that a node is checked against in one round.
+ROUNDS, BEST = 2, 2
+#: Nodes of a bucket up to which its pairs are listed without a look at common shingles.
+CROWD = 16
 #: Chance that a Poisson(1) count is at most 0, 1, 2, ...
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _U = np.uint64
@@ -156,26 +161,32 @@ def row_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, node, sketch, size) a row; node names the shingle set, sketch is
-    its signature, null for a text without words, size its number of shingles."""
+    """(doc_key, text_key, high, low, sketch, size) a row; high and low are a digest of 128
+    bits of the shingle set, sketch is its signature, null for a text without words, size
+    its number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for first in range(0, len(texts), 64):
-                elements, weights, nodes = [], [], []
-                for t in texts[first : first + 64]:
-                    e = np.unique(shingle_hashes(t))
-                    elements.append(e)
-                    weights.append(np.ones(len(e)))
-                    nodes.append(int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=8).digest(), "little", signed=True))
-                found = [s.tobytes() if len(e) else None for s, e in zip(signatures(elements, weights), elements, strict=True)]
+                elements = [np.unique(shingle_hashes(t)) for t in texts[first : first + 64]]
+                digests = np.frombuffer(b"".join(hashlib.blake2b(e.tobytes(), digest_size=16).digest() for e in elements), "<i8").reshape(-1, 2)
+                drawn = signatures(elements, [np.ones(len(e)) for e in elements])
+                found = [s.tobytes() if len(e) else None for s, e in zip(drawn, elements, strict=True)]
                 part = batch.slice(first, 64)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(found, pa.binary()), pa.array([len(e) for e in elements], pa.int32())], names=["doc_key", "text_key", "node", "sketch", "size"])
+                columns = [part.column(0), part.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(found, pa.binary()), pa.array([len(e) for e in elements], pa.int32())]
+                yield pa.record_batch(columns, names=["doc_key", "text_key", "high", "low", "sketch", "size"])
 
     text = text_or_empty()
     picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_key"), row_key(text).alias("text_key"), text.alias("text"))
-    return picked.mapInArrow(run, "doc_key long, text_key long, node long, sketch binary, size int")
+    return picked.mapInArrow(run, "doc_key long, text_key long, high long, low long, sketch binary, size int")
+
+
+def numbered_nodes(sketched: DataFrame) -> DataFrame:
+    """A row a shingle set: high, low, sketch, size, its first document and number of
+    documents, and a number `node`. Numbers are any; the table is written with them."""
+    kept = sketched.groupBy("high", "low").agg(F.min("sketch").alias("sketch"), F.min("size").alias("size"), F.min(F.struct("doc_key", "text_key")).alias("first"), F.count("*").alias("n"))
+    return saved(kept.withColumn("node", F.monotonically_increasing_id()), "op7-nodes")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -244,6 +255,43 @@ def texts_of(docs: DataFrame, nodes: DataFrame, within: DataFrame) -> DataFrame:
     return saved(rows.join(wanted, ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "op7-texts")
 
 
+def rarest_shingles(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, size, token, place): the shingles of each set that others hold as well, from
+    the rarest on, up to the last place at which a similar set may first meet it. Places
+    count those held by one set alone, which come before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 64):
+                part = batch.slice(first, 64)
+                sets = [np.unique(shingle_hashes(t)) for t in part.column(1).to_pylist()]
+                sizes = np.array([len(s) for s in sets], np.int32)
+                columns = [np.repeat(part.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+                yield pa.record_batch(list(map(pa.array, columns)), names=["node", "size", "token"])
+
+    tokens = saved(texts.mapInArrow(run, "node long, size int, token long"), "op7-tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = tokens.join(held, "token").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    alone = F.col("size") - F.size("tokens")
+    last = F.floor((1 - similarity) * F.col("size") + 1e-6).cast("int")
+    begun = ordered.select("node", "size", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(last - alone + 1, F.lit(0)))).alias("nth", "t"))
+    return begun.select("node", "size", "t.token", (F.col("alone") + F.col("nth")).alias("place"))
+
+
+def crowd_pairs(rarest: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different components of which a common shingle stands early
+    enough in both sets. The commonest component of each shingle is only held against the
+    others, so that one large component costs no pairs of its own."""
+    rows = rarest.join(labels, "node")
+    most = rows.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.count("*").alias("labels")).where("labels > 1")
+    rows = saved(rows.join(most.select("token", "home"), "token"), "op7-early")
+    x, y = (rows.select("token", "home", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "label", "size", "place"))) for v in ("x", "y"))
+    once = (F.col("label_y") == F.col("home")) | (F.col("label_x") > F.col("label_y"))
+    enough = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    met = x.where("label_x <> home").join(y.drop("home"), "token").where("label_x <> label_y").where(once).where(enough)
+    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the least node that can
     be reached. Large-star and small-star steps alternate until nothing changes."""
@@ -270,10 +318,11 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 
 
-def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and (node, label) for all nodes that are linked to another."""
+def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches, the nodes, and (node, label) for all nodes that are linked to another."""
     sketched = saved(sketches(docs), "op7-sketches")
-    nodes = saved(sketched.where("sketch is not null").groupBy("node").agg(F.min("sketch").alias("sketch"), F.first("size").alias("size"), F.min(F.struct("doc_key", "text_key")).alias("first")), "op7-nodes")
+    every = numbered_nodes(sketched)
+    nodes = every.where("sketch is not null")
     keyed = banded(nodes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = saved(keyed.join(shared, "key"), "op7-buckets")
@@ -281,17 +330,15 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     briefs = saved(brief(nodes.join(within.select("node"), "node")), "op7-briefs")
     buckets = buckets.select("key", "node")
     texts = texts_of(docs, nodes, within)
-    allowed = max(FEW_PAIRS, OPEN_PAIRS * within.count())
 
     links, labels, tried = None, None, None
     ordered = lambda v, w: (F.greatest(v, w).alias("a"), F.least(v, w).alias("b"))
-    for n_round in range(MAX_ROUNDS + 1):
+    for n_round in range(ROUNDS + 1):
         # Rows of the buckets that still hold several components.
         labelled = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("labels"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / 2).alias("pairs")).where("labels > 1")
-        rows = saved(labelled.join(sizes.select("key", "pairs"), "key"), "op7-open")
-        n_open = rows.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
-        if n_open <= allowed or n_round == MAX_ROUNDS:
+        several = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1")
+        rows = saved(labelled.join(several.select("key", "n"), "key"), "op7-open")
+        if n_round == ROUNDS:
             break
         drawn = F.struct((-F.col("degree")).alias("d"), F.xxhash64("node", F.lit(n_round)).alias("h"), F.col("node").alias("center"), F.col("label").alias("center_label"))
         ranked = rows.join(within, "node") if n_round == 0 else rows.withColumn("degree", F.lit(0))
@@ -305,38 +352,36 @@ def node_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         chosen = saved(found.join(pairs, ["a", "b"]).withColumn("_r", best).where(F.col("_r") <= BEST).select("a", "b").distinct(), "op7-tried")
         tried = chosen if tried is None else tried.union(chosen)
         good = saved(checked(chosen, texts, similarity), "op7-links")
-        if not good.take(1):
-            break
         links = good if links is None else links.union(good)
         labels = components(links, "op7-trees")
 
     # Sets of such a similarity are of like size.
-    sized = rows.join(nodes.select("node", "size"), "node")
+    sized = rows.where(F.col("n") <= CROWD).join(nodes.select("node", "size"), "node")
     x, y = (sized.select("key", F.col("node").alias(v), F.col("label").alias(f"label_{v}"), F.col("size").alias(f"size_{v}")) for v in ("x", "y"))
     like = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y")
-    pairs = x.join(y, "key").where("label_x > label_y").where(like).select(*ordered("x", "y")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    few = x.join(y, "key").where("label_x > label_y").where(like).select(*ordered("x", "y"))
+    crowded = saved(rows.where(F.col("n") > CROWD).select("node", "label").distinct(), "op7-crowded")
+    rarest = rarest_shingles(texts.join(crowded, "node", "left_semi"), similarity)
+    pairs = few.union(crowd_pairs(rarest, crowded, similarity)).distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     pairs = saved(likely(pairs, briefs).select("a", "b"), "op7-pairs")
     good = saved(checked(pairs, texts, similarity), "op7-links")
-    return sketched, components(good if links is None else links.union(good), "op7-classes")
+    return sketched, every, components(links.union(good), "op7-classes")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size: class_id is the least doc_id of the class."""
-    sketched, labels = node_classes(docs, similarity)
-    of_node = sketched.groupBy("node").agg(F.min("doc_key").alias("first"), F.count("*").alias("n"))
-    labelled = of_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "n")
-    classes = labelled.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = labelled.join(classes, "label").select("node", "class_id", "class_size")
+    sketched, nodes, labels = node_classes(docs, similarity)
+    labelled = nodes.join(labels, "node", "left").select("high", "low", F.coalesce("label", "node").alias("label"), "first.doc_key", "n")
+    classes = labelled.groupBy("label").agg(F.min("doc_key").alias("class_id"), F.sum("n").alias("class_size"))
+    of_node = labelled.join(classes, "label").select("high", "low", "class_id", "class_size")
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c.replace("doc_key", "doc_id"))
-    return sketched.select("doc_key", "node").join(of_node, "node").select(real("doc_key"), real("class_id"), "class_size")
+    return sketched.select("doc_key", "high", "low").join(of_node, ["high", "low"]).select(real("doc_key"), real("class_id"), "class_size")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, without those that have a like one of lesser doc_id."""
-    sketched, labels = node_classes(docs, similarity)
-    of_node = sketched.groupBy("node").agg(F.min(F.struct("doc_key", "text_key")).alias("first"))
-    stay = of_node.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select(F.col("first.doc_key").alias("_doc_key"), F.col("first.text_key").alias("_text_key"))
+    _, nodes, labels = node_classes(docs, similarity)
+    stay = nodes.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select(F.col("first.doc_key").alias("_doc_key"), F.col("first.text_key").alias("_text_key"))
     keyed = docs.withColumns({"_doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_text_key": row_key(text_or_empty())})
     return keyed.join(stay, ["_doc_key", "_text_key"], "left_semi").dropDuplicates(["_doc_key", "_text_key"]).drop("_doc_key", "_text_key")

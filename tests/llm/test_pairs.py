@@ -99,25 +99,35 @@ def near_copies(n, seed, edits=(1, 6)):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("few", [50_000, 0])
-def test_near_duplicates(spark, monkeypatch, few):
-    """With few = 0 the rounds run to the end."""
-    monkeypatch.setattr(near_duplicates, "FEW_PAIRS", few)
-    monkeypatch.setattr(near_duplicates, "OPEN_PAIRS", 1.0 if few else 0.02)
-    monkeypatch.setattr(near_duplicates, "MAX_ROUNDS", 2)
+@pytest.mark.parametrize("crowd", [near_duplicates.CROWD, 1])
+def test_near_duplicates(spark, monkeypatch, crowd):
+    """With crowd = 1 no bucket is listed without a look at common shingles."""
+    monkeypatch.setattr(near_duplicates, "CROWD", crowd)
     rows = [*texts(25), *((1000 + i, t) for i, t in enumerate(near_copies(40, 3))), *((2000 + i, t) for i, t in enumerate(near_copies(12, 8, (4, 9))))]
     df = docs(spark, rows, clashing=True)
     got = near_duplicates.near_duplicates(df).toPandas()
     want = Counter((i if i is not None else float("inf"), c) for (i, _), c in zip(rows, brute_classes(rows), strict=True))
     inf = lambda v: float("inf") if v != v else v
     assert Counter((inf(r.doc_id), inf(r.class_id)) for r in got.itertuples()) == want
-    if few:
+    if crowd > 1:
         kept = near_duplicates.one_of_each(df)
         assert kept.columns == df.columns
         assert Counter(inf(i if i is not None else float("nan")) for i in (r.doc_id for r in kept.collect())) == Counter(brute_classes(rows, each=True))
         assert near_duplicates.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_crowds_list_every_link_and_few_other_pairs(spark):
+    """Texts that resemble one another on both sides of 0.8, each a component of its own."""
+    rows = [(1000 + i, t) for i, t in enumerate([*near_copies(60, 3, (1, 9)), *near_copies(60, 5, (4, 12))])]
+    sets = {i: np.unique(near_duplicates.shingle_hashes(t)) for i, t in rows}
+    links = {(i, j) for i in sets for j in sets if j < i and near_duplicates.jaccard(sets[i], sets[j]) >= 0.8}
+    rarest = near_duplicates.rarest_shingles(spark.createDataFrame(rows, "node long, text string"), 0.8)
+    labels = spark.createDataFrame([(i, i) for i in sets], "node long, label long")
+    listed = {(r.a, r.b) for r in near_duplicates.crowd_pairs(rarest, labels, 0.8).collect()}
+    assert len(links) > 50 and links <= listed
+    assert len(listed) < 0.3 * len(sets) * (len(sets) - 1) / 2
+
+
 def test_lines_repeated_unlike_often_hide_no_link(spark):
     """Copies whose shingle sets are alike, but one of whose lines comes once or many times."""
     rows = []
