@@ -10,7 +10,10 @@ its trust is blocked.
 
 Ranks are summed by host with map-side partial sums; edges are counted by pair of
 hosts before they are shuffled, so that one very common host costs no more than its
-distinct neighbours. Each iteration is written to the shared folder.
+distinct neighbours. What reaches a host without edges returns to the seeds, so that the
+ranks of each kind sum to 1. Steps are taken until the ranks change by less than
+`TOLERANCE` in sum, which they do, as each step shrinks the change by the damping. Trust
+and distrust take their steps together; each is written to the shared folder.
 
 Defined cases: null url, or one without `://`: host and path are empty; such pages
 match no rule and are judged by the empty host, which has no edges: allowed. Null html
@@ -28,7 +31,8 @@ from .common import saved
 # The rules of the contract, (host, start of the path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
-ITERATIONS = 10
+#: Summed change of the ranks below which the walk has settled.
+TOLERANCE = 1e-3
 #: Distrust over trust above which a host is blocked.
 THRESHOLD = 1.0
 #: Weight of an edge between a host and the domain above it, in links.
@@ -78,21 +82,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.union(both.withColumn("weight", F.lit(DOMAIN_WEIGHT))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): random walks that return to the seeds (host, share). What reaches
-    a host without edges returns to the seeds as well."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = saved(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "op9-steps")
-    seeds = saved(seeds.select("host", "share"), "op9-seeds")
-    rank = seeds.select("host", F.col("share").alias("rank"))
-    for _ in range(iterations):
-        moved = rank.join(steps, rank.host == steps.src).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        back = seeds.select("host", ((1 - damping) * F.col("share")).alias("rank"))
-        rank = saved(moved.union(back).groupBy("host").agg(F.sum("rank").alias("rank")), "op9-rank")
-    return rank
-
-
-def judge(pages: DataFrame, rules=RULES, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, rank) of random walks that return to the seeds (kind, host, share), one
+    walk for each kind, along edges (kind, src, dst, weight). Shares of a kind sum to 1, and
+    so do its ranks. A kind without seeds has no ranks."""
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    steps = saved(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("part")), "op9-steps")
+    seeds = saved(seeds.select("kind", "host", "share"), "op9-seeds")
+    none = seeds.sparkSession.createDataFrame([], "kind string, host string, moved double")
+
+    def ranks(moved: DataFrame, totals: dict) -> DataFrame:
+        """What came along edges, and the rest of 1 at the seeds."""
+        left = F.lit(1.0)
+        for kind, total in totals.items():
+            left = F.when(F.col("kind") == kind, 1 - damping * total).otherwise(left)
+        back = seeds.select("kind", "host", (left * F.col("share")).alias("rank"))
+        return moved.select("kind", "host", (damping * F.col("moved")).alias("rank")).union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+
+    moved, totals = none, {}
+    while True:
+        new = ranks(moved, totals).join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("moved"))
+        new = saved(new, "op9-rank")
+        both = new.select("kind", "host", "moved", F.lit(0.0).alias("before")).union(moved.select("kind", "host", F.lit(0.0), "moved")).groupBy("kind", "host").agg(F.sum("moved").alias("moved"), F.sum("before").alias("before"))
+        found = both.groupBy("kind").agg(F.sum("moved").alias("total"), F.sum(F.abs(F.col("moved") - F.col("before"))).alias("change")).collect()  # a row a kind
+        moved, totals = new, {r.kind: r.total for r in found}
+        # The seeds' part changes by no more than what moved does.
+        if all(2 * damping * r.change < tolerance for r in found):
+            return ranks(moved, totals)
+
+
+def judge(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     url = F.col("url")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -100,17 +119,13 @@ def judge(pages: DataFrame, rules=RULES, iterations: int = ITERATIONS, threshold
     page = page.select("*", rule.alias("rule"), verdict.alias("ruled"))
     edges = saved(host_edges(pages.select("url", "html")), "op9-edges")
 
-    marks = saved(page.where("ruled is not null and host <> ''").groupBy("host", "ruled").agg(F.count("*").cast("double").alias("n")), "op9-marks")
-
-    def seeds(what: str) -> DataFrame:
-        chosen = marks.where(F.col("ruled") == what)
-        total = chosen.agg(F.sum("n")).first()[0] or 1.0
-        return chosen.select("host", (F.col("n") / F.lit(total)).alias("share"))
-
-    trust = personalised_rank(edges, seeds("allow"), iterations).withColumnRenamed("rank", "trust")
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(against, seeds("block"), iterations).withColumnRenamed("rank", "distrust")
-    standing = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    marks = saved(page.where("ruled is not null and host <> ''").groupBy(F.col("ruled").alias("kind"), "host").agg(F.count("*").cast("double").alias("n")), "op9-marks")
+    seeds = marks.join(marks.groupBy("kind").agg(F.sum("n").alias("total")), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("share"))
+    # Trust follows links, distrust goes against them.
+    walks = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block"), "dst", "src", "weight"))
+    rank = personalised_rank(walks, seeds, tolerance)
+    of = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(name)
+    standing = rank.groupBy("host").agg(of("allow", "trust"), of("block", "distrust"))
     standing = standing.withColumn("standing", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
     found = page.join(standing, "host", "left")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", "standing", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
