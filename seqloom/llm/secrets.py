@@ -6,6 +6,7 @@ characters slides over it, the count of each character is kept up to date as one
 enters and one leaves, and with it the sum of c * log2(c), from which the window's
 Shannon entropy follows. Windows above the threshold of the candidate's character
 class make a span, unless the allow-list names the candidate or a base span covers it.
+Placeholder words part candidates, so that they hide no secret that stands beside them.
 
 Positions are code points: splitting a text at a pattern gives the lengths between
 its matches, and so the places of the matches.
@@ -32,17 +33,18 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 MIN_ASSIGNED = 8
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
+#: What stands for a secret in examples. Candidates end before it and begin anew after it.
+PLACEHOLDER = "(?i:example|placeholder|x{8}|0{8}|12345678)"
+CANDIDATE = rf"(?:(?<![A-Za-z0-9+/=_-])|(?<={PLACEHOLDER}))(?:(?!{PLACEHOLDER})[A-Za-z0-9+/=_-]){{20,}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
 #: Character class of a candidate, the first that fits, and the least entropy in bits of a hot window.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("capitals", r"^[A-Z0-9]+$", 3.4), ("alphanumeric", r"^[A-Za-z0-9]+$", 3.6), ("base64", r".", 3.75))
-#: Candidates that are no secrets: UUIDs, dates and numbers with words, paths of words, placeholders.
+#: Candidates that are no secrets: UUIDs, dates and numbers with words, paths of words.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,6}$",
     r"^([a-z]+|[0-9]{1,6})([-_/=+]+([a-z]+|[0-9]{1,6}))*$",
-    r"(?i)example|placeholder|x{8}|0{8}|12345678",
 )
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"

@@ -192,6 +192,17 @@ def test_secret_scan(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_placeholders_hide_no_secret_beside_them(spark):
+    secret = "q7Rk2Zx9Lm4Tn8Wv3Yb6Hd1Pc5"
+    rows = [(1, f"see /example/{secret} there"), (2, f"id=00000000/{secret}"), (3, f"{secret}xxxxxxxxxxxx"), (4, "sk_EXAMPLE_key_xxxxxxxx_00000000_12345678"), (5, "/example/placeholder/1234567890123")]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, rows)).collect()}
+    for i, t in rows[:3]:
+        (span,) = got[i].split(",")
+        kind, a, b = span.split(":")
+        assert kind == "entropy" and secret in t[int(a) : int(b)] and not re.search("example|0{8}|x{8}", t[int(a) : int(b)])
+    assert got[4] == got[5] == ""
+
+
 def test_window_entropy_against_brute_force(spark):
     """First and last characters of hot windows, by counting each window anew."""
     from pyspark.sql import functions as F
@@ -245,25 +256,42 @@ def test_url_rules(spark):
 
 
 def test_rank_against_power_iteration(spark):
+    """Two walks at once; some hosts have no edge that leaves them."""
     rng = random.Random(2)
     hosts = [f"h{i}" for i in range(12)]
-    edges = [(rng.choice(hosts), rng.choice(hosts), float(rng.randint(1, 3))) for _ in range(30)]
+    edges = [(rng.choice(hosts[:9]), rng.choice(hosts), float(rng.randint(1, 3))) for _ in range(30)] + [("h0", "sink", 1.0), ("h3", "sink", 2.0)]
     merged: dict = {}
     for a, b, w in edges:
         if a != b:
             merged[a, b] = merged.get((a, b), 0) + w
-    seeds = {"h0": 0.7, "h3": 0.3}
-    got = {r.host: r.rank for r in url_filters.personalised_rank(spark.createDataFrame([(a, b, w) for (a, b), w in merged.items()], "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, share double"), iterations=6).collect()}
-    rank = dict(seeds)
-    for _ in range(6):
-        new = {h: 0.15 * s for h, s in seeds.items()}
-        for (a, b), w in merged.items():
-            total = sum(x for (s, _), x in merged.items() if s == a)
-            if a in rank:
-                new[b] = new.get(b, 0) + 0.85 * rank[a] * w / total
-        rank = new
-    assert {h for h, r in rank.items() if r > 0} == set(got)
-    assert all(math.isclose(got[h], rank[h], rel_tol=1e-9) for h in got)
+    seeds = {"one": {"h0": 0.7, "h3": 0.3}, "two": {"sink": 1.0}}
+    of_edges = spark.createDataFrame([(k, a, b, w) for k in seeds for (a, b), w in merged.items()], "kind string, src string, dst string, weight double")
+    of_seeds = spark.createDataFrame([(k, h, s) for k in seeds for h, s in seeds[k].items()], "kind string, host string, share double")
+    got = {(r.kind, r.host): r.rank for r in url_filters.personalised_rank(of_edges, of_seeds, 1e-4).collect()}
+    for kind, start in seeds.items():
+        rank = dict(start)
+        for _ in range(200):
+            new: dict = {}
+            for (a, b), w in merged.items():
+                total = sum(x for (s, _), x in merged.items() if s == a)
+                if a in rank:
+                    new[b] = new.get(b, 0) + 0.85 * rank[a] * w / total
+            left = 1 - sum(new.values())
+            for h, s in start.items():
+                new[h] = new.get(h, 0) + left * s
+            rank = new
+        mine = {h: r for (k, h), r in got.items() if k == kind}
+        assert math.isclose(sum(mine.values()), 1, rel_tol=1e-9)
+        assert sum(abs(mine.get(h, 0) - r) for h, r in rank.items()) < 1e-3
+    assert "sink" in {h for k, h in got if k == "one"}
+    assert url_filters.personalised_rank(of_edges, of_seeds.limit(0)).count() == 0
+
+
+def test_repeated_pages_and_null_ids_are_judged_each(spark):
+    rows = [(1, "http://bad.net/a", None, "x"), (1, "http://bad.net/a", None, "x"), (None, "http://x.org/fr/1", None, "y"), (None, None, None, "z"), (3, "http://long.com/" + "a" * 30_000, "<p>" * 30_000, "")]
+    pages = spark.createDataFrame([(i, u, h, o, o, o, o) for i, u, h, o in rows], "page_id long, url string, html string, rule string, kind string, rank string, trust string")
+    got = Counter((r.page_id, r.host, r.rule, r.verdict) for r in url_filters.judge(pages).collect())
+    assert got == Counter({(1, "bad.net", "net/", "block"): 2, (None, "x.org", "org/fr/", "allow"): 1, (None, "", None, "allow"): 1, (3, "long.com", None, "allow"): 1})
 
 
 def test_trust_and_distrust_spread_along_links(spark):
