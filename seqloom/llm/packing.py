@@ -10,6 +10,10 @@ plan is made from the histogram of piece lengths (the same size at any scale):
 3. actual pieces take the places of their group, longest first, which leaves gaps;
 4. what is left and all small lengths go best-fit into the gaps, longest first.
 
+Rounding costs room where lengths are spread evenly, and saves sequences where few sizes
+combine in few ways. So the plan is made with each number of groups in `N_GROUPS`, and
+without any, which is best fit alone; the one of fewest sequences is kept.
+
 The plan is kept as runs: (length, first rank, count, first sequence, offset) puts
 the piece of rank r at sequence first + (r - first rank). Ranks within a length are
 given in Spark: a counter a task and length, plus the counts of the tasks before.
@@ -35,12 +39,12 @@ from .common import saved, text_or_empty
 from .encoding import encoder
 
 CAPACITY = 4096
-#: Groups of equal count that the large lengths are rounded up to.
-N_GROUPS = 24
+#: Groups of equal count that the large lengths are rounded up to; 0 leaves them as they are.
+N_GROUPS = (0, 24, 48)
 #: A length above this share of the capacity is large.
 LARGE_SHARE = 0.125
 #: Rounds of column generation.
-MAX_ROUNDS = 150
+MAX_ROUNDS = 400
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -49,30 +53,30 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 def best_configuration(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The most valuable multiset of sizes that fits: unbounded knapsack over
-    capacities in steps of the sizes' best value."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    smallest = min(sizes)
-    order = [i for i in range(len(sizes)) if values[i] > 1e-12]
-    if not order:
-        return 0.0, [0] * len(sizes)
-    size, value, which = np.array([sizes[i] for i in order]), values[order], np.array(order)
-    for room in range(smallest, capacity + 1):
-        fit = size <= room
-        gain = np.where(fit, best[np.maximum(room - size, 0)] + value, -1.0)
-        k = int(gain.argmax())
-        if gain[k] > best[room - 1] + 1e-12:
-            best[room], last[room] = gain[k], which[k]
-        else:
-            best[room] = best[room - 1]
-    picked, room = [0] * len(sizes), capacity
-    while room >= smallest:
-        if best[room] == best[room - 1]:
-            room -= 1
-            continue
-        picked[last[room]] += 1
-        room -= sizes[last[room]]
+    """The most valuable multiset of sizes that fits: the best of one item, two items and
+    so on, for all capacities at once."""
+    picked = [0] * len(sizes)
+    order = np.flatnonzero(values > 1e-12)
+    if not len(order):
+        return 0.0, picked
+    size, value = np.array(sizes)[order], values[order]
+    best, last = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(size.min())):
+        # Row i: what each capacity is worth with one more item of size i.
+        padded = np.concatenate([np.full(capacity, -1e9), best])
+        gain = np.lib.stride_tricks.sliding_window_view(padded, capacity + 1)[capacity - size] + value[:, None]
+        k = gain.argmax(0)
+        top = np.take_along_axis(gain, k[None], 0)[0]
+        better = top > best + 1e-12
+        if not better.any():
+            break
+        last.append(np.where(better, order[k], -1))
+        best = np.where(better, top, best)
+    room = capacity
+    for of in reversed(last):
+        if of[room] >= 0:
+            picked[of[room]] += 1
+            room -= sizes[of[room]]
     return float(best[capacity]), picked
 
 
@@ -131,9 +135,22 @@ class Bins:
         return room, first, count
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = N_GROUPS) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: tuple[int, ...] = N_GROUPS) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, count, first sequence, offset) that place every
-    piece of the histogram, and the number of sequences."""
+    piece of the histogram, and the number of sequences: the best of the groupings."""
+    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    found = None
+    for n in n_groups:
+        now = grouped_plan(counts, capacity, n)
+        if found is None or now[1] < found[1]:
+            found = now
+        if found[1] <= least:
+            break  # no plan has fewer
+    return found
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, n_groups: int) -> tuple[np.ndarray, int]:
+    """The plan with large lengths rounded up to `n_groups` groups; 0 rounds none."""
     runs: list[tuple[int, int, int, int, int]] = []
     n_seq = 0
     ranks = dict.fromkeys(counts, 0)  # pieces of each length placed so far
@@ -149,7 +166,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = N_GRO
         left[length] -= count
 
     bins = Bins()
-    large = sorted((k for k in left if k > capacity * LARGE_SHARE), reverse=True)
+    large = sorted((k for k in left if n_groups and k > capacity * LARGE_SHARE), reverse=True)
     if large:
         total = sum(left[k] for k in large)
         groups: list[list[list[int]]] = []  # of [length, count], longest first

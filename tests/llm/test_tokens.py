@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -20,6 +21,19 @@ def test_pieces_encode_as_whole_texts(name):
         assert np.frombuffer(got[i], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t[:60])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_are_only_cut_for_known_tokenizers(name, tmp_path):
+    assert PieceEncoder(vocabulary(name)).cut
+    other = json.loads(open(vocabulary(name)).read())
+    other["pre_tokenizer"] = {"type": "Split", "pattern": {"String": "e"}, "behavior": "MergedWithNext", "invert": False}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    enc, whole = PieceEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not enc.cut
+    for t in ("one two three", "here we were", ""):
+        assert np.frombuffer(enc.batch([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_full_store_is_emptied():
     enc = PieceEncoder(vocabulary("byte_bpe_50k.json"), max_pieces=3)
     whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
@@ -132,6 +146,48 @@ def test_plan_places_everything():
         assert check_plan(counts) <= -(-sum(k * v for k, v in counts.items()) // 4096) * 1.01 + 1
 
 
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences, one piece after another."""
+    import bisect
+
+    rooms, opened = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, x)
+        room = rooms.pop(k) if k < len(rooms) else capacity
+        opened += room == capacity
+        if room - x:
+            bisect.insort(rooms, room - x)
+    return opened
+
+
+@pytest.mark.parametrize("kind", ["uniform", "narrow", "middle", "two humps", "few sizes"])
+def test_plan_is_never_worse_than_best_fit_decreasing(kind):
+    rng = np.random.default_rng(7)
+    n = 60_000 if kind == "uniform" else 5_000
+    drawn = {
+        "uniform": lambda: rng.integers(1, 4097, n), "narrow": lambda: rng.integers(1400, 2801, n), "middle": lambda: rng.integers(600, 2201, n),
+        "two humps": lambda: np.concatenate([rng.normal(1500, 100, n // 2), rng.normal(2600, 200, n // 2)]).astype(int).clip(1, 4096),
+        "few sizes": lambda: rng.choice([700, 900, 1300, 1366, 1500, 2000], n),
+    }[kind]()
+    lengths, counts = np.unique(drawn, return_counts=True)
+    n_seq = check_plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
+    assert n_seq <= best_fit_decreasing(drawn.tolist(), 4096)
+    if kind == "uniform":
+        assert n_seq <= 1.005 * max(-(-int(drawn.sum()) // 4096), int((drawn > 2048).sum()))
+
+
+def test_best_configuration_against_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sizes, values = sorted(rng.choice(np.arange(11, 60), 4, replace=False).tolist()), rng.random(4)
+        worth, picked = packing.best_configuration(sizes, values, 100)
+        every = [c for c in itertools.product(*(range(100 // x + 1) for x in sizes)) if np.dot(c, sizes) <= 100]
+        assert abs(worth - max(np.dot(c, values) for c in every)) < 1e-9 and abs(np.dot(picked, values) - worth) < 1e-9
+        assert np.dot(picked, sizes) <= 100
+
+
 def test_plan_against_best_small_packing():
     """Three thirds and pairs of halves: the optimum is known."""
     assert check_plan({40: 30, 60: 30}, 100) == 30
