@@ -3,11 +3,13 @@
 Both vocabularies split a text into pre-tokens before merging, and no pre-token
 reaches across a single space between two other characters. So a text is cut
 there, each distinct piece is encoded once by the tokenizers library, and the ids
-are joined. Texts with other runs of white space are given to the library whole.
+are joined. Texts with other runs of white space are given to the library whole, and so
+are all texts if the vocabulary's file names other parts than the known ones.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -17,6 +19,34 @@ MAX_PIECES = 1_500_000
 #: Longer pieces are encoded but not kept.
 MAX_PIECE_CHARS = 40
 
+# What must come before and during pre-tokenization so that no pre-token
+# reaches across a single space.
+BYTE_LEVEL = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+WORDS_ONLY = [{"type": "Split", "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "use_regex": False, "add_prefix_space": False}]
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "content": " "}, {"type": "Lowercase"}]
+
+
+def cut_at_spaces(parts: dict) -> bool:
+    """May texts be cut at single spaces? Only for a tokenizer made of the known parts."""
+
+    def like(found: dict | None, want: dict) -> bool:
+        return found is not None and all(found.get(k) == v for k, v in want.items())
+
+    def each(found: dict | None, name: str, want: list[dict]) -> bool:
+        rows = (found or {}).get(name) or []
+        return len(rows) == len(want) and all(map(like, rows, want))
+
+    if any(parts.get(k) for k in ("post_processor", "truncation", "padding")) or any(" " in t["content"] for t in parts["added_tokens"]):
+        return False
+    if parts["normalizer"] is None:
+        return like(parts["pre_tokenizer"], BYTE_LEVEL)
+    split = parts["pre_tokenizer"]
+    if not (each(parts["normalizer"], "normalizers", WORD_NORMALIZERS) and each(split, "pretokenizers", WORDS_ONLY)):
+        return False
+    # Words hold no white space.
+    return r"[^\s\p{L}\p{N}]+" in split["pretokenizers"][0]["pattern"].get("Regex", "")
+
+
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
@@ -42,7 +72,9 @@ class PieceEncoder:
         self.max_pieces = max_pieces
         self.kept: dict[str, bytes | None] = {}
         self.firsts: dict[str, bytes] = {}
-        self.byte_level = self.tokenizer.normalizer is None
+        parts = json.loads(self.tokenizer.to_str())
+        self.cut = cut_at_spaces(parts)
+        self.byte_level = parts["normalizer"] is None
         if self.byte_level:
             self.opens = np.zeros(self.vocab_size, bool)
             for token, i in vocab.items():
@@ -76,6 +108,8 @@ class PieceEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         kept = self.kept
+        if not self.cut:
+            return list(map(self.whole, texts))
         if len(kept) > self.max_pieces:
             kept.clear()
             self.firsts.clear()
