@@ -12,8 +12,8 @@ Two sources of pairs:
 - `swapped`: each conversation against itself with its last assistant turn replaced
   by that of the next conversation in order of conv_id (after the last: the first).
 
-The next one is found within blocks of conv_id, and only the first and last of each
-block meet across blocks, so that a very common opening is dealt out.
+The next one is found by numbers given range by range, so that a very common opening is
+dealt out.
 
 Defined cases: null role or text is empty; turns of one number are ordered by role and
 text; null turns come first; rows with null conv_id belong to no conversation; a
@@ -24,13 +24,12 @@ repeated rows are repeated turns; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
 from .common import saved
 
-#: conv_ids in a block of the neighbour search.
-BLOCK = 4096
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -42,12 +41,12 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def following(rows: DataFrame, *by: str) -> DataFrame:
-    """(chosen_id, rejected_id): each conv_id and the next one of equal `by`."""
-    rows = rows.select("conv_id", *by, F.floor(F.col("conv_id") / BLOCK).alias("block"))
-    within = rows.select(F.col("conv_id").alias("chosen_id"), F.lead("conv_id").over(Window.partitionBy(*by, "block").orderBy("conv_id")).alias("rejected_id"))
-    ends = rows.groupBy(*by, "block").agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high"))
-    across = ends.select(F.col("high").alias("chosen_id"), F.lead("low").over(Window.partitionBy(*by).orderBy("block")).alias("rejected_id"))
-    return within.union(across).where("rejected_id is not null")
+    """(chosen_id, rejected_id): each conv_id and the next one of equal `by`. Rows are
+    numbered by ranges and met with the number after theirs, so that many of one `by`
+    are spread like all others."""
+    at = numbered(rows.select("conv_id", *by), "_nth", *by, "conv_id")
+    after = at.select((F.col("_nth") - 1).alias("_nth"), F.col("conv_id").alias("rejected_id"), *by)
+    return at.join(after, ["_nth", *by]).select(F.col("conv_id").alias("chosen_id"), "rejected_id")
 
 
 def siblings(convs: DataFrame) -> DataFrame:
