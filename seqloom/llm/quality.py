@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, saved, text_or_empty
@@ -37,6 +37,8 @@ SEED = 17
 #: Bins of the score histogram that calibration is fitted on.
 N_BINS = 2000
 FOLDS, HELD_OUT = 3, 1
+#: Tasks whose sums are added up together before those of all tasks are.
+TASKS_SUMMED = 500
 
 STATISTICS = (
     "log_chars", "log_words", "chars_per_word", "chars_per_line", "upper", "lower", "digit", "space", "beyond_ascii",
@@ -127,7 +129,10 @@ def summed_rows(rows: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(v, np.float64) for v in table.column("values").to_pylist())
         return pa.table({"i": table.column("i")[:1], "values": pa.array([total.tobytes()], pa.binary())})
 
-    got = rows.groupBy("i").applyInArrow(add, "i int, values binary").toPandas().sort_values("i")
+    # Of ever so many tasks, no group holds more than some hundreds of rows.
+    shared = rows.withColumn("share", F.floor(F.spark_partition_id() / TASKS_SUMMED).cast("int"))
+    part = shared.groupBy("i", "share").applyInArrow(add, "i int, values binary")
+    got = part.groupBy("i").applyInArrow(add, "i int, values binary").toPandas().sort_values("i")
     return np.stack([np.frombuffer(v, np.float64) for v in got["values"]]) if len(got) else np.zeros((0, 0))
 
 
@@ -199,16 +204,6 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score_column(model: Model, text: str = "text") -> Column:
-    """The score of a text column, for filters that keep all other columns."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t or "") for t in texts]).reshape(-1, len(STATISTICS))))
-
-    return score(F.col(text))
-
-
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     stats = saved(statistics_table(docs), "op3-stats")
@@ -224,6 +219,21 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier does not reject, with all their columns."""
-    model = fit(saved(statistics_table(docs), "op3-stats"), labels)
-    return docs.where(score_column(model) >= 0.5)
+    """The rows that the classifier does not reject, with all their columns. The rows are
+    written with their statistics, which are computed once."""
+    name = "_stats"
+    while name in docs.columns:
+        name += "_"
+
+    @F.pandas_udf("array<double>")
+    def of_text(texts: pd.Series) -> pd.Series:
+        return texts.map(statistics)
+
+    rows = saved(docs.withColumn(name, of_text(text_or_empty())), "op3-rows")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("stats")), labels))
+
+    @F.pandas_udf("double")
+    def score(stats: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(np.stack(stats.to_list()) if len(stats) else np.zeros((0, len(STATISTICS)))))
+
+    return rows.where(score(name) >= 0.5).drop(name)

@@ -187,11 +187,19 @@ def test_preferences_against_sql(spark):
     assert preferences.format_pairs(table.limit(0)).count() == 0
 
 
-def test_preference_blocks_do_not_change_the_pairs(spark, monkeypatch):
-    rows = spark.createDataFrame([(i * 3, t, ["user", "assistant"][t], f"{t}" if t == 0 else f"r{i}") for i in range(30) for t in range(2)], "conv_id long, turn long, role string, text string")
-    one = {tuple(r) for r in preferences.format_pairs(rows).collect()}
-    monkeypatch.setattr(preferences, "BLOCK", 7)
-    assert {tuple(r) for r in preferences.format_pairs(rows).collect()} == one and len(one) == 59
+def test_one_opening_of_all_conversations_is_spread(spark):
+    rows = spark.createDataFrame([(i * 3, t, ["user", "assistant"][t], "hello" if t == 0 else f"r{i}") for i in range(300) for t in range(2)], "conv_id long, turn long, role string, text string")
+    pairs = preferences.following(preferences.conversations(rows).withColumn("opening", preferences.F.lit("hello")), "opening")
+    assert sorted(map(tuple, pairs.collect())) == [(i * 3, i * 3 + 3) for i in range(299)]
+    assert "SinglePartition" not in pairs._jdf.queryExecution().toString()
+
+
+def test_very_long_turns_and_repeated_rows(spark):
+    long = "word " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "a"), (2, 0, "user", long), (2, 1, "assistant", long), (2, 1, "assistant", long)]
+    got = preferences.format_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.kind, r.chosen_id, r.rejected_id) for r in got} == {("sibling", 1, 2), ("swapped", 1, 2), ("swapped", 2, 1)}
+    assert all(r.prompt.startswith(f"<|user|>\n{long}") for r in got)
 
 
 def test_pipeline_stages(spark, sf_dir):
