@@ -18,8 +18,9 @@ the passage: the shares of its question's and of its answer's word triples that
 there. The question is the item without its last sentence, the answer its last
 sentence; an item of one sentence is halved.
 
-The index is built in blocks of about `BLOCK_ITEMS` items and segments; each is sent to the executors in
-turn, and every passage is held against each, so that the benchmark may grow.
+The index is built in blocks of about `BLOCK_ITEMS` items and segments, each in a task.
+Each block is sent to the executors in turn, and every passage is held against each, so
+that the benchmark may grow.
 
 Defined cases: null text is the empty text and matches nothing; an item without words
 is never retrieved; equal items are retrieved each; null item_ids and doc_ids are kept;
@@ -32,6 +33,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import saved, text_or_empty
 
 K1, B = 1.2, 0.75
 PASSAGE_WORDS, STRIDE = 128, 64
@@ -229,9 +231,11 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
-def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
-    """The index, a block of items at a time; document frequencies count all items. Long
-    items are counted with their segments, so that blocks are of like size."""
+def index_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> tuple[DataFrame, int]:
+    """(block, index) and the number of blocks: each is built in a task from its items and
+    the document frequencies of their words, which count all items, and is written to the
+    shared folder. Long items are counted with their segments, so that blocks are of like
+    size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
 
     @F.pandas_udf("array<string>")
@@ -243,13 +247,29 @@ def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[In
     units = F.when(longer > 0, F.ceil(longer / SEGMENT_STRIDE) + 2).otherwise(1)
     n, n_units, mean_words = split.agg(F.count("*"), F.sum(units), F.avg(F.size("words"))).first()
     n_blocks, mean_words = -(-(n_units or 0) // block_items), mean_words or 1.0
-    frequency = split.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    numbered = split.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))
+    numbered = saved(split.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks)))), "op2-items")
+    words = numbered.select("block", F.explode(F.array_distinct("words")).alias("word"))
+    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
+    used = saved(words.distinct().join(frequency, "word").select("block", "word", "df"), "op2-words")
+
+    def build(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(((None if pd.isna(i) else int(i), t) for i, t in zip(mine["item_id"], mine["text"], strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        index = Index(rows, dict(zip(found["word"], found["df"], strict=True)), n, mean_words)
+        return pd.DataFrame({"block": mine["block"][:1], "index": [pickle.dumps(index)]})
+
+    # A null item_id must not turn the others into floats.
+    mine = numbered.select("block", F.col("item_id").cast("string").alias("item_id"), "text").groupBy("block")
+    built = mine.cogroup(used.groupBy("block")).applyInPandas(build, "block long, index binary")
+    return saved(built, "op2-index"), n_blocks
+
+
+def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
+    """The index, a block of about block_items items and segments at a time, as it is
+    broadcast."""
+    blocks, n_blocks = index_blocks(benchmark, block_items)
     for block in range(n_blocks):
-        mine = numbered.where(F.col("block") == block)
-        rows = sorted(((r.item_id, r.text) for r in mine.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # about block_items rows
-        df = {r.word: r.df for r in frequency.join(mine.select(F.explode("words").alias("word")).distinct(), "word").collect()}
-        yield Index(rows, df, n, mean_words)
+        for row in blocks.where(F.col("block") == block).collect():  # one, or none
+            yield pickle.loads(row["index"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -75,6 +75,45 @@ def test_long_items_are_found(spark, block_items):
     assert [r.doc_id for r in decontamination.clean(docs(spark, rows), bench, block_items=block_items).collect()] == [5000]
 
 
+def brute_leaks(text, items, score=decontamination.SCORE, overlap=decontamination.OVERLAP):
+    """Items found in a text, by the score of every item and segment in every passage."""
+    d = decontamination
+    each = {i: d.words_of(t) for i, t in items}
+    df, n = Counter(w for e in each.values() for w in set(e)), len(items)
+    mean = sum(map(len, each.values())) / n
+    reach, words, found = max(map(len, each.values())), d.words_of(text), set()
+    for first in range(0, len(words), d.STRIDE):
+        passage = set(words[first : first + d.PASSAGE_WORDS])
+        near = words[max(0, first - reach) : min(first + d.PASSAGE_WORDS, len(words)) + reach]
+        for i, t in items:
+            units = [" ".join(u) for u in ([each[i], *d.segments(each[i])] if each[i] else [])]
+            if not units or max(brute_scores(units, passage, df, n, mean)) < score - 1e-9:
+                continue
+            parts = [d.triples(p) for p in d.question_and_answer(t)]
+            around = {tuple(near[k : k + m]) for m in range(1, d.TRIPLE + 1) for k in range(len(near) - m + 1)}
+            if all(not p or sum(x in around for x in p) / len(p) >= overlap for p in parts):
+                found.add(i)
+    return found
+
+
+@pytest.mark.parametrize("block_items", [5_000, 20])
+def test_leaks_against_all_passages_and_items(spark, block_items):
+    """Items of all lengths, quoted whole, in part and with words changed."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, rng.choice([6, 12, 30, 60, 90, 200]))) for i in range(40)]
+    rows = []
+    for i in range(60):
+        quoted = rng.choice(items)[1].split()
+        quoted = quoted[: max(3, int(len(quoted) * rng.choice([0.3, 0.6, 0.9, 1])))]
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            quoted[rng.randrange(len(quoted))] = rng.choice(WORDS)
+        rows.append((i, f"{prose(rng, rng.randint(0, 300))} {' '.join(quoted)} {prose(rng, rng.randint(0, 200))}"))
+    bench = spark.createDataFrame([*items, (None, items[3][1])], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows), bench, block_items=block_items).collect()}
+    want = {(i, k) for i, t in rows for k in brute_leaks(t, [*items, (None, items[3][1])])}
+    assert found == want and len(want) > 5
+
+
 def test_segments_cover_long_items():
     for n in (0, 1, 64, 65, 96, 97, 600):
         parts = decontamination.segments(list(map(str, range(n))))
