@@ -35,6 +35,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: What stands for a secret in examples. Candidates end before it and begin anew after it.
 PLACEHOLDER = "(?i:example|placeholder|x{8}|0{8}|12345678)"
+RUN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 CANDIDATE = rf"(?:(?<![A-Za-z0-9+/=_-])|(?<={PLACEHOLDER}))(?:(?!{PLACEHOLDER})[A-Za-z0-9+/=_-]){{20,}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
@@ -50,9 +51,9 @@ ALLOWED = (
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def matches(text: Column, pattern: str, keep=None) -> Column:
-    """array of (start, end, value) of a pattern's matches. keep: which of them stay,
-    by value and place."""
+def matches(text: Column, pattern: str, only_with: str | None = None) -> Column:
+    """array of (start, end, value) of a pattern's matches. only_with: a cheaper pattern
+    that every text with a match matches as well."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
@@ -65,7 +66,7 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
 
     pairs = pairs.cast("array<struct<gap:string,value:string>>")
     # Most texts have no match: one search decides it.
-    some = F.when(text.rlike(pattern), F.aggregate(pairs, begin, step, lambda s: s["out"]))
+    some = F.when(text.rlike(only_with or pattern), F.aggregate(pairs, begin, step, lambda s: s["out"]))
     return F.coalesce(some, F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
@@ -118,7 +119,7 @@ def entropy_spans(text: Column) -> Column:
         return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~allowed
 
     threshold = lambda v: F.when(v.rlike(CLASSES[0][1]), CLASSES[0][2]).when(v.rlike(CLASSES[1][1]), CLASSES[1][2]).when(v.rlike(CLASSES[2][1]), CLASSES[2][2]).otherwise(CLASSES[3][2])
-    scored = F.transform(F.filter(matches(text, CANDIDATE), candidate), lambda m: F.struct(m["start"].alias("start"), hot_range(m["value"], threshold(m["value"])).alias("hot")))
+    scored = F.transform(F.filter(matches(text, CANDIDATE, RUN), candidate), lambda m: F.struct(m["start"].alias("start"), hot_range(m["value"], threshold(m["value"])).alias("hot")))
     hot = F.filter(scored, lambda m: m["hot"]["last"] > 0)
     return F.transform(hot, lambda m: F.struct((m["start"] + m["hot"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (m["start"] + m["hot"]["last"]).alias("end"))).cast(_SPAN)
 
