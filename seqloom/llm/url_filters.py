@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import new_path, removed, saved
 
 # The rules of the contract, (host, start of the path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -89,8 +89,7 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOL
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     steps = saved(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("part")), "op9-steps")
     seeds = saved(seeds.select("kind", "host", "share"), "op9-seeds")
-    none = seeds.sparkSession.createDataFrame([], "kind string, host string, moved double")
-
+    spark = seeds.sparkSession
     def ranks(moved: DataFrame, totals: dict) -> DataFrame:
         """What came along edges, and the rest of 1 at the seeds."""
         left = F.lit(1.0)
@@ -99,13 +98,16 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOL
         back = seeds.select("kind", "host", (left * F.col("share")).alias("rank"))
         return moved.select("kind", "host", (damping * F.col("moved")).alias("rank")).union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
 
-    moved, totals = none, {}
+    moved, totals, path = spark.createDataFrame([], "kind string, host string, moved double, before double"), {}, None
     while True:
-        new = ranks(moved, totals).join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("moved"))
-        new = saved(new, "op9-rank")
-        both = new.select("kind", "host", "moved", F.lit(0.0).alias("before")).union(moved.select("kind", "host", F.lit(0.0), "moved")).groupBy("kind", "host").agg(F.sum("moved").alias("moved"), F.sum("before").alias("before"))
-        found = both.groupBy("kind").agg(F.sum("moved").alias("total"), F.sum(F.abs(F.col("moved") - F.col("before"))).alias("change")).collect()  # a row a kind
-        moved, totals = new, {r.kind: r.total for r in found}
+        came = ranks(moved, totals).join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("moved"), F.lit(0.0).alias("before"))
+        both = came.union(moved.select("kind", "host", F.lit(0.0), "moved")).groupBy("kind", "host").agg(F.sum("moved").alias("moved"), F.sum("before").alias("before"))
+        old, path = path, new_path(spark, "op9-rank")
+        moved = saved(both, "op9-rank", path)
+        found = moved.groupBy("kind").agg(F.sum("moved").alias("total"), F.sum(F.abs(F.col("moved") - F.col("before"))).alias("change")).collect()  # a row a kind
+        totals = {r.kind: r.total for r in found}
+        if old:
+            removed(spark, old)
         # The seeds' part changes by no more than what moved does.
         if all(2 * damping * r.change < tolerance for r in found):
             return ranks(moved, totals)
