@@ -9,7 +9,9 @@ class Columns:
     """Residues of one alignment, numbered along its sequences, merged into columns.
 
     A merge is allowed if the two columns have no sequence in common and no path of
-    successive residues leads from one to the other."""
+    successive residues leads from one to the other. Columns are kept in an order that all
+    such paths follow, so that only one direction is searched, and no further than the
+    later column's place; a merge reorders the columns between the two places."""
 
     def __init__(self, lengths: list[int]):
         self.first, n = [], 0
@@ -20,6 +22,13 @@ class Columns:
         self.last = {f + length - 1 for f, length in zip(self.first, lengths, strict=True) if length}
         self.column = list(range(n))
         self.members: dict[int, list[int]] = {r: [r] for r in range(n)}
+        #: The sequences of each column as bits.
+        self.bits = [1 << s for s in self.sequence]
+        # At first by the share of its sequence that comes before a residue.
+        self.order: list[int | None] = sorted(range(n), key=lambda r: ((r - self.first[self.sequence[r]]) / (1 + lengths[self.sequence[r]]), r))
+        self.rank = [0] * n
+        for i, c in enumerate(self.order):
+            self.rank[c] = i
 
     def residue(self, sequence: int, position: int) -> int:
         return self.first[sequence] + position
@@ -28,49 +37,58 @@ class Columns:
         s = self.sequence[residue]
         return s, residue - self.first[s]
 
-    def leads(self, source: int, target: int) -> bool:
-        """Is there a path from column `source` to column `target`?"""
-        goal = {self.sequence[r]: r for r in self.members[target]}
+    def behind(self, source: int, target: int) -> set[int] | None:
+        """The columns that paths from `source` reach before the place of `target`; None if
+        one reaches `target` itself. `source` comes before `target`."""
+        goal, bound = self.bits[target], self.rank[target]
         stack, seen = [source], {source}
         while stack:
-            members = self.members[stack.pop()]
-            side = 0
-            for r in members:
-                at = goal.get(self.sequence[r])
-                if at is not None:
-                    side = -1 if r < at else 1
-                    break
-            if side < 0:
-                return True
-            if side > 0:  # already past the target
-                continue
-            for r in members:
-                if r not in self.last:
-                    after = self.column[r + 1]
-                    if after == target:
-                        return True
-                    if after not in seen:
-                        seen.add(after)
-                        stack.append(after)
-        return False
+            for r in self.members[stack.pop()]:
+                if r in self.last:
+                    continue
+                after = self.column[r + 1]
+                if after == target:
+                    return None
+                if after in seen or self.rank[after] > bound:
+                    continue
+                # A column before the target's place that shares a sequence leads to it.
+                if self.bits[after] & goal:
+                    return None
+                seen.add(after)
+                stack.append(after)
+        return seen
+
+    def mergeable(self, a: int, b: int) -> tuple[int, int, set[int]] | None:
+        """The columns of residues a and b in order, and what lies behind the first; None if
+        they may not be merged, or are one already."""
+        x, y = self.column[a], self.column[b]
+        if x == y or self.bits[x] & self.bits[y]:
+            return None
+        if self.rank[x] > self.rank[y]:
+            x, y = y, x
+        seen = self.behind(x, y)
+        return None if seen is None else (x, y, seen)
 
     def allowed(self, a: int, b: int) -> bool:
-        """May the columns of residues a and b be merged? Not if they are one already."""
-        x, y = self.column[a], self.column[b]
-        if x == y or {self.sequence[r] for r in self.members[x]} & {self.sequence[r] for r in self.members[y]}:
-            return False
-        return not self.leads(x, y) and not self.leads(y, x)
+        return self.mergeable(a, b) is not None
 
     def merge(self, a: int, b: int) -> bool:
-        if not self.allowed(a, b):
+        found = self.mergeable(a, b)
+        if found is None:
             return False
-        x, y = self.column[a], self.column[b]
-        if len(self.members[x]) < len(self.members[y]):
-            x, y = y, x
-        moved = self.members.pop(y)
-        for r in moved:
-            self.column[r] = x
-        self.members[x].extend(moved)
+        x, y, seen = found
+        low, high = self.rank[x], self.rank[y]
+        kept, gone = (x, y) if len(self.members[x]) >= len(self.members[y]) else (y, x)
+        between = [c for c in self.order[low + 1 : high] if c is not None]
+        moved = [*(c for c in between if c not in seen), kept, *(c for c in between if c in seen)]
+        self.order[low : high + 1] = moved + [None] * (high + 1 - low - len(moved))
+        for i, c in enumerate(moved, low):
+            self.rank[c] = i
+        taken = self.members.pop(gone)
+        for r in taken:
+            self.column[r] = kept
+        self.members[kept].extend(taken)
+        self.bits[kept] |= self.bits[gone]
         return True
 
     def groups(self) -> Iterable[list[int]]:

@@ -7,6 +7,8 @@ All tables are as large as the alphabet squared, times the number of pair statis
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -89,8 +91,14 @@ def letter_feature_lookup(table: DataFrame, alphabet: DataFrame, letter_features
     return table.join(F.broadcast(side("top")), "top_sym", "left").join(F.broadcast(side("bot")), "bot_sym", "left")
 
 
-def transition_features(alphabet: DataFrame, letter_features: DataFrame | None = None, statistics: DataFrame | None = None, use_letter_pairs: bool = True, use_long_gaps: bool = True) -> DataFrame:
-    """(state1, stat, state2, top_sym, bot_sym, feature, value).
+#: Features of one's own: transitions (the key, top_name, bot_name) to (the key, feature, value).
+Custom = Callable[[DataFrame], DataFrame]
+
+
+def transition_features(
+    alphabet: DataFrame, letter_features: DataFrame | None = None, statistics: DataFrame | None = None, use_letter_pairs: bool = True, use_long_gaps: bool = True, custom: Custom | None = None,
+) -> DataFrame:
+    """(state1, stat, state2, top_sym, bot_sym, feature, value), those of `custom` as well.
 
     statistics: (stat, label) of pair-specific models; each feature then also stands with
     the label as its prefix. Differences of unequal vectors have no prefix of their own,
@@ -129,8 +137,11 @@ def transition_features(alphabet: DataFrame, letter_features: DataFrame | None =
     parts.append(F.array(F.concat(pre, F.lit("state("), s1, F.lit(")"))))
     if use_long_gaps:
         parts.append(F.array(F.concat(pre, F.lit("statePair("), s1, F.lit(","), s2, F.lit(")"))))
-    each = rows.select(*KEY, F.explode(F.concat(*parts)).alias("feature"))
-    return each.groupBy(*KEY, "feature").agg(F.count("*").cast("double").alias("value"))
+    each = rows.select(*KEY, F.explode(F.concat(*parts)).alias("feature"), F.lit(1.0).alias("value"))
+    if custom is not None:
+        transitions = rows.select(*KEY, "top_name", "bot_name").distinct()
+        each = each.unionByName(custom(transitions).select(*KEY, "feature", F.col("value").cast("double").alias("value")))
+    return each.groupBy(*KEY, "feature").agg(F.sum("value").alias("value"))
 
 
 def transition_logprobs(features: DataFrame, weights: DataFrame) -> DataFrame:
@@ -150,10 +161,11 @@ def export_model_table(logprobs: DataFrame) -> DataFrame:
 
 def model_weights(logprobs: DataFrame, n_letters: int) -> dict[int, Weights]:
     """The table as arrays for the recurrences, by pair statistic."""
-    n, rows = n_letters + 2, logprobs.toPandas()
-    if len(rows) > MAX_TABLE:
-        raise ValueError(f"a model table of {len(rows)} cells is too large to send to the executors")
-    out = {}
+    n = n_letters + 2
+    n_cells = 9 * n * n * logprobs.select("stat").distinct().count()
+    if n_cells > MAX_TABLE:
+        raise ValueError(f"a model table of {n_cells} cells is too large to send to the executors")
+    out, rows = {}, logprobs.toPandas()
     for stat, part in rows.groupby("stat"):
         table = np.full((3, 3, n, n), NEG)
         table[part.state1, part.state2, part.top_sym, part.bot_sym] = part.logp
@@ -201,9 +213,9 @@ def minimise(function, start: np.ndarray, steps: int = 200, tolerance: float = 1
     return x
 
 
-def objective(features: pd.DataFrame, counts: pd.DataFrame, centers: dict[str, float], sigma: float):
+def objective(features: pd.DataFrame, counts: pd.DataFrame, centers: dict[str, float], sigma: float, factors: dict[str, float] | None = None):
     """(names, function): penalised negative log-likelihood and its gradient for weights
-    in the order of names."""
+    in the order of names. factors multiply the penalty of their features."""
     cells = features[KEY].drop_duplicates().reset_index(drop=True)
     cells["cell"] = np.arange(len(cells))
     context = cells.groupby(["state1", "stat"]).ngroup().to_numpy()
@@ -214,6 +226,7 @@ def objective(features: pd.DataFrame, counts: pd.DataFrame, centers: dict[str, f
     c = cells.merge(counts, on=KEY, how="left").sort_values("cell").expected.fillna(0.0).to_numpy()
     totals = np.bincount(context, c)
     center = np.array([centers.get(f, 0.0) for f in names])
+    factor = np.array([(factors or {}).get(f, 1.0) for f in names])
 
     def function(w: np.ndarray) -> tuple[float, np.ndarray]:
         score = np.bincount(row, value * w[col], len(cells))
@@ -223,18 +236,19 @@ def objective(features: pd.DataFrame, counts: pd.DataFrame, centers: dict[str, f
         logp = score - norm[context]
         gap = c - totals[context] * np.exp(logp)
         away = w - center
-        return float(-(c * logp).sum() + (away**2).sum() / (2 * sigma**2)), -np.bincount(col, value * gap[row], len(names)) + away / sigma**2
+        return float(-(c * logp).sum() + (factor * away**2).sum() / (2 * sigma**2)), -np.bincount(col, value * gap[row], len(names)) + factor * away / sigma**2
 
     return names, function
 
 
-def m_step(features: DataFrame, suffstats: DataFrame, start: DataFrame | None = None, centers: DataFrame | None = None, sigma: float = 1.0) -> DataFrame:
+def m_step(features: DataFrame, suffstats: DataFrame, start: DataFrame | None = None, centers: DataFrame | None = None, sigma: float = 1.0, factors: DataFrame | None = None) -> DataFrame:
     """(feature, weight) that fit the expected counts, with a normal penalty of width
-    sigma about the centers. The tables are those of the model, small at any number of
-    pairs, and are fitted on the driver."""
+    sigma about the centers, times the factor of the features in (feature, factor). The
+    tables are those of the model, small at any number of pairs, and are fitted on the
+    driver."""
     spark = features.sparkSession
-    as_dict = lambda w: dict(w.select("feature", "weight").toPandas().itertuples(index=False)) if w is not None else {}
-    names, function = objective(features.toPandas(), suffstats.select(*KEY, "expected").toPandas(), as_dict(centers), sigma)
+    as_dict = lambda w, of="weight": dict(w.select("feature", of).toPandas().itertuples(index=False)) if w is not None else {}
+    names, function = objective(features.toPandas(), suffstats.select(*KEY, "expected").toPandas(), as_dict(centers), sigma, as_dict(factors, "factor"))
     begin = as_dict(start)
     fitted = minimise(function, np.array([begin.get(f, 0.0) for f in names]))
     return spark.createDataFrame(pd.DataFrame({"feature": names, "weight": fitted}), "feature string, weight double")

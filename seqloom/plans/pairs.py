@@ -159,15 +159,30 @@ _COUNTS = "state1 int, stat int, state2 int, top_sym int, bot_sym int, expected
 def expected_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> DataFrame:
     """(state1, stat, state2, top_sym, bot_sym, expected): posterior numbers of moves over
     all pairs, the boundary's included; added up within a batch, then over tasks."""
+    return sum_sufficient_statistics(batch_counts(pairs, weights, boundary, n_letters).where("state1 >= 0"))
+
+
+def batch_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> DataFrame:
+    """The expected counts of each batch, and as a row of state1 -1 its log-likelihood."""
     n = n_letters + 2
 
     def work(rows: pd.DataFrame, batch: Batch, w: Weights) -> pd.DataFrame:
         counts = np.zeros((w.n_states, w.n_states, n, n))
-        kernels.posteriors(batch, w, counts, epsilon=n - 1)
-        s1, s2, a, b = np.nonzero(counts > 0)
-        return pd.DataFrame({"state1": s1.astype(np.int32), "stat": np.int32(rows.stat.iloc[0]), "state2": s2.astype(np.int32), "top_sym": a.astype(np.int32), "bot_sym": b.astype(np.int32), "expected": counts[s1, s2, a, b]})
+        _, totals = kernels.posteriors(batch, w, counts, epsilon=n - 1)
+        s1, s2, a, b = (np.append(v, -1).astype(np.int32) for v in np.nonzero(counts > 0))
+        expected = np.append(counts[counts > 0], totals.sum())
+        return pd.DataFrame({"state1": s1, "stat": np.int32(rows.stat.iloc[0]), "state2": s2, "top_sym": a, "bot_sym": b, "expected": expected})
+
+    return per_pairs(pairs, weights, boundary, _COUNTS, work)
+
 
-    return sum_sufficient_statistics(per_pairs(pairs, weights, boundary, _COUNTS, work))
+def counts_and_likelihood(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> tuple[DataFrame, float]:
+    """Expected counts and the summed log-likelihood of all pairs, by one pass over them.
+    The counts are as large as the model."""
+    schema, each = _COUNTS, batch_counts(pairs, weights, boundary, n_letters)
+    rows = each.groupBy("state1", "stat", "state2", "top_sym", "bot_sym").agg(F.sum("expected").alias("expected")).toPandas()
+    loglik = float(rows.expected[rows.state1 < 0].sum())
+    return pairs.sparkSession.createDataFrame(rows[rows.state1 >= 0], schema), loglik
 
 
 def sum_sufficient_statistics(counts: DataFrame) -> DataFrame:

@@ -47,9 +47,16 @@ def current_model(features: DataFrame, weights: DataFrame, n_letters: int):
 
 def train(
     sequences: DataFrame, iterations: int = 10, letter_features: DataFrame | None = None, sigma: float = 1.0, initial: str | DataFrame = "ZERO", centers: str | DataFrame = "ZERO",
-    pair_specific: bool = False, use_letter_pairs: bool = True, use_long_gaps: bool = True,
+    pair_specific: bool = False, use_letter_pairs: bool = True, use_long_gaps: bool = True, custom: model.Custom | None = None, factors: DataFrame | None = None,
+    outputs: str | None = None, thresholds: list[float] | None = None, write_every_iteration: bool = False,
 ) -> list[Step]:
-    """Expected counts of all pairs, then new weights, `iterations` times."""
+    """Expected counts of all pairs, then new weights, `iterations` times. custom and factors:
+    further features, and the penalty's factor of some. outputs: a folder for the weights
+    and the alignments at each threshold after the last round, or after each."""
+    from ..sources.files import write_iteration_outputs
+
+    if outputs is not None and pair_specific:
+        raise ValueError("alignments are written for models that all pairs share")
     spark = sequences.sparkSession
     alphabet = model.build_alphabet(sequences).cache()
     n = alphabet.count()
@@ -59,29 +66,28 @@ def train(
         index = pairs.pair_statistic_index(sequences).cache()
         paired, statistics = pairs.with_statistics(paired, index), index
     paired = pairs.dealt_out(paired).cache()
-    features = model.transition_features(alphabet, letter_features, statistics, use_letter_pairs, use_long_gaps).cache()
+    features = model.transition_features(alphabet, letter_features, statistics, use_letter_pairs, use_long_gaps, custom).cache()
     weights = init_weights(spark, initial)
     center = regularization_centers(spark, centers, weights)
     steps = []
     for i in range(iterations):
-        table = current_model(features, weights, n)
-        from pyspark.sql import functions as F
-
-        loglik = pairs.pair_log_likelihood(paired, table, n).agg(F.sum("loglik")).first()[0] or 0.0
-        counts = pairs.expected_counts(paired, table, n, n)
-        weights = model.m_step(features, counts, weights, center, sigma)
+        counts, loglik = pairs.counts_and_likelihood(paired, current_model(features, weights, n), n, n)
+        weights = model.m_step(features, counts, weights, center, sigma, factors)
         steps.append(Step(i, loglik, weights))
+        if outputs is not None and (write_every_iteration or i == iterations - 1):
+            grid = align_groups(sequences, weights, letter_features, thresholds or [0.0], custom)
+            write_iteration_outputs(grid, sequences, weights, outputs, i)
     for df in (alphabet, paired, features):
         df.unpersist()
     return steps
 
 
-def align_groups(sequences: DataFrame, weights: DataFrame | None = None, letter_features: DataFrame | None = None, thresholds: list[float] | None = None) -> DataFrame:
+def align_groups(sequences: DataFrame, weights: DataFrame | None = None, letter_features: DataFrame | None = None, thresholds: list[float] | None = None, custom: model.Custom | None = None) -> DataFrame:
     """Consensus columns from the posteriors of all pairs: at threshold 0, or with column
     `threshold` for each of several."""
     alphabet = model.build_alphabet(sequences)
     n = alphabet.count()
-    table = current_model(model.transition_features(alphabet, letter_features), weights if weights is not None else zero_weights(sequences.sparkSession), n)
+    table = current_model(model.transition_features(alphabet, letter_features, custom=custom), weights if weights is not None else zero_weights(sequences.sparkSession), n)
     paired = pairs.dealt_out(pairs.sequence_pairs(model.with_letter_ids(sequences, alphabet)))
     edges = pairs.pair_posteriors(paired, table, n, over=min(thresholds or [0.0]))
     if thresholds:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import letters as L
@@ -70,15 +70,43 @@ def guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return justified(order_sequences(spark, sf_dir), left=False)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, sequences: DataFrame | None = None) -> DataFrame:
     """A score for every two positions of two sequences of a group."""
-    r = explode_residues(order_sequences(spark, sf_dir))
+    r = explode_residues(order_sequences(spark, sf_dir) if sequences is None else sequences)
     side = lambda i: r.select(F.col("group_id").alias("aln_id"), F.col("sequence_id").alias(f"seq{i}"), F.col("pos").alias(f"pos{i}"), F.col("letter").alias(f"l{i}"))
     both = side(1).join(side(2), "aln_id").where("seq1 < seq2")
     score = F.when(F.col("l1") == F.col("l2"), 0.9).otherwise(0.4) - 0.15 * F.abs(F.col("pos1") - F.col("pos2"))
     return both.select("aln_id", "seq1", "pos1", "seq2", "pos2", rounded(score).alias("score"))
 
 
+def duets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of a customer two by two, each two a group of their own. There two links
+    fit together if they keep their order on both sides, which SQL can tell."""
+    s = order_sequences(spark, sf_dir)
+    return s.withColumn("group_id", F.concat_ws("/", "group_id", F.floor(F.col("ord") / 2).cast("string"))).withColumn("ord", F.col("ord") % 2)
+
+
+DUETS = SEQ + """, duet AS (SELECT group_id || '/' || ((row_number() OVER (PARTITION BY group_id ORDER BY sequence_id) - 1) // 2) AS aln_id, sequence_id, letters, len(letters) AS n FROM seq),
+dres AS (SELECT aln_id, sequence_id, n, CAST(i AS INTEGER) AS pos, letters[i + 1] AS letter FROM (SELECT *, unnest(range(n)) AS i FROM duet)),
+dscored AS (
+  SELECT a.aln_id, a.sequence_id AS seq1, a.pos AS pos1, b.sequence_id AS seq2, b.pos AS pos2, least(a.n, b.n) AS shorter,
+         round(CASE WHEN a.letter = b.letter THEN 0.9 ELSE 0.4 END - 0.15 * abs(a.pos - b.pos), 9) AS score
+  FROM dres a JOIN dres b ON a.aln_id = b.aln_id AND a.sequence_id < b.sequence_id)"""
+
+
+def greedy_sql(where: str) -> str:
+    """Links taken best first, of those that pass `where`: (aln_id, k, ..., score)."""
+    return f"""WITH RECURSIVE {DUETS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY aln_id ORDER BY score DESC, seq1, pos1, seq2, pos2) AS k FROM dscored WHERE {where}),
+greedy AS (SELECT DISTINCT aln_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a INTEGER, b INTEGER)[]) AS held, false AS taken FROM ranked
+  UNION ALL SELECT aln_id, k, CASE WHEN fits THEN list_append(held, {{'a': pos1, 'b': pos2}}) ELSE held END, fits
+  FROM (SELECT r.aln_id, r.k, held, pos1, pos2, len([x FOR x IN held IF (x.a - pos1) * (x.b - pos2) <= 0]) = 0 AS fits FROM greedy g JOIN ranked r ON r.aln_id = g.aln_id AND r.k = g.k + 1)),
+accepted AS (SELECT r.* FROM greedy g JOIN ranked r ON r.aln_id = g.aln_id AND r.k = g.k WHERE taken)"""
+
+
+_MERGED = "coalesce(a.seq1 || ':' || a.pos1, d.sequence_id || ':' || d.pos) AS column_id, d.sequence_id, d.pos FROM dres d"
+_LINKED = "a.aln_id = d.aln_id AND a.seq2 = d.sequence_id AND a.pos2 = d.pos"
+
+
 def letters_text(df: DataFrame, name: str = "letters") -> DataFrame:
     return df.withColumn(name, F.array_join(name, " "))
 
@@ -156,6 +184,15 @@ def brand_weights(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.concat(F.lit("brand("), "p_brand", F.lit(")")).alias("feature")).agg(F.sum("p_size").cast("double").alias("weight"))
 
 
+@query("SELECT 'brand(' || p_brand || ')' AS feature, CAST(sum(p_size) AS DOUBLE) AS weight, CAST(sum(p_size) AS DOUBLE) AS center FROM part GROUP BY p_brand")
+def init_weights(spark, sf_dir):
+    """Weights to start from, of a file, and the penalty's centers, the same as these."""
+    path = new_path(spark, "weights")
+    files.write_weights(brand_weights(spark, sf_dir), path)
+    start = training.init_weights(spark, path)
+    return start.join(training.regularization_centers(spark, "SAME", start).withColumnRenamed("weight", "center"), "feature")
+
+
 @query("SELECT 'brand(' || p_brand || ')' AS feature, CAST(sum(p_size) AS DOUBLE) AS weight FROM part GROUP BY p_brand")
 def read_weights(spark, sf_dir):
     path = new_path(spark, "weights")
@@ -205,7 +242,7 @@ def parse_edge_literal(spark, sf_dir):
     return e.select("aln_id", L.parse_edge_literal(text).alias("e")).select("aln_id", "e.*")
 
 
-@query()
+@query("SELECT CAST(0 AS DOUBLE) AS threshold, CAST(user_id % 10 AS VARCHAR) AS aln_id, 2 * count(DISTINCT user_id) AS lines FROM events GROUP BY 2")
 def write_iteration_outputs(spark, sf_dir):
     """Rows written for the events of each user group, by folder."""
     sequences = event_sequences(spark, sf_dir)
@@ -324,9 +361,9 @@ def char_at(spark, sf_dir):
     return A.char_at(gold(spark, sf_dir), explode_residues(order_sequences(spark, sf_dir)))
 
 
-@query(f"WITH {COLS} SELECT aln_id, sequence_id, pos, column_id FROM gold WHERE pos > 0")
+@query(f"WITH {COLS} SELECT aln_id, sequence_id, pos, column_id FROM gold")
 def column_of(spark, sf_dir):
-    rows = explode_residues(order_sequences(spark, sf_dir)).where("pos > 0").select(F.col("group_id").alias("aln_id"), "sequence_id", "pos")
+    rows = explode_residues(order_sequences(spark, sf_dir)).select(F.col("group_id").alias("aln_id"), "sequence_id", "pos")
     return A.column_of(gold(spark, sf_dir), rows)
 
 
@@ -349,14 +386,6 @@ def shared_columns(spark, sf_dir):
     return A.shared_columns(gold(spark, sf_dir), guess(spark, sf_dir))
 
 
-@query()
-def reweight_pairs(spark, sf_dir):
-    """Posteriors with odds for positions of equal place."""
-    paired, weights, n = modelled(spark, sf_dir)
-    odds = paired.select("group_id", "top_id", "bot_id", F.explode(F.sequence(F.lit(0), F.least(F.size("top"), F.size("bot")) - 1)).alias("x")).select("*", F.col("x").alias("y"), F.lit(1.0).alias("log_odds"))
-    return pairs.pair_posteriors(pairs.reweight_pairs(paired, odds), weights, n).withColumn("score", rounded("score"))
-
-
 # --- aggregations -----------------------------------------------------------
 
 
@@ -383,9 +412,9 @@ def sequence_summary(spark, sf_dir):
     return M.sequence_summary(order_sequences(spark, sf_dir)).withColumn("mean_length", rounded("mean_length"))
 
 
-def _pair_sql(letters: bool) -> str:
+def _pair_sql(letters: bool, of: str = "gold") -> str:
     same = "AND a.letter = b.letter" if letters else ""
-    return f"""WITH {COLS}, cell AS (SELECT g.*, letter, n FROM gold g JOIN res USING (aln_id, sequence_id, pos)),
+    return f"""WITH {COLS}, cell AS (SELECT g.*, letter, n FROM {of} g JOIN res USING (aln_id, sequence_id, pos)),
 hits AS (SELECT a.aln_id, a.sequence_id AS t1, b.sequence_id AS t2, count(*) AS h FROM cell a JOIN cell b ON a.aln_id = b.aln_id AND a.column_id = b.column_id AND a.sequence_id <> b.sequence_id {same} GROUP BY ALL),
 stat AS (SELECT a.group_id AS aln_id, a.sequence_id AS t1, b.sequence_id AS t2, coalesce(h, 0) / len(a.letters) AS value
   FROM seq a JOIN seq b ON a.group_id = b.group_id AND a.sequence_id <> b.sequence_id LEFT JOIN hits ON hits.aln_id = a.group_id AND t1 = a.sequence_id AND t2 = b.sequence_id)"""
@@ -429,12 +458,18 @@ def accuracy(spark, sf_dir):
 
 @query(f"WITH {COLS} SELECT aln_id, bool_and(gold.column_id = guess.column_id) AS equal FROM gold JOIN guess USING (aln_id, sequence_id, pos) GROUP BY 1")
 def alignments_equal(spark, sf_dir):
-    return M.alignments_equal(gold(spark, sf_dir), guess(spark, sf_dir))
+    s = order_sequences(spark, sf_dir)
+    return M.alignments_equal(gold(spark, sf_dir), guess(spark, sf_dir), s, s)
 
 
-@query()
+@query(f"""SELECT * FROM (WITH {SEQ} SELECT group_id AS aln_id, count(*) AS n_sequences, round(avg(len(letters)), 9) AS mean_length FROM seq GROUP BY 1)
+LEFT JOIN (WITH {COLS}, sizes AS (SELECT aln_id, column_id, count(*) AS n FROM guess GROUP BY ALL) SELECT aln_id, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n_edges FROM sizes GROUP BY 1) USING (aln_id)
+LEFT JOIN (SELECT aln_id, value AS aligned FROM ({_pair_sql(False, 'guess')}{_MEAN})) USING (aln_id)
+LEFT JOIN (SELECT aln_id, value AS identity FROM ({_pair_sql(True, 'guess')}{_MEAN})) USING (aln_id)
+LEFT JOIN ({_ACCURACY}) USING (aln_id)""")
 def alignment_report(spark, sf_dir):
-    return M.alignment_report(guess(spark, sf_dir), order_sequences(spark, sf_dir), gold(spark, sf_dir))
+    got = M.alignment_report(guess(spark, sf_dir), order_sequences(spark, sf_dir), gold(spark, sf_dir))
+    return got.select(*[rounded(n).alias(n) if t == "double" else n for n, t in got.dtypes])
 
 
 # --- windows, order ---------------------------------------------------------
@@ -462,21 +497,21 @@ def initial_linearization(spark, sf_dir):
     return A.initial_linearization(order_sequences(spark, sf_dir))
 
 
-@query(f"""WITH {SCORED}, good AS (SELECT * FROM scored WHERE score > 0.45), w AS (SELECT *, lag(pos1) OVER o AS p1, lag(pos2) OVER o AS p2 FROM good WINDOW o AS (PARTITION BY aln_id, seq1, seq2 ORDER BY pos1, pos2))
+@query(f"""WITH {SCORED}, w AS (SELECT *, lag(pos1) OVER o AS p1, lag(pos2) OVER o AS p2 FROM scored WINDOW o AS (PARTITION BY aln_id, seq1, seq2 ORDER BY pos1, pos2))
 SELECT aln_id, seq1, pos1, seq2, pos2, score FROM w WHERE pos1 = p1 OR pos2 <= p2""")
 def crossing_edges(spark, sf_dir):
-    return A.crossing_edges(A.filter_edges_by_score(scored(spark, sf_dir), 0.45))
+    return A.crossing_edges(scored(spark, sf_dir))
 
 
-@query(f"WITH {SCORED} SELECT *, CAST(row_number() OVER (PARTITION BY aln_id ORDER BY score DESC, seq1, pos1, seq2, pos2) AS INTEGER) AS rank FROM scored WHERE score > 0.6")
+@query(f"WITH {SCORED} SELECT *, CAST(row_number() OVER (PARTITION BY aln_id ORDER BY score DESC, seq1, pos1, seq2, pos2) AS INTEGER) AS rank FROM scored")
 def rank_edges(spark, sf_dir):
-    return A.rank_edges(scored(spark, sf_dir).where("score > 0.6"))
+    return A.rank_edges(scored(spark, sf_dir))
 
 
-@query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY aln_id ORDER BY score DESC, seq1, pos1, seq2, pos2) AS k, count(*) OVER (PARTITION BY aln_id) AS n FROM scored WHERE score > 0.6)
+@query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY aln_id ORDER BY score DESC, seq1, pos1, seq2, pos2) AS k, count(*) OVER (PARTITION BY aln_id) AS n FROM scored)
 SELECT aln_id, seq1, pos1, seq2, pos2, score, CAST(k AS INTEGER) AS k FROM r WHERE k = n OR k % greatest(n // 4, 1) = 0""")
 def roc_sample_points(spark, sf_dir):
-    return C.roc_sample_points(A.rank_edges(scored(spark, sf_dir).where("score > 0.6")).withColumnRenamed("rank", "k"), 4)
+    return C.roc_sample_points(A.rank_edges(scored(spark, sf_dir)).withColumnRenamed("rank", "k"), 4)
 
 
 @query(f"WITH {COLS} SELECT DISTINCT aln_id, column_id, CAST(pos AS INTEGER) AS place FROM gold")
@@ -547,14 +582,47 @@ def columns_from_edges(spark, sf_dir):
     return C.columns_from_edges(g.select("aln_id", "sequence_id", "pos"), A.spanning_edges(g))
 
 
-@query()
+@query(f"""WITH {SCORED}, low AS (SELECT aln_id, pos, min(sequence_id) AS seq1 FROM res GROUP BY ALL)
+SELECT s.aln_id, s.seq1, pos1, seq2, pos2, pos1 = pos2 AND pos1 > 0 AND s.seq1 = low.seq1 AS accepted FROM scored s JOIN low ON low.aln_id = s.aln_id AND low.pos = pos1""")
 def try_adding_edges(spark, sf_dir):
-    return C.try_adding_edges(order_sequences(spark, sf_dir), scored(spark, sf_dir), gold(spark, sf_dir))
+    """Links of equal positions come first, by position, to an alignment of the first
+    positions: each column's least sequence takes the others, which are linked by then;
+    all other links would part a column."""
+    rank = F.row_number().over(Window.partitionBy("aln_id").orderBy(F.col("pos1") != F.col("pos2"), "pos1", "seq1", "seq2", "pos2"))
+    edges = scored(spark, sf_dir).drop("score").withColumn("rank", rank)
+    return C.try_adding_edges(order_sequences(spark, sf_dir), edges, gold(spark, sf_dir).where("pos = 0"))
 
 
-@query()
+@query(f"WITH {SCORED} SELECT aln_id, seq1, pos1, seq2, pos2, pos1 > 0 AND pos2 > 0 AS valid FROM scored")
 def is_valid_addition(spark, sf_dir):
-    return C.is_valid_addition(order_sequences(spark, sf_dir), scored(spark, sf_dir))
+    """To an alignment of the first positions: each other position stands free."""
+    return C.is_valid_addition(order_sequences(spark, sf_dir), scored(spark, sf_dir), gold(spark, sf_dir).where("pos = 0"))
+
+
+@query(greedy_sql("score > 0.45") + f" SELECT d.aln_id, {_MERGED} LEFT JOIN accepted a ON {_LINKED}")
+def consensus_alignment_of_duets(spark, sf_dir):
+    s = duets(spark, sf_dir)
+    return C.consensus_alignment(s, scored(spark, sf_dir, s), 0.45)
+
+
+@query(greedy_sql("score > 0") + f" SELECT d.aln_id, {_MERGED} LEFT JOIN accepted a ON {_LINKED}")
+def max_recall_alignment_of_duets(spark, sf_dir):
+    s = duets(spark, sf_dir)
+    return C.max_recall_alignment(s, scored(spark, sf_dir, s))
+
+
+@query(greedy_sql("score > 0") + f", t AS (SELECT unnest([0.0::DOUBLE, 0.5, 0.75]) AS threshold) SELECT threshold, d.aln_id, {_MERGED} CROSS JOIN t LEFT JOIN accepted a ON {_LINKED} AND a.score > threshold")
+def consensus_grid_of_duets(spark, sf_dir):
+    s = duets(spark, sf_dir)
+    return C.consensus_grid(s, scored(spark, sf_dir, s), [0.0, 0.5, 0.75])
+
+
+@query(greedy_sql("true") + """, path AS (SELECT *, row_number() OVER w AS c, sum(CAST(pos1 = pos2 AS INTEGER)) OVER w AS shared, count(*) OVER (PARTITION BY aln_id) AS n FROM accepted WINDOW w AS (PARTITION BY aln_id ORDER BY k))
+SELECT aln_id, CAST(c AS INTEGER) AS k, round(shared / c, 9) AS precision, round(shared / shorter, 9) AS recall, score AS posterior FROM path WHERE c = n OR c % greatest(n // 10, 1) = 0""")
+def roc_curve_of_duets(spark, sf_dir):
+    s = duets(spark, sf_dir)
+    got = C.roc_curve(s, scored(spark, sf_dir, s), justified(s), 10)
+    return got.select("aln_id", "k", rounded("precision").alias("precision"), rounded("recall").alias("recall"), "posterior")
 
 
 @query()
@@ -602,6 +670,14 @@ _LOGPROBS = _TRANSITION + """, s AS (SELECT state1, state2, top_sym, bot_sym, su
 lp AS (SELECT state1, state2, top_sym, bot_sym, score - ln(sum(exp(score)) OVER (PARTITION BY state1)) AS logp FROM s)"""
 
 
+@query(_TRANSITION + """ SELECT state1, 0 AS stat, state2, top_sym, bot_sym, feature, 1.0::DOUBLE AS value FROM f
+UNION ALL SELECT state1, 0, state2, top_sym, bot_sym, 'begins(' || top_name[1] || ')', 2.0::DOUBLE FROM support WHERE state1 = state2""")
+def custom_transition_features(spark, sf_dir):
+    """Beside the model's own features, one of the letter and the kept state."""
+    own = lambda rows: rows.where("state1 = state2").select(*model.KEY, F.concat(F.lit("begins("), F.substring("top_name", 1, 1), F.lit(")")).alias("feature"), F.lit(2.0).alias("value"))
+    return model.transition_features(model.build_alphabet(order_sequences(spark, sf_dir)), custom=own)
+
+
 @query(_LOGPROBS + " SELECT state1, 0 AS stat, state2, top_sym, bot_sym, round(logp, 9) AS logp FROM lp")
 def transition_logprobs(spark, sf_dir):
     alphabet = model.build_alphabet(order_sequences(spark, sf_dir))
@@ -637,6 +713,24 @@ def pair_posteriors(spark, sf_dir):
     return pairs.pair_posteriors(paired, weights, n).withColumn("score", rounded("score"))
 
 
+@query(_GRID + """, off AS (SELECT DISTINCT n - m AS d FROM pair),
+f1 AS (SELECT 0 AS step, 0 AS x, 0 AS y, 0 AS s, 1.0::DOUBLE AS w
+  UNION ALL SELECT step + 1, x + dx, y + dy, s2, sum(w * p * CASE WHEN s2 = 0 AND x = y THEN exp(1) ELSE 1 END) FROM f1 JOIN moves ON s = s1, top WHERE x + dx <= n AND y + dy <= n GROUP BY step, x + dx, y + dy, s2),
+fwd1 AS (SELECT x, y, sum(w * p) AS w FROM f1 JOIN p USING (s) GROUP BY ALL),
+g1 AS (SELECT d, 0 AS step, 0 AS x, 0 AS y, s, p AS w FROM p, off
+  UNION ALL SELECT d, step + 1, x + dx, y + dy, s1, sum(w * p * CASE WHEN s2 = 0 AND x - y = d THEN exp(1) ELSE 1 END) FROM g1 JOIN moves ON s = s2, top WHERE x + dx <= n AND y + dy <= n GROUP BY d, step, x + dx, y + dy, s1),
+bwd1 AS (SELECT d, x, y, sum(w) AS w FROM g1 WHERE s = 0 GROUP BY ALL),
+size AS (SELECT DISTINCT n, m FROM pair),
+post AS (SELECT n, m, i.x AS x, i.y AS y, round(i.w * CASE WHEN i.x = i.y THEN exp(1) ELSE 1 END * b.w / t.w, 9) AS score
+  FROM size JOIN fwd1 i ON i.x < n AND i.y < m JOIN bwd1 b ON b.d = n - m AND b.x = n - i.x - 1 AND b.y = m - i.y - 1 JOIN fwd1 t ON t.x = n AND t.y = m)
+SELECT group_id AS aln_id, top_id AS seq1, CAST(x AS INTEGER) AS pos1, bot_id AS seq2, CAST(y AS INTEGER) AS pos2, score FROM pair JOIN post USING (n, m)""")
+def reweight_pairs(spark, sf_dir):
+    """Posteriors with odds for positions of equal place."""
+    paired, weights, n = modelled(spark, sf_dir)
+    odds = paired.select("group_id", "top_id", "bot_id", F.explode(F.sequence(F.lit(0), F.least(F.size("top"), F.size("bot")) - 1)).alias("x")).select("*", F.col("x").alias("y"), F.lit(1.0).alias("log_odds"))
+    return pairs.pair_posteriors(pairs.reweight_pairs(paired, odds), weights, n).withColumn("score", rounded("score"))
+
+
 @query()
 def expected_counts(spark, sf_dir):
     """A13 over M6: expected moves of all pairs."""
@@ -644,6 +738,19 @@ def expected_counts(spark, sf_dir):
     return pairs.expected_counts(paired, weights, n, n).withColumn("expected", F.round("expected", 6))
 
 
+@query(_GRID + """, lettered AS (SELECT p.*, a.letters AS top, b.letters AS bot FROM pair p JOIN seq a ON a.group_id = p.group_id AND a.sequence_id = top_id JOIN seq b ON b.group_id = p.group_id AND b.sequence_id = bot_id),
+size AS (SELECT DISTINCT n, m FROM pair),
+step AS (SELECT n, m, f.x, f.y, s1, s2, dx, dy, f.w * mv.p * b.w / t.w AS e FROM size JOIN fwd f ON f.x <= n AND f.y <= m JOIN moves mv ON mv.s1 = f.s AND f.x + dx <= n AND f.y + dy <= m JOIN bwd b ON b.s = s2 AND b.x = n - f.x - dx AND b.y = m - f.y - dy JOIN total t ON t.x = n AND t.y = m),
+last AS (SELECT n, m, f.s AS s1, f.w * p / t.w AS e FROM size JOIN fwd f ON f.x = n AND f.y = m JOIN p ON p.s = f.s JOIN total t ON t.x = n AND t.y = m),
+ids AS (SELECT letter, row_number() OVER (ORDER BY letter) - 1 AS id FROM (SELECT DISTINCT l_returnflag AS letter FROM orders JOIN lineitem ON o_orderkey = l_orderkey)),
+met AS (SELECT s1, s2, CASE WHEN dx = 1 THEN top[x + 1] END AS a, CASE WHEN dy = 1 THEN bot[y + 1] END AS b, sum(e) AS e FROM lettered JOIN step USING (n, m) GROUP BY ALL)
+SELECT CAST(s1 AS INTEGER) AS state1, 0 AS stat, CAST(s2 AS INTEGER) AS state2, CAST(coalesce(i.id, v + 1) AS INTEGER) AS top_sym, CAST(coalesce(j.id, v + 1) AS INTEGER) AS bot_sym, round(e, 6) AS expected FROM met LEFT JOIN ids i ON i.letter = a LEFT JOIN ids j ON j.letter = b, v
+UNION ALL SELECT CAST(s1 AS INTEGER), 0, 0, CAST(any_value(v) AS INTEGER), CAST(any_value(v) AS INTEGER), round(sum(e), 6) FROM pair JOIN last USING (n, m), v GROUP BY s1""")
+def expected_counts_of_zero_weights(spark, sf_dir):
+    paired, weights, n = modelled(spark, sf_dir)
+    return pairs.expected_counts(paired, weights, n, n).withColumn("expected", F.round("expected", 6))
+
+
 @query()
 def viterbi_alignment(spark, sf_dir):
     paired, weights, n = modelled(spark, sf_dir, fixed_weights(spark))
@@ -662,7 +769,15 @@ def mbr_alignment(spark, sf_dir):
     return pairs.mbr_alignment(paired, weights, n)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQ}, each AS (SELECT group_id, sequence_id, i, letters[i] AS letter FROM (SELECT *, unnest(range(1, len(letters) + 1)) AS i FROM seq)),
+share AS (SELECT letter, count(*) / sum(count(*)) OVER () AS q FROM each GROUP BY 1),
+listed AS (SELECT group_id, sequence_id, list(letter ORDER BY i) AS l, list(q ORDER BY i) AS q FROM each JOIN share USING (letter) GROUP BY ALL),
+pair AS (SELECT row_number() OVER () AS id, a.group_id, a.sequence_id AS top_id, b.sequence_id AS bot_id, a.l AS t, a.q AS tq, b.l AS b, b.q AS bq, len(a.l) AS n, len(b.l) AS m FROM listed a JOIN listed b ON a.group_id = b.group_id AND a.sequence_id < b.sequence_id),
+moves AS (FROM (VALUES (1, 1), (1, 0), (0, 1)) v(dx, dy)),
+f AS (SELECT id, 0 AS step, 0 AS x, 0 AS y, 1.0::DOUBLE AS w FROM pair
+  UNION ALL SELECT f.id, step + 1, x + dx, y + dy, sum(w * CASE WHEN dx = 1 AND dy = 1 THEN CASE WHEN t[x + 1] = b[y + 1] THEN 0.8 ELSE 0.1 END * sqrt(tq[x + 1] * bq[y + 1]) WHEN dx = 1 THEN 0.1 * tq[x + 1] ELSE 0.1 * bq[y + 1] END)
+  FROM f JOIN pair ON pair.id = f.id, moves WHERE x + dx <= n AND y + dy <= m GROUP BY f.id, step, x + dx, y + dy)
+SELECT group_id, top_id, bot_id, round(ln(sum(w)), 9) AS loglik FROM f JOIN pair ON pair.id = f.id AND x = n AND y = m GROUP BY ALL""")
 def homogeneous_pair_model(spark, sf_dir):
     """A one-state model from the letters' shares of all lines."""
     sequences, alphabet, paired, n = coded(spark, sf_dir)
