@@ -18,7 +18,7 @@ from .operators import metrics as M
 from .plans import model, pairs, training
 from .sources import files
 from .sources.shared import new_path
-from .sources.views import event_sequences, explode_residues, justified, order_sequences, table
+from .sources.views import event_sequences, explode_residues, justified, named_columns, order_sequences, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,12 +200,12 @@ def read_weights(spark, sf_dir):
     return files.read_weights(spark, path)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY sum(p_size) DESC, 'brand(' || p_brand || ')') AS INTEGER) AS line, 'brand(' || p_brand || ')' AS feature FROM part GROUP BY p_brand")
+@query("SELECT CAST(row_number() OVER (ORDER BY sum(p_size) DESC, 'brand(' || p_brand || ')') AS INTEGER) AS line, 'brand(' || p_brand || ')' AS feature, CAST(sum(p_size) AS DOUBLE) AS weight FROM part GROUP BY p_brand")
 def write_weights(spark, sf_dir):
     path = new_path(spark, "weights")
     files.write_weights(brand_weights(spark, sf_dir), path)
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("line", "value"))
-    return whole.select((F.col("line") + 1).alias("line"), F.split("value", "\t")[0].alias("feature"))
+    return whole.select((F.col("line") + 1).alias("line"), F.split("value", "\t")[0].alias("feature"), F.split("value", "\t")[1].cast("double").alias("weight"))
 
 
 _SUPPORT = """letters AS (SELECT DISTINCT l_returnflag AS letter FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
@@ -314,10 +314,10 @@ DERIVED = SEQ + """, derived AS (SELECT a.group_id, a.sequence_id AS top_id, b.s
 
 
 @query(f"""WITH {DERIVED} SELECT group_id, top_id, bot_id, array_to_string([CASE WHEN x < len(bot) THEN x ELSE -1 END FOR x IN range(len(top))], ' ') AS inverted,
-  true AS monotonic, '[' || array_to_string([CASE WHEN a < 0 THEN 'X' ELSE CAST(a AS VARCHAR) END FOR a IN ancestors], ', ') || ']' AS shown FROM derived""")
+  true AS monotonic, least(len(top), len(bot)) < 2 AS reversed_monotonic, '[' || array_to_string([CASE WHEN a < 0 THEN 'X' ELSE CAST(a AS VARCHAR) END FOR a IN ancestors], ', ') || ']' AS shown FROM derived""")
 def derivation_functions(spark, sf_dir):
     a = F.col("ancestors")
-    return derived(spark, sf_dir).select("group_id", "top_id", "bot_id", F.array_join(L.derivation_invert(a, F.size("top")).cast("array<string>"), " ").alias("inverted"), L.derivation_is_monotonic(a).alias("monotonic"), L.derivation_to_string(a).alias("shown"))
+    return derived(spark, sf_dir).select("group_id", "top_id", "bot_id", F.array_join(L.derivation_invert(a, F.size("top")).cast("array<string>"), " ").alias("inverted"), L.derivation_is_monotonic(a).alias("monotonic"), L.derivation_is_monotonic(F.reverse(a)).alias("reversed_monotonic"), L.derivation_to_string(a).alias("shown"))
 
 
 @query(f"WITH {DERIVED} SELECT group_id, top_id, bot_id, len(ancestors) AS n, array_to_string(bot, ' ') AS current FROM derived")
@@ -389,11 +389,11 @@ def shared_columns(spark, sf_dir):
 # --- aggregations -----------------------------------------------------------
 
 
-@query("""WITH one AS (SELECT CAST(user_id AS VARCHAR) AS group_id, event_type AS sequence_id, arg_max(CAST(ts AS VARCHAR), event_id) AS letters, min(event_id) AS line FROM events GROUP BY ALL)
-SELECT group_id, sequence_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY line) - 1 AS INTEGER) AS ord FROM one""")
+@query("""WITH one AS (SELECT CAST(user_id AS VARCHAR) AS group_id, event_type AS sequence_id, CAST(max(event_id) AS VARCHAR) AS letters, min(event_id) AS line FROM events GROUP BY ALL)
+SELECT group_id, sequence_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY line) - 1 AS INTEGER) AS ord, letters FROM one""")
 def dedupe_sequences(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("group_id"), F.col("event_type").alias("sequence_id"), F.col("event_id").alias("line_no"), F.array(F.col("ts").cast("string")).alias("letters"))
-    return files.dedupe_sequences(rows).drop("letters")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("group_id"), F.col("event_type").alias("sequence_id"), F.col("event_id").alias("line_no"), F.array(F.col("event_id").cast("string")).alias("letters"))
+    return letters_text(files.dedupe_sequences(rows))
 
 
 @query("SELECT letter, CAST(row_number() OVER (ORDER BY letter) - 1 AS INTEGER) AS letter_id, longest FROM (SELECT DISTINCT event_type AS letter, CAST(max(len(event_type)) OVER () AS INTEGER) AS longest FROM events)")
@@ -539,6 +539,12 @@ def union_alignments(spark, sf_dir):
     return united.where("valid").drop("valid")
 
 
+@query(f"WITH {SEQ} SELECT group_id AS aln_id, min(len(letters)) = max(len(letters)) AS valid FROM seq GROUP BY 1")
+def union_conflicts(spark, sf_dir):
+    """Flush left and flush right, united: sequences of unlike length cannot have both."""
+    return A.union_alignments(gold(spark, sf_dir), guess(spark, sf_dir)).select("aln_id", "valid").distinct()
+
+
 _SPLIT = f"""WITH {COLS}, n AS (SELECT *, count(*) OVER (PARTITION BY aln_id, column_id) AS n, min(sequence_id) OVER (PARTITION BY aln_id, column_id) AS low FROM gold),
 s AS (SELECT *, n > 1 AND sequence_id = low AS side FROM n),
 parted AS (SELECT aln_id, first_value(sequence_id || ':' || pos) OVER (PARTITION BY aln_id, column_id, side ORDER BY sequence_id) AS column_id, sequence_id, pos FROM s)"""
@@ -571,9 +577,12 @@ def edge_set_diff(spark, sf_dir):
 # --- construction -----------------------------------------------------------
 
 
-@query(f"WITH {COLS} SELECT DISTINCT aln_id, true AS valid FROM guess")
+@query(f"WITH {SEQ}, n AS (SELECT group_id AS aln_id, len(letters) AS n, row_number() OVER (PARTITION BY group_id ORDER BY sequence_id) AS k FROM seq) SELECT aln_id, NOT (max(n) FILTER (k = 1) > 1 AND coalesce(max(n) FILTER (k > 1), 0) > 1) AS valid FROM n GROUP BY 1")
 def validate_alignment(spark, sf_dir):
-    return C.validate_alignment(guess(spark, sf_dir))
+    """Flush left, but the first sequence runs backwards: a cycle with any other of two letters."""
+    rows = order_sequences(spark, sf_dir).select(F.col("group_id").alias("aln_id"), "sequence_id", "ord", F.size("letters").alias("_n"), F.posexplode("letters").alias("pos", "letter"))
+    at = F.when(F.col("ord") == 0, F.col("_n") - 1 - F.col("pos")).otherwise(F.col("pos"))
+    return C.validate_alignment(named_columns(rows.withColumn("_at", at), "_at"))
 
 
 @query(f"WITH {COLS} SELECT * FROM guess")

@@ -69,6 +69,8 @@ def test_counts_and_metrics(seqs, align, msa):
         assert math.isclose(M.mean_pair_statistic(columns, seqs, identical=True).first().value, identity)
     assert math.isclose(M.sequence_summary(seqs).first().mean_length, 8 / 3)
     assert M.alignments_equal(align, align).first().equal and not M.alignments_equal(align, msa).first().equal
+    other = seqs.withColumn("letters", F.reverse("letters"))
+    assert M.alignments_equal(align, align, seqs, seqs).first().equal and not M.alignments_equal(align, align, seqs, other).first().equal
 
 
 def test_roc(seqs, scores, align):
@@ -98,6 +100,30 @@ def test_validity(spark):
         A.linearize_columns(spark.createDataFrame(rows[2:6], "aln_id string, column_id string, sequence_id string, pos int")).collect()
 
 
+def test_columns_stay_in_order():
+    """After each merge the places follow all successions of residues."""
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths = [rng.randint(0, 6) for _ in range(rng.randint(2, 5))]
+        columns, n = graphs.Columns(lengths), sum(lengths)
+        for _ in range(3 * n):
+            columns.merge(rng.randrange(n), rng.randrange(n))
+            for r in range(n):
+                if r not in columns.last:
+                    assert columns.rank[columns.column[r]] < columns.rank[columns.column[r + 1]]
+            assert all(columns.order[columns.rank[c]] == c for c in columns.members)
+
+
+def test_mean_statistic_is_the_mean_of_pairs(spark, seqs, align, msa):
+    more = sequences_of(spark, {"g": SEQS, "one": {"a": "AC"}, "empty": {"a": "AC", "b": ""}, "apart": {"a": "AC", "b": "A"}})
+    for columns in (align, msa):
+        for identical in (False, True):
+            want = {r.aln_id: r.v for r in M.pair_statistic(columns, more, identical).groupBy("aln_id").agg(F.avg("value").alias("v")).collect()}
+            got = {r.aln_id: r.value for r in M.mean_pair_statistic(columns, more, identical).collect()}
+            assert set(got) == {"g", "one", "empty", "apart"} and math.isnan(got["one"]) and math.isnan(got["empty"]) and math.isnan(want["empty"])
+            assert math.isclose(got["g"], want["g"]) and got["apart"] == want["apart"] == 0
+
+
 def slow_consensus(seqs, edges, threshold):
     """Links added one by one; after each the whole column graph is checked for cycles."""
     column = {(s, i): (s, i) for s, x in seqs.items() for i in range(len(x))}

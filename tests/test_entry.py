@@ -1,5 +1,6 @@
 """The registry, and that it holds without the llm folders."""
 
+import builtins
 import os
 import shutil
 import subprocess
@@ -24,11 +25,16 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["read_fasta", "accuracy", "pair_log_likelihood", "pair_posteriors", "convert_cognate_table", "union_alignments", "edge_set_diff"])
-def test_against_sql(spark, sf_dir, name):
-    con = duckdb.connect()
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    made = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+        made.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    return made
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_against_sql(spark, sf_dir, con, name):
     want, got = con.sql(entry.oracle_sql()[name]).df(), entry.queries()[name](spark, sf_dir).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     text = lambda d: sorted(map(str, d[sorted(want.columns)].astype(str).itertuples(index=False, name=None)))
@@ -56,6 +62,20 @@ def test_every_scored_edge_is_tried(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).count() == queries.scored(spark, sf_dir).count() > 0
 
 
+def test_a_missing_need_of_the_operators_is_not_hidden(monkeypatch):
+    """Only the absence of the folders themselves takes their queries away."""
+    real = builtins.__import__
+
+    def without_tokenizers(name, *given, **named):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'tokenizers'", name="tokenizers")
+        return real(name, *given, **named)
+
+    monkeypatch.setattr(builtins, "__import__", without_tokenizers)
+    with pytest.raises(ModuleNotFoundError, match="tokenizers"):
+        entry.queries()
+
+
 def test_without_llm(tmp_path):
     shutil.copytree(f"{ROOT}/seqloom", tmp_path / "seqloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
