@@ -32,7 +32,7 @@ from .common import new_path, removed, saved
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
 #: Summed change of the ranks below which the walk has settled.
-TOLERANCE = 1e-2
+TOLERANCE = 1e-3
 #: Distrust over trust above which a host is blocked.
 THRESHOLD = 1.0
 #: Weight of an edge between a host and the domain above it, in links.
