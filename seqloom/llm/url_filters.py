@@ -33,6 +33,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DAMPING = 0.85
 #: Summed change of the ranks below which the walk has settled.
 TOLERANCE = 1e-3
+#: Rows of a step that one task writes.
+ROWS_A_TASK = 1_000_000
 #: Distrust over trust above which a host is blocked.
 THRESHOLD = 1.0
 #: Weight of an edge between a host and the domain above it, in links.
@@ -86,31 +88,38 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOL
     """(kind, host, rank) of random walks that return to the seeds (kind, host, share), one
     walk for each kind, along edges (kind, src, dst, weight). Shares of a kind sum to 1, and
     so do its ranks. A kind without seeds has no ranks."""
+    # A step's tables are small next to the pages; more tasks than rows call for write empty files.
+    tasks = 1 + edges.count() // ROWS_A_TASK
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    steps = saved(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("part")), "op9-steps")
-    seeds = saved(seeds.select("kind", "host", "share"), "op9-seeds")
-    spark = seeds.sparkSession
-    def ranks(moved: DataFrame, totals: dict) -> DataFrame:
+    parts = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("part"))
+    steps = saved(parts.coalesce(tasks), "op9-steps")
+    spark = steps.sparkSession
+    path = new_path(spark, "op9-rank")
+    state = saved(seeds.select("kind", "host", "share", F.lit(0.0).alias("moved"), F.lit(0.0).alias("before")).coalesce(tasks), "op9-rank", path)
+    kinds = [r.kind for r in state.select("kind").distinct().collect()]
+    nothing = F.lit(0.0)
+
+    def ranked(state: DataFrame, totals: dict) -> DataFrame:
         """What came along edges, and the rest of 1 at the seeds."""
         left = F.lit(1.0)
         for kind, total in totals.items():
             left = F.when(F.col("kind") == kind, 1 - damping * total).otherwise(left)
-        back = seeds.select("kind", "host", (left * F.col("share")).alias("rank"))
-        return moved.select("kind", "host", (damping * F.col("moved")).alias("rank")).union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        return state.withColumn("rank", damping * F.col("moved") + left * F.col("share"))
 
-    moved, totals, path = spark.createDataFrame([], "kind string, host string, moved double, before double"), {}, None
+    totals = dict.fromkeys(kinds, 0.0)
     while True:
-        came = ranks(moved, totals).join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("moved"), F.lit(0.0).alias("before"))
-        both = came.union(moved.select("kind", "host", F.lit(0.0), "moved")).groupBy("kind", "host").agg(F.sum("moved").alias("moved"), F.sum("before").alias("before"))
+        ranks = ranked(state, totals)
+        came = ranks.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), nothing.alias("share"), (F.col("rank") * F.col("part")).alias("moved"), nothing.alias("before"))
+        both = came.union(ranks.select("kind", "host", "share", nothing, "moved")).groupBy("kind", "host")
         old, path = path, new_path(spark, "op9-rank")
-        moved = saved(both, "op9-rank", path)
-        found = moved.groupBy("kind").agg(F.sum("moved").alias("total"), F.sum(F.abs(F.col("moved") - F.col("before"))).alias("change")).collect()  # a row a kind
-        totals = {r.kind: r.total for r in found}
-        if old:
-            removed(spark, old)
+        state = saved(both.agg(*(F.sum(c).alias(c) for c in ("share", "moved", "before"))).coalesce(tasks), "op9-rank", path)
+        removed(spark, old)
+        sums = [F.sum(F.when(F.col("kind") == k, v)) for v in (F.col("moved"), F.abs(F.col("moved") - F.col("before"))) for k in kinds]
+        found = [x or 0.0 for x in state.agg(F.count("*"), *sums).first()[1:]]
+        totals = dict(zip(kinds, found, strict=False))
         # The seeds' part changes by no more than what moved does.
-        if all(2 * damping * r.change < tolerance for r in found):
-            return ranks(moved, totals)
+        if all(2 * damping * change < tolerance for change in found[len(kinds) :]):
+            return ranked(state, totals).select("kind", "host", "rank")
 
 
 def judge(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
