@@ -3,7 +3,8 @@
 Both vocabularies split a text into pre-tokens before merging, and no pre-token
 reaches across a single space between two other characters. So a text is cut
 there, each distinct piece is encoded once by the tokenizers library, and the ids
-are joined. Texts with other runs of white space are given to the library whole, and so
+are joined; with the vocabulary of bytes, so is a comma or stop that ends a piece after a
+letter, where a pre-token ends as well. Texts with other runs of white space are given to the library whole, and so
 are all texts if the vocabulary's file names other parts than the known ones.
 """
 
@@ -16,6 +17,8 @@ import numpy as np
 
 #: Encoded pieces kept by one Python worker; the store is emptied when full.
 MAX_PIECES = 1_500_000
+#: Letters before this one are letters in every version of Unicode.
+LATIN_END = "\u0250"
 #: Longer pieces are encoded but not kept.
 MAX_PIECE_CHARS = 40
 
@@ -75,7 +78,10 @@ class PieceEncoder:
         parts = json.loads(self.tokenizer.to_str())
         self.cut = cut_at_spaces(parts)
         self.byte_level = parts["normalizer"] is None
+        #: Marks that begin a pre-token of their own after a letter, and their ids.
+        self.stops: dict[str, bytes] = {}
         if self.byte_level:
+            self.stops = {stop: self.whole(stop) for stop in ",."}
             self.opens = np.zeros(self.vocab_size, bool)
             for token, i in vocab.items():
                 self.opens[i] = token.startswith("Ġ")
@@ -115,25 +121,21 @@ class PieceEncoder:
             self.firsts.clear()
         rows = [t.split(" ") for t in texts]
         rest = [r[1:] for r in rows] if self.byte_level else rows
-        new = {p for r in rest for p in r if p not in kept}
-        passing: dict[str, bytes | None] = {}
-        if new:
-            # An empty piece, or one that white space begins or ends, belongs to a longer run.
-            odd = {p for p in new if not p or p != p.strip()}
-            plain = [p for p in new if p not in odd]
-            for group in (plain[i : i + 20_000] for i in range(0, len(plain), 20_000)):
-                for p, ids in zip(group, self._pieces(group), strict=True):
-                    (kept if len(p) <= MAX_PIECE_CHARS else passing)[p] = ids
-            if self.byte_level:
-                kept.update(dict.fromkeys((p for p in odd if len(p) <= MAX_PIECE_CHARS), None))
-                passing.update(dict.fromkeys((p for p in odd if len(p) > MAX_PIECE_CHARS), None))
-            else:  # white space is dropped by the vocabulary, so such pieces stand alone as well
-                for p in odd:
-                    (kept if len(p) <= MAX_PIECE_CHARS else passing)[p] = self.whole(p) if p else b""
+        new = set().union(*rest).difference(kept)
+        # An empty piece, or one that white space begins or ends, belongs to a longer run.
+        odd = {p for p in new if not p or p != p.strip()}
+        plain = new - odd
+        stopped = {p for p in plain if p[-1] in self.stops and p[-2:-1].isalpha() and p[-2] < LATIN_END}
+        words = list((plain - stopped).union({p[:-1] for p in stopped}.difference(kept)))
+        for group in (words[i : i + 20_000] for i in range(0, len(words), 20_000)):
+            kept.update(zip(group, self._pieces(group), strict=True))
+        kept.update({p: kept[p[:-1]] + self.stops[p[-1]] for p in stopped})
+        # White space is dropped by the vocabulary of words, so that such pieces stand alone as well.
+        kept.update({p: None if self.byte_level else self.whole(p) if p else b"" for p in odd})
         out = []
         for text, row, tail in zip(texts, rows, rest, strict=True):
             try:
-                ids = b"".join([kept[p] if p in kept else passing[p] for p in tail] if passing else [kept[p] for p in tail])
+                ids = b"".join(map(kept.__getitem__, tail))
             except TypeError:  # an odd piece
                 out.append(self.whole(text))
                 continue
@@ -150,6 +152,9 @@ class PieceEncoder:
                 else:
                     ids = self.firsts[first] + ids
             out.append(ids)
+        for p in new.union(words):
+            if len(p) > MAX_PIECE_CHARS:
+                del kept[p]
         return out
 
     def encode(self, texts: list[str], at_once_chars: int = 400_000):
