@@ -1,4 +1,5 @@
 import json
+import random
 import zlib
 
 import numpy as np
@@ -21,6 +22,17 @@ def test_pieces_encode_as_whole_texts(name):
         assert np.frombuffer(got[i], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t[:60])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_awkward_characters_and_stops_encode_as_whole_texts(name):
+    rng, some = random.Random(5), "aZé.,' \n\t ßs0\u0661\u02bc\u0250\u01bb\u00aa\u0345\u4e2d.,!\u200b\u0301\u01c5\u1c89"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["can't. won't, it's.", "a " + "q" * 60 + ". b", "x, y,. z.. w.\nNew", "q" * 60 + ",", ". , a."]
+    enc = PieceEncoder(vocabulary(name))
+    for _ in range(2):  # the second time from the store
+        assert enc.batch(texts) == [enc.whole(t) for t in texts]
+    assert max(map(len, enc.kept)) <= 40
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_texts_are_only_cut_for_known_tokenizers(name, tmp_path):
     assert PieceEncoder(vocabulary(name)).cut
