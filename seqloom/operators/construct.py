@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,15 +57,35 @@ class Built:
         self.ids = [s["sequence_id"] for s in row["seqs"]]
         self.number = {s: i for i, s in enumerate(self.ids)}
         self.columns = graphs.Columns([s["n"] for s in row["seqs"]])
-        self.edges = sorted(row["edges"] or [], key=lambda e: (-e["score"], e["seq1"], e["pos1"], e["seq2"], e["pos2"]))
+        self.edges = self.best_first(row["edges"])
         together: dict[str, int] = {}
         for h in row["held"] or []:
             r = self.columns.residue(self.number[h["sequence_id"]], h["pos"])
             if not self.columns.merge(together.setdefault(h["column_id"], r), r) and together[h["column_id"]] != r:
                 raise ValueError(f"the initial alignment {self.aln_id} is not valid")
 
-    def ends(self, edge: dict) -> tuple[int, int]:
-        return self.columns.residue(self.number[edge["seq1"]], edge["pos1"]), self.columns.residue(self.number[edge["seq2"]], edge["pos2"])
+    def best_first(self, edges: pa.StructArray | None) -> list[tuple]:
+        """(number of seq1, pos1, number of seq2, pos2, score), ties by sequence and position:
+        sequences are numbered in order of their ids."""
+        if edges is None:
+            return []
+
+        def numbers(ids: pa.Array) -> np.ndarray:
+            coded = ids.dictionary_encode()
+            return np.array([self.number[s] for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+
+        seq1, pos1, seq2, pos2, score = edges.flatten()
+        fields = numbers(seq1), pos1.to_numpy(), numbers(seq2), pos2.to_numpy(), score.to_numpy()
+        order = np.lexsort((*fields[3::-1], -fields[4]))
+        return list(zip(*(f[order].tolist() for f in fields), strict=True))
+
+    def ends(self, edge: tuple) -> tuple[int, int]:
+        first = self.columns.first
+        return first[edge[0]] + edge[1], first[edge[2]] + edge[3]
+
+    def named(self, edge: tuple) -> tuple:
+        """The edge with the ids of its sequences, without its score."""
+        return self.ids[edge[0]], edge[1], self.ids[edge[2]], edge[3]
 
     def rows(self) -> Iterator[tuple]:
         """(aln_id, column_id, sequence_id, pos); a column is named for its least residue."""
@@ -79,13 +100,15 @@ _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double"
 
 
 def per_alignment(packed: DataFrame, schema: str, make: Callable[[dict], Iterator[tuple]]) -> DataFrame:
-    """Rows that `make` yields for each gathered row."""
+    """Rows that `make` yields for each gathered row, whose edges stay an Arrow array."""
     fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 64):
-                rows = [r for row in batch.slice(first, 64).to_pylist() for r in make(row)]
+                part = batch.slice(first, 64)
+                values = ([e.values for e in c] if n == "edges" else c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True))
+                rows = [r for row in zip(*values, strict=True) for r in make(dict(zip(part.schema.names, row, strict=True)))]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
                 yield pa.record_batch([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
@@ -122,9 +145,9 @@ def consensus_grid(sequences: DataFrame, edges: DataFrame, thresholds: list[floa
         built = Built(row)
         accepted = [e for e in built.edges if built.columns.merge(*built.ends(e))]
         for t in thresholds:
-            replay = Built(row | {"edges": []})
+            replay = Built(row | {"edges": None})
             for e in accepted:
-                if e["score"] > t:
+                if e[4] > t:
                     replay.columns.merge(*replay.ends(e))
             for r in replay.rows():
                 yield t, *r
@@ -140,7 +163,7 @@ def try_adding_edges(sequences: DataFrame, edges: DataFrame, initial: DataFrame
     def make(row: dict) -> Iterator[tuple]:
         built = Built(row)
         for e in built.edges:
-            yield built.aln_id, e["seq1"], e["pos1"], e["seq2"], e["pos2"], built.columns.merge(*built.ends(e))
+            yield built.aln_id, *built.named(e), built.columns.merge(*built.ends(e))
 
     return per_alignment(gathered(sequences, canonical_edges(edges), initial), "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, accepted boolean", make)
 
@@ -151,7 +174,7 @@ def is_valid_addition(sequences: DataFrame, edges: DataFrame, initial: DataFrame
     def make(row: dict) -> Iterator[tuple]:
         built = Built(row)
         for e in built.edges:
-            yield built.aln_id, e["seq1"], e["pos1"], e["seq2"], e["pos2"], built.columns.allowed(*built.ends(e))
+            yield built.aln_id, *built.named(e), built.columns.allowed(*built.ends(e))
 
     return per_alignment(gathered(sequences, canonical_edges(edges), initial), "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, valid boolean", make)
 
@@ -164,7 +187,8 @@ def columns_from_edges(residues: DataFrame, edges: DataFrame) -> DataFrame:
     def make(row: dict) -> Iterator[tuple]:
         places = [(n["sequence_id"], n["pos"]) for n in row["nodes"]]
         number = {p: i for i, p in enumerate(places)}
-        least = graphs.linked(len(places), ((number[e["seq1"], e["pos1"]], number[e["seq2"], e["pos2"]]) for e in row["edges"] or []))
+        ends = [f.to_pylist() for f in row["edges"].flatten()] if row["edges"] is not None else [[]] * 4
+        least = graphs.linked(len(places), ((number[s1, p1], number[s2, p2]) for s1, p1, s2, p2 in zip(*ends, strict=True)))
         for (s, p), i in zip(places, least, strict=True):
             yield row["aln_id"], f"{places[i][0]}:{places[i][1]}", s, p
 
@@ -191,7 +215,7 @@ def merges(sequences: DataFrame, edges: DataFrame, reference: DataFrame) -> Data
             for r in left:
                 in_left[of_reference.get(r)] = in_left.get(of_reference.get(r), 0) + 1
             shared = sum(in_left.get(of_reference[r], 0) for r in right if r in of_reference)
-            yield built.aln_id, k, e["score"], len(left) * len(right), shared
+            yield built.aln_id, k, e[4], len(left) * len(right), shared
 
     return per_alignment(packed, "aln_id string, k int, score double, gained long, shared long", make)
 

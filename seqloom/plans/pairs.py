@@ -34,6 +34,12 @@ def dealt_out(pairs: DataFrame, n: int | None = None) -> DataFrame:
     return pairs.repartition(n, *key) if n else pairs.repartition(*key)
 
 
+def like_pairs(pairs: DataFrame) -> DataFrame:
+    """(stat, top, bot, times): equal pairs of sequences once, with their number. Counts and
+    the likelihood do not depend on ids; equal pairs meet before the shuffle."""
+    return pairs.groupBy("stat", "top", "bot").agg(F.count("*").alias("times"))
+
+
 def taxa_pairs(sequences: DataFrame) -> DataFrame:
     """(id1, id2): distinct pairs of sequence ids that share a group, id1 < id2."""
     a = sequences.select("group_id", F.col("sequence_id").alias("id1"))
@@ -72,13 +78,13 @@ def in_batches(rows: pd.DataFrame, weights: dict[int, Weights], boundary: int |
         return
     end = [] if boundary is None else [boundary]
     tops, bots = [[*t, *end] for t in rows.top], [[*b, *end] for b in rows.bot]
-    sizes = pd.DataFrame({"stat": rows.stat.to_numpy(), "n": [len(t) for t in tops], "m": [len(b) for b in bots]})
-    order = sizes.sort_values(["stat", "n", "m"], kind="stable").index.to_numpy()
+    stats, ns, ms = rows.stat.tolist(), list(map(len, tops)), list(map(len, bots))
+    order = np.lexsort((ms, ns, stats)).tolist()
     first = 0
     while first < len(order):
-        stat, n, m, last = sizes.stat[order[first]], 0, 0, first
-        while last < len(order) and sizes.stat[order[last]] == stat:
-            n2, m2 = max(n, sizes.n[order[last]]), max(m, sizes.m[order[last]])
+        stat, n, m, last = stats[order[first]], 0, 0, first
+        while last < len(order) and stats[order[last]] == stat:
+            n2, m2 = max(n, ns[order[last]]), max(m, ms[order[last]])
             if last > first and (n2 + 1) * (m2 + 1) * (last - first + 1) > BATCH_CELLS:
                 break
             n, m, last = n2, m2, last + 1
@@ -158,7 +164,8 @@ _COUNTS = "state1 int, stat int, state2 int, top_sym int, bot_sym int, expected
 
 def expected_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> DataFrame:
     """(state1, stat, state2, top_sym, bot_sym, expected): posterior numbers of moves over
-    all pairs, the boundary's included; added up within a batch, then over tasks."""
+    all pairs, the boundary's included; added up within a batch, then over tasks. A column
+    `times` says how often a pair counts."""
     return sum_sufficient_statistics(batch_counts(pairs, weights, boundary, n_letters).where("state1 >= 0"))
 
 
@@ -168,9 +175,10 @@ def batch_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n
 
     def work(rows: pd.DataFrame, batch: Batch, w: Weights) -> pd.DataFrame:
         counts = np.zeros((w.n_states, w.n_states, n, n))
-        _, totals = kernels.posteriors(batch, w, counts, epsilon=n - 1)
+        times = rows.times.to_numpy(float) if "times" in rows.columns else np.ones(len(rows))
+        _, totals = kernels.posteriors(batch, w, counts, epsilon=n - 1, times=times)
         s1, s2, a, b = (np.append(v, -1).astype(np.int32) for v in np.nonzero(counts > 0))
-        expected = np.append(counts[counts > 0], totals.sum())
+        expected = np.append(counts[counts > 0], totals @ times)
         return pd.DataFrame({"state1": s1, "stat": np.int32(rows.stat.iloc[0]), "state2": s2, "top_sym": a, "bot_sym": b, "expected": expected})
 
     return per_pairs(pairs, weights, boundary, _COUNTS, work)

@@ -65,7 +65,7 @@ def train(
     if pair_specific:
         index = pairs.pair_statistic_index(sequences).cache()
         paired, statistics = pairs.with_statistics(paired, index), index
-    paired = pairs.dealt_out(paired).cache()
+    paired = pairs.like_pairs(paired).cache()
     features = model.transition_features(alphabet, letter_features, statistics, use_letter_pairs, use_long_gaps, custom).cache()
     weights = init_weights(spark, initial)
     center = regularization_centers(spark, centers, weights)

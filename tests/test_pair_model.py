@@ -6,7 +6,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from seqloom import queries
 from seqloom.functions import kernels
 from seqloom.functions.kernels import Batch, Weights
 from seqloom.plans import model, pairs, training
@@ -224,3 +226,14 @@ def test_rows_are_numbered_across_ranges(spark):
     got = numbered(spark.createDataFrame(rows, "v int"), "k", "v").collect()
     assert sorted((r.k, r.v) for r in got) == [(i, i) for i in range(101)]
     assert numbered(spark.createDataFrame([], "v int"), "k", "v").count() == 0
+
+
+def test_equal_pairs_count_as_often_as_they_occur(spark, sf_dir):
+    paired, table, n = queries.modelled(spark, sf_dir, queries.fixed_weights(spark))
+    alike = pairs.like_pairs(paired)
+    assert alike.agg(F.sum("times")).first()[0] == paired.count() > alike.count()
+    (want, loglik), (got, again) = (pairs.counts_and_likelihood(p, table, n, n) for p in (paired, alike))
+    key = ["state1", "stat", "state2", "top_sym", "bot_sym"]
+    want, got = (d.toPandas().set_index(key).expected.sort_index() for d in (want, got))
+    assert list(want.index) == list(got.index)
+    assert np.allclose(want, got, rtol=1e-9) and abs(loglik - again) < 1e-6 * abs(loglik)
