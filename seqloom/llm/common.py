@@ -57,3 +57,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids give null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text expression's UTF-8 bytes; the table follows from the polynomial."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    half = lambda at: f"(instr('0123456789ABCDEF', substr(s, {at}, 1)) - 1)"
+    octets = f"list_transform([hex(encode({text}))], lambda s: list_transform(range(1, length(s) + 1, 2), lambda k: 16 * {half('k')} + {half('k + 1')}))[1]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)]::bigint)))"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, near_duplicates, packing, preferences, quality, secrets, token_output, toxicity, url_filters
+from . import decontamination, fingerprints, near_duplicates, packing, preferences, quality, secrets, spelling, token_output, toxicity, url_filters
 from .common import documents
 
 
@@ -56,10 +56,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_quality, op4_fingerprints, op5_secrets, op6_preferences, op7_near_duplicates, op8_toxicity, op9_url_filters, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_quality, op4_fingerprints, op5_secrets, op6_preferences, op7_near_duplicates, op8_toxicity, op9_url_filters, op10_best_fit_packing, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; tests hold the others against brute force."""
-    return {"op6_preferences": preferences.ORACLE_SQL}
+    return {"op6_preferences": preferences.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
