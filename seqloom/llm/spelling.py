@@ -43,7 +43,7 @@ RATIO = 10
 #: A run whose hash this number divides loses a code point.
 DAMAGED = 31
 #: Words of a key up to which it is scanned as it is.
-BUCKET = 256
+BUCKET = 64
 #: Distinct words that a task adds up before it hands them on.
 HELD = 200_000
 _RUN = re.compile(f"[a-zÀ-ÿ]{{{LEAST_LENGTH},}}")
