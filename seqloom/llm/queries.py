@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, fingerprints, near_duplicates, packing, preferences, quality, secrets, spelling, token_output, toxicity, url_filters
+from . import conversation_repair, decontamination, fingerprints, jaccard_join, near_duplicates, packing, preferences, quality, secrets, spelling, token_output, toxicity, url_filters
 from .common import documents
 
 
@@ -56,6 +56,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_of_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -65,9 +69,9 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_quality, op4_fingerprints, op5_secrets, op6_preferences, op7_near_duplicates, op8_toxicity, op9_url_filters, op10_best_fit_packing, op12_conversation_repair, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_quality, op4_fingerprints, op5_secrets, op6_preferences, op7_near_duplicates, op8_toxicity, op9_url_filters, op10_best_fit_packing, op11_ngram_jaccard_join, op12_conversation_repair, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; tests hold the others against brute force."""
-    return {"op6_preferences": preferences.ORACLE_SQL, "op12_conversation_repair": conversation_repair.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
+    return {"op6_preferences": preferences.ORACLE_SQL, "op11_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op12_conversation_repair": conversation_repair.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
