@@ -22,8 +22,9 @@ class Columns:
         self.last = {f + length - 1 for f, length in zip(self.first, lengths, strict=True) if length}
         self.column = list(range(n))
         self.members: dict[int, list[int]] = {r: [r] for r in range(n)}
-        #: The sequences of each column as bits.
-        self.bits = [1 << s for s in self.sequence]
+        #: The sequences of each column as bits; residues of a sequence share one number.
+        bit = [1 << s for s in range(len(lengths))]
+        self.bits = [bit[s] for s in self.sequence]
         # At first by the share of its sequence that comes before a residue.
         self.order: list[int | None] = sorted(range(n), key=lambda r: ((r - self.first[self.sequence[r]]) / (1 + lengths[self.sequence[r]]), r))
         self.rank = [0] * n
@@ -95,40 +96,23 @@ class Columns:
         return self.members.values()
 
 
-def linked(n: int, edges: Iterable[tuple[int, int]]) -> list[int]:
-    """The least node of each node's component, by union and find."""
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b in edges:
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
-    return [find(i) for i in range(n)]
-
-
-def ordered(nodes: list, arcs: Iterable[tuple]) -> list | None:
-    """Nodes in topological order, the least ready node first; None if there is a cycle."""
-    import heapq
-
+def depths(nodes: Iterable, arcs: Iterable[tuple]) -> dict:
+    """The length of the longest path to each node; nodes on or behind a cycle have none."""
     after: dict = {v: set() for v in nodes}
-    waiting = dict.fromkeys(nodes, 0)
+    waiting = dict.fromkeys(after, 0)
     for a, b in arcs:
         if b not in after[a]:
             after[a].add(b)
             waiting[b] += 1
-    ready = [v for v in nodes if not waiting[v]]
-    heapq.heapify(ready)
-    out = []
+    ready, out = [v for v, n in waiting.items() if not n], {}
+    depth = 0
     while ready:
-        v = heapq.heappop(ready)
-        out.append(v)
-        for w in after[v]:
-            waiting[w] -= 1
-            if not waiting[w]:
-                heapq.heappush(ready, w)
-    return out if len(out) == len(nodes) else None
+        behind = []
+        for v in ready:
+            out[v] = depth
+            for w in after[v]:
+                waiting[w] -= 1
+                if not waiting[w]:
+                    behind.append(w)
+        ready, depth = behind, depth + 1
+    return out

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import graphs
 from ..functions.letters import canonical_edge
+from ..sources.shared import numbered_within, saved
 from ..sources.views import named_columns
 
+#: Residues of an alignment up to which one task orders its columns.
+ALONE = 1_000_000
+
 
 def column_sizes(columns: DataFrame) -> DataFrame:
     return columns.groupBy("aln_id", "column_id").agg(F.count("*").alias("n"))
@@ -163,26 +170,70 @@ def union_sequences(one: DataFrame, two: DataFrame) -> DataFrame:
 # --- order ------------------------------------------------------------------
 
 
-def linearize_columns(columns: DataFrame) -> DataFrame:
-    """(aln_id, column_id, place): columns in a topological order, of ready ones the least
-    id first. One alignment is ordered in one task."""
-    arcs = column_arcs(columns).groupBy("aln_id").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
-    nodes = columns.groupBy("aln_id").agg(F.collect_set("column_id").alias("nodes"))
-
-    def run(batches):
-        import pyarrow as pa
+def peeled(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(aln_id, column_id, depth) layer by layer: all columns that wait for no other are
+    taken at once, and what they held back waits for fewer. As many rounds as the longest
+    path is long; what is left waits for itself, and has no depth."""
+    into = arcs.groupBy("aln_id", F.col("dst").alias("column_id")).agg(F.count("*").alias("waiting"))
+    rest = saved(nodes.join(into, ["aln_id", "column_id"], "left").select("aln_id", "column_id", F.coalesce("waiting", F.lit(0)).alias("waiting")), "peel")
+    out, depth = None, 0
+    while True:
+        ready = rest.where("waiting = 0").select("aln_id", "column_id")
+        if ready.isEmpty():
+            break
+        layer = ready.withColumn("depth", F.lit(depth))
+        out = layer if out is None else out.union(layer)
+        freed = arcs.join(ready.withColumnRenamed("column_id", "src"), ["aln_id", "src"]).groupBy("aln_id", F.col("dst").alias("column_id")).agg(F.count("*").alias("n"))
+        left = rest.where("waiting > 0").join(freed, ["aln_id", "column_id"], "left")
+        rest = saved(left.select("aln_id", "column_id", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting")), "peel")
+        depth += 1
+    stuck = rest.withColumn("depth", F.lit(None).cast("int")).select("aln_id", "column_id", "depth")
+    return stuck if out is None else out.union(stuck)
+
+
+def column_depths(columns: DataFrame, alone: int = ALONE) -> DataFrame:
+    """(aln_id, column_id, depth): the most columns that a path passes before a column; null
+    on or behind a cycle. Alignments of at most `alone` residues are walked in one task each,
+    larger ones are peeled by joins over all tasks."""
+    arcs, nodes = column_arcs(columns), columns.select("aln_id", "column_id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, columns_of, arcs_of = None, [], []
+
+        def out() -> pa.RecordBatch:
+            found = graphs.depths(columns_of, arcs_of)
+            return pa.record_batch([pa.array([held] * len(columns_of), pa.string()), pa.array(columns_of, pa.string()), pa.array([found.get(c) for c in columns_of], pa.int32())], names=["aln_id", "column_id", "depth"])
 
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                order = graphs.ordered(row["nodes"], [(a["src"], a["dst"]) for a in row["arcs"] or []])
-                if order is None:
-                    raise ValueError(f"the columns of {row['aln_id']} form a cycle")
-                rows += [(row["aln_id"], c, i) for i, c in enumerate(order)]
-            ids, cols, place = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(cols, pa.string()), pa.array(place, pa.int32())], names=["aln_id", "column_id", "place"])
-
-    return nodes.join(arcs, "aln_id", "left").select("aln_id", "nodes", "arcs").mapInArrow(run, "aln_id string, column_id string, place int")
+            for aln_id, src, dst in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if aln_id != held:
+                    if columns_of:
+                        yield out()
+                    held, columns_of, arcs_of = aln_id, [], []
+                if dst is None:
+                    columns_of.append(src)
+                else:
+                    arcs_of.append((src, dst))
+        if columns_of:
+            yield out()
+
+    large = saved(columns.groupBy("aln_id").agg(F.count("*").alias("n")).where(F.col("n") > alone).select("aln_id"), "large")
+    some = not large.isEmpty()
+    small = (lambda df: df.join(large, "aln_id", "left_anti")) if some else (lambda df: df)
+    listed = small(nodes).select("aln_id", F.col("column_id").alias("src"), F.lit(None).cast("string").alias("dst")).union(small(arcs))
+    found = listed.repartition("aln_id").sortWithinPartitions("aln_id").mapInArrow(run, "aln_id string, column_id string, depth int")
+    if not some:
+        return found
+    of_large = lambda df, name: saved(df.join(large, "aln_id", "left_semi"), name)
+    return found.union(peeled(of_large(arcs, "arcs"), of_large(nodes, "nodes")))
+
+
+def linearize_columns(columns: DataFrame, alone: int = ALONE) -> DataFrame:
+    """(aln_id, column_id, place): columns in a topological order, by depth and then by id.
+    A cycle is an error."""
+    depth = F.coalesce("depth", F.raise_error(F.concat(F.lit("the columns form a cycle in "), "aln_id")).cast("int"))
+    known = column_depths(columns, alone).select("aln_id", "column_id", depth.alias("depth"))
+    return numbered_within(known, "place", "aln_id", "depth", "column_id").select("aln_id", "column_id", F.col("place").cast("int").alias("place"))
 
 
 def render_alignment(columns: DataFrame, sequences: DataFrame, places: DataFrame, only: DataFrame | None = None, gap: str = "-") -> DataFrame:

@@ -1,91 +1,101 @@
-"""Building alignments from links. The greedy merge depends on its order, so that one
-alignment is built in one task; alignments are spread over tasks."""
+"""Building alignments from links. The greedy merge depends on its order, so that what is
+linked of one alignment is built in one task, as its links pass by in order; alignments,
+and parts of large ones that no link joins, are spread over tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import graphs
 from ..functions.letters import ratio
-from .alignment import canonical_edges, column_arcs
+from ..sources.shared import saved
+from ..sources.views import column_name
+from .alignment import canonical_edges, column_depths
+from .components import components
 
-_EDGE = ("seq1", "pos1", "seq2", "pos2", "score")
+#: Sequences of a group from which parts that no link joins are built by themselves.
+SPLIT_OVER = 1000
+#: What a row of a stream holds, in the order in which one alignment's rows come.
+SEQUENCE, HELD, NAMED, LINK = range(4)
+
+_STREAM = ("aln_id", "piece", "kind", "seq1", "pos1", "seq2", "pos2", "score")
 
 
 def validate_alignment(columns: DataFrame) -> DataFrame:
     """(aln_id, valid): no column has two residues of a sequence, and there is no cycle."""
     twice = columns.groupBy("aln_id", "column_id", "sequence_id").agg(F.count("*").alias("n")).groupBy("aln_id").agg((F.max("n") == 1).alias("single"))
-    arcs = column_arcs(columns).groupBy("aln_id").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
+    acyclic = column_depths(columns).groupBy("aln_id").agg((F.count("*") == F.count("depth")).alias("acyclic"))
+    return twice.join(acyclic, "aln_id").select("aln_id", (F.col("single") & F.col("acyclic")).alias("valid"))
+
+
+def independent_pieces(sequences: DataFrame, edges: DataFrame, over: int = SPLIT_OVER) -> tuple[DataFrame, DataFrame]:
+    """sequences and edges with `piece`: parts of groups of more than `over` sequences that
+    no edge joins. No path leads from one part to another, so that each is merged by itself."""
+    large = sequences.groupBy("group_id").agg(F.count("*").alias("_n")).where(F.col("_n") > over).select(F.col("group_id").alias("aln_id"))
+    if large.isEmpty():
+        return sequences.withColumn("piece", F.lit("")), edges.withColumn("piece", F.lit(""))
+    edges = saved(edges, "links")
+    joined = edges.join(large, "aln_id", "left_semi").select("aln_id", "seq1", F.lit(0).alias("pos1"), "seq2", F.lit(0).alias("pos2")).distinct()
+    part_of = saved(components(joined).select("aln_id", "sequence_id", F.col("least.sequence_id").alias("_part")), "pieces")
+    marked = large.withColumn("_large", F.lit(True))
+    named = lambda df, aln, of: (
+        df.join(marked.withColumnRenamed("aln_id", aln), aln, "left")
+        .join(part_of.select(F.col("aln_id").alias(aln), F.col("sequence_id").alias(of), "_part"), [aln, of], "left")
+        .withColumn("piece", F.when(F.col("_large"), F.coalesce("_part", of)).otherwise(F.lit(""))).drop("_large", "_part")
+    )
+    return named(sequences, "group_id", "sequence_id"), named(edges, "aln_id", "seq1")
+
+
+def stream(sequences: DataFrame, edges: DataFrame, initial: DataFrame | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """Rows of all alignments, each alignment's in one task and in order: its sequences, the
+    columns of an initial and of a reference alignment, and its links, best first."""
+    piece = lambda df: F.col("piece") if "piece" in df.columns else F.lit("")
+    if "rank" in edges.columns:  # an order of their own
+        score = -F.col("rank").cast("double")
+    else:
+        score = F.col("score").cast("double") if "score" in edges.columns else F.lit(0.0)
+    none = F.lit(None)
+    rows = sequences.select(F.col("group_id").alias("aln_id"), piece(sequences).alias("piece"), F.lit(SEQUENCE).alias("kind"), F.col("sequence_id").alias("seq1"), F.size("letters").alias("pos1"), none.cast("string").alias("seq2"), none.cast("int").alias("pos2"), none.cast("double").alias("score"))
+    for kind, columns in ((HELD, initial), (NAMED, reference)):
+        if columns is not None:
+            rows = rows.union(columns.select("aln_id", F.lit(""), F.lit(kind), "sequence_id", F.col("pos").cast("int"), "column_id", none.cast("int"), none.cast("double")))
+    rows = rows.union(edges.select("aln_id", piece(edges), F.lit(LINK), "seq1", F.col("pos1").cast("int"), "seq2", F.col("pos2").cast("int"), score))
+    order = ("aln_id", "piece", "kind", F.desc_nulls_last("score"), "seq1", "pos1", "seq2", "pos2")
+    return rows.repartition("aln_id", "piece").sortWithinPartitions(*order).select(*_STREAM)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for arcs in batch.column(1).to_pylist():
-                pairs = [(a["src"], a["dst"]) for a in arcs]
-                good.append(graphs.ordered(list({c for p in pairs for c in p}), pairs) is not None)
-            yield pa.record_batch([batch.column(0), pa.array(good, pa.bool_())], names=["aln_id", "acyclic"])
 
-    acyclic = arcs.mapInArrow(run, "aln_id string, acyclic boolean")
-    return twice.join(acyclic, "aln_id", "left").select("aln_id", (F.col("single") & F.coalesce("acyclic", F.lit(True))).alias("valid"))
+class Built:
+    """One alignment, or piece of one, as columns of residues."""
 
+    def __init__(self, aln_id: str, sequences: list[tuple[str, int]]):
+        self.aln_id = aln_id
+        self.ids = [s for s, _ in sequences]
+        self.number = {s: i for i, s in enumerate(self.ids)}
+        self.columns = graphs.Columns([n for _, n in sequences])
+        self.together: dict[str, int] = {}
+        #: Columns of the reference by residue.
+        self.named: dict[int, str] = {}
 
-def gathered(sequences: DataFrame, edges: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """A row an alignment: aln_id, seqs (id, n), edges, and links of an initial alignment."""
-    seqs = sequences.groupBy(F.col("group_id").alias("aln_id")).agg(F.array_sort(F.collect_list(F.struct("sequence_id", F.size("letters").alias("n")))).alias("seqs"))
-    if "score" not in edges.columns:
-        edges = edges.withColumn("score", F.lit(0.0))
-    if "rank" in edges.columns:  # an order of their own
-        edges = edges.withColumn("score", -F.col("rank").cast("double"))
-    packed = edges.groupBy("aln_id").agg(F.collect_list(F.struct(*_EDGE)).alias("edges"))
-    out = seqs.join(packed, "aln_id", "left")
-    if initial is None:
-        return out.withColumn("held", F.array().cast("array<struct<column_id:string,sequence_id:string,pos:int>>"))
-    held = initial.groupBy("aln_id").agg(F.collect_list(F.struct("column_id", "sequence_id", F.col("pos").cast("int").alias("pos"))).alias("held"))
-    return out.join(held, "aln_id", "left")
+    def residue(self, sequence_id: str, pos: int) -> int:
+        return self.columns.first[self.number[sequence_id]] + pos
 
+    def hold(self, sequence_id: str, pos: int, column_id: str) -> None:
+        """Put a residue into a column of the initial alignment."""
+        r = self.residue(sequence_id, pos)
+        first = self.together.setdefault(column_id, r)
+        if not self.columns.merge(first, r) and first != r:
+            raise ValueError(f"the initial alignment {self.aln_id} is not valid")
 
-class Built:
-    """One alignment as columns of residues, from a gathered row."""
+    def name(self, sequence_id: str, pos: int, column_id: str) -> None:
+        if sequence_id in self.number:
+            self.named[self.residue(sequence_id, pos)] = column_id
 
-    def __init__(self, row: dict):
-        self.aln_id = row["aln_id"]
-        self.ids = [s["sequence_id"] for s in row["seqs"]]
-        self.number = {s: i for i, s in enumerate(self.ids)}
-        self.columns = graphs.Columns([s["n"] for s in row["seqs"]])
-        self.edges = self.best_first(row["edges"])
-        together: dict[str, int] = {}
-        for h in row["held"] or []:
-            r = self.columns.residue(self.number[h["sequence_id"]], h["pos"])
-            if not self.columns.merge(together.setdefault(h["column_id"], r), r) and together[h["column_id"]] != r:
-                raise ValueError(f"the initial alignment {self.aln_id} is not valid")
-
-    def best_first(self, edges: pa.StructArray | None) -> list[tuple]:
-        """(number of seq1, pos1, number of seq2, pos2, score), ties by sequence and position:
-        sequences are numbered in order of their ids."""
-        if edges is None:
-            return []
-
-        def numbers(ids: pa.Array) -> np.ndarray:
-            coded = ids.dictionary_encode()
-            return np.array([self.number[s] for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
-
-        seq1, pos1, seq2, pos2, score = edges.flatten()
-        fields = numbers(seq1), pos1.to_numpy(), numbers(seq2), pos2.to_numpy(), score.to_numpy()
-        order = np.lexsort((*fields[3::-1], -fields[4]))
-        return list(zip(*(f[order].tolist() for f in fields), strict=True))
-
-    def ends(self, edge: tuple) -> tuple[int, int]:
-        first = self.columns.first
-        return first[edge[0]] + edge[1], first[edge[2]] + edge[3]
-
-    def named(self, edge: tuple) -> tuple:
-        """The edge with the ids of its sequences, without its score."""
-        return self.ids[edge[0]], edge[1], self.ids[edge[2]], edge[3]
+    def merge(self, edge: tuple) -> bool:
+        return self.columns.merge(self.residue(edge[0], edge[1]), self.residue(edge[2], edge[3]))
 
     def rows(self) -> Iterator[tuple]:
         """(aln_id, column_id, sequence_id, pos); a column is named for its least residue."""
@@ -97,22 +107,67 @@ class Built:
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+#: Rows that a task hands on at once.
+_OUT = 50_000
 
+Take = Callable[[tuple], Iterator[tuple]]
 
-def per_alignment(packed: DataFrame, schema: str, make: Callable[[dict], Iterator[tuple]]) -> DataFrame:
-    """Rows that `make` yields for each gathered row, whose edges stay an Arrow array."""
+
+def per_alignment(rows: DataFrame, schema: str, make: Callable[[Built], tuple[Take | None, Callable[[], Iterator[tuple]] | None]]) -> DataFrame:
+    """Rows that the functions of `make` give for each alignment of a stream: one for a link
+    (seq1, pos1, seq2, pos2, score) as it comes by, one after the last. What is held is one
+    alignment's columns, never its links. Links without sequences are passed over."""
     fields = [f.split() for f in schema.split(", ")]
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(fields)
+        return pa.record_batch([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), 64):
-                part = batch.slice(first, 64)
-                values = ([e.values for e in c] if n == "edges" else c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True))
-                rows = [r for row in zip(*values, strict=True) for r in make(dict(zip(part.schema.names, row, strict=True)))]
-                columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
-                yield pa.record_batch([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+        out: list[tuple] = []
+        held, listed, built, take, close = None, [], None, None, None
 
-    return packed.mapInArrow(run, schema)
+        def start() -> None:
+            nonlocal built, take, close
+            built = Built(held[0], listed)
+            take, close = make(built)
+
+        for batch in batches:
+            for aln_id, piece, kind, *edge in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or aln_id != held[0] or piece != held[1]:
+                    if listed and built is None:
+                        start()
+                    if close is not None:
+                        for row in close():
+                            out.append(row)
+                            if len(out) >= _OUT:
+                                yield batch_of(out)
+                                out = []
+                    held, listed, built, take, close = (aln_id, piece), [], None, None, None
+                if kind == SEQUENCE:
+                    listed.append((edge[0], edge[1]))
+                    continue
+                if built is None:
+                    if not listed:
+                        continue
+                    start()
+                if kind == LINK:
+                    if take is not None:
+                        out.extend(take(edge))
+                elif kind == HELD:
+                    built.hold(edge[0], edge[1], edge[2])
+                else:
+                    built.name(edge[0], edge[1], edge[2])
+            if len(out) >= _OUT:
+                yield batch_of(out)
+                out = []
+        if listed and built is None:
+            start()
+        if close is not None:
+            out.extend(close())
+        yield batch_of(out)
+
+    return rows.mapInArrow(run, schema)
 
 
 _COLUMNS = "aln_id string, column_id string, sequence_id string, pos int"
@@ -122,13 +177,14 @@ def consensus_alignment(sequences: DataFrame, edges: DataFrame, threshold: float
     """Columns after adding the edges with score > threshold, best first, where they fit.
     Residues and alignments without any edge come out as single columns."""
 
-    def make(row: dict) -> Iterator[tuple]:
-        built = Built(row)
-        for e in built.edges:
-            built.columns.merge(*built.ends(e))
-        yield from built.rows()
+    def make(built: Built):
+        def take(edge: tuple):
+            built.merge(edge)
+            return ()
+
+        return take, built.rows
 
-    return per_alignment(gathered(sequences, canonical_edges(edges.where(F.col("score") > threshold))), _COLUMNS, make)
+    return per_alignment(stream(*independent_pieces(sequences, canonical_edges(edges.where(F.col("score") > threshold)))), _COLUMNS, make)
 
 
 def max_recall_alignment(sequences: DataFrame, edges: DataFrame) -> DataFrame:
@@ -139,85 +195,82 @@ def max_recall_alignment(sequences: DataFrame, edges: DataFrame) -> DataFrame:
 def consensus_grid(sequences: DataFrame, edges: DataFrame, thresholds: list[float]) -> DataFrame:
     """consensus_alignment for each threshold, with column `threshold`. What is accepted
     above a threshold is a prefix of what is accepted above a lower one, so that one run
-    at the least threshold serves all."""
-
-    def make(row: dict) -> Iterator[tuple]:
-        built = Built(row)
-        accepted = [e for e in built.edges if built.columns.merge(*built.ends(e))]
-        for t in thresholds:
-            replay = Built(row | {"edges": None})
-            for e in accepted:
-                if e[4] > t:
-                    replay.columns.merge(*replay.ends(e))
-            for r in replay.rows():
-                yield t, *r
+    at the least threshold serves all: links come best first, and the columns are given
+    out before the first link that a threshold leaves out."""
+    falling = sorted(set(thresholds), reverse=True)
+
+    def make(built: Built):
+        left = list(falling)
+
+        def given(down_to: float | None):
+            while left and (down_to is None or left[0] >= down_to):
+                t = left.pop(0)
+                for row in built.rows():
+                    yield t, *row
+
+        def take(edge: tuple):
+            out = list(given(edge[4])) if left and left[0] >= edge[4] else ()
+            built.merge(edge)
+            return out
+
+        return take, lambda: given(None)
 
     kept = canonical_edges(edges.where(F.col("score") > min(thresholds)))
-    return per_alignment(gathered(sequences, kept), "threshold double, " + _COLUMNS, make)
+    return per_alignment(stream(*independent_pieces(sequences, kept)), "threshold double, " + _COLUMNS, make)
 
 
 def try_adding_edges(sequences: DataFrame, edges: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """edges with `accepted`, added one after another in order of `rank` (or score) to an
     initial alignment. An edge already implied is not accepted."""
 
-    def make(row: dict) -> Iterator[tuple]:
-        built = Built(row)
-        for e in built.edges:
-            yield built.aln_id, *built.named(e), built.columns.merge(*built.ends(e))
+    def make(built: Built):
+        return lambda edge: [(built.aln_id, *edge[:4], built.merge(edge))], None
 
-    return per_alignment(gathered(sequences, canonical_edges(edges), initial), "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, accepted boolean", make)
+    return per_alignment(stream(sequences, canonical_edges(edges), initial), "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, accepted boolean", make)
 
 
 def is_valid_addition(sequences: DataFrame, edges: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """edges with `valid`: would each, alone, be accepted by the initial alignment?"""
 
-    def make(row: dict) -> Iterator[tuple]:
-        built = Built(row)
-        for e in built.edges:
-            yield built.aln_id, *built.named(e), built.columns.allowed(*built.ends(e))
+    def make(built: Built):
+        allowed = lambda e: built.columns.allowed(built.residue(e[0], e[1]), built.residue(e[2], e[3]))
+        return lambda edge: [(built.aln_id, *edge[:4], allowed(edge))], None
 
-    return per_alignment(gathered(sequences, canonical_edges(edges), initial), "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, valid boolean", make)
+    return per_alignment(stream(sequences, canonical_edges(edges), initial), "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, valid boolean", make)
 
 
 def columns_from_edges(residues: DataFrame, edges: DataFrame) -> DataFrame:
     """The transitive closure of links as columns, checked for nothing."""
-    nodes = residues.groupBy("aln_id").agg(F.array_sort(F.collect_set(F.struct("sequence_id", "pos"))).alias("nodes"))
-    packed = nodes.join(edges.groupBy("aln_id").agg(F.collect_list(F.struct("seq1", "pos1", "seq2", "pos2")).alias("edges")), "aln_id", "left")
-
-    def make(row: dict) -> Iterator[tuple]:
-        places = [(n["sequence_id"], n["pos"]) for n in row["nodes"]]
-        number = {p: i for i, p in enumerate(places)}
-        ends = [f.to_pylist() for f in row["edges"].flatten()] if row["edges"] is not None else [[]] * 4
-        least = graphs.linked(len(places), ((number[s1, p1], number[s2, p2]) for s1, p1, s2, p2 in zip(*ends, strict=True)))
-        for (s, p), i in zip(places, least, strict=True):
-            yield row["aln_id"], f"{places[i][0]}:{places[i][1]}", s, p
-
-    return per_alignment(packed, _COLUMNS, make)
+    least = components(edges)
+    nodes = residues.select("aln_id", "sequence_id", F.col("pos").cast("int").alias("pos")).distinct()
+    found = nodes.join(least, ["aln_id", "sequence_id", "pos"], "left")
+    name = column_name(F.coalesce("least.sequence_id", "sequence_id"), F.coalesce("least.pos", "pos"))
+    return found.select("aln_id", name.alias("column_id"), "sequence_id", "pos")
 
 
 def merges(sequences: DataFrame, edges: DataFrame, reference: DataFrame) -> DataFrame:
     """(aln_id, k, score, gained, shared): accepted edges of any score, best first; the
     edges that each closes, and how many of these the reference has."""
-    names = reference.groupBy("aln_id").agg(F.collect_list(F.struct("column_id", "sequence_id", F.col("pos").cast("int").alias("pos"))).alias("named"))
-    packed = gathered(sequences, canonical_edges(edges)).join(names, "aln_id", "left")
-
-    def make(row: dict) -> Iterator[tuple]:
-        built, k = Built(row), 0
-        columns = built.columns
-        of_reference = {columns.residue(built.number[n["sequence_id"]], n["pos"]): n["column_id"] for n in row["named"] or [] if n["sequence_id"] in built.number}
-        for e in built.edges:
-            a, b = built.ends(e)
+
+    def make(built: Built):
+        columns, k = built.columns, 0
+
+        def take(edge: tuple):
+            nonlocal k
+            a, b = built.residue(edge[0], edge[1]), built.residue(edge[2], edge[3])
             left, right = list(columns.members[columns.column[a]]), list(columns.members[columns.column[b]])
             if not columns.merge(a, b):
-                continue
+                return ()
             k += 1
             in_left: dict = {}
             for r in left:
-                in_left[of_reference.get(r)] = in_left.get(of_reference.get(r), 0) + 1
-            shared = sum(in_left.get(of_reference[r], 0) for r in right if r in of_reference)
-            yield built.aln_id, k, e[4], len(left) * len(right), shared
+                in_left[built.named.get(r)] = in_left.get(built.named.get(r), 0) + 1
+            shared = sum(in_left.get(built.named[r], 0) for r in right if r in built.named)
+            return [(built.aln_id, k, edge[4], len(left) * len(right), shared)]
+
+        return take, None
 
-    return per_alignment(packed, "aln_id string, k int, score double, gained long, shared long", make)
+    return per_alignment(stream(sequences, canonical_edges(edges), None, reference), "aln_id string, k int, score double, gained long, shared long", make)
 
 
 def roc_sample_points(accepted: DataFrame, n_points: int) -> DataFrame:

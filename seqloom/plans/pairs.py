@@ -16,16 +16,32 @@ from ..sources.shared import numbered
 
 #: Cells of one padded batch of pairs.
 BATCH_CELLS = 400_000
+#: Sequences of a block: two blocks make up to its square of pairs in one task.
+BLOCK = 512
 
 
-def sequence_pairs(coded: DataFrame, statistic: Column | None = None) -> DataFrame:
+def blocked(sequences: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """sequences (group_id, ord, ...) twice, for a join on group_id, _i and _j that meets
+    each pair once under the blocks of its two sequences: as the earlier one under all
+    blocks (own, j) and as the later one under all (i, own). Groups of one block stand there
+    once, as they are; a large one is spread over as many keys as it has pairs of blocks."""
+    last = sequences.groupBy("group_id").agg(F.max("ord").alias("_last")).where(F.col("_last") >= block)
+    own = F.floor(F.col("ord") / block).cast("int")
+    known = sequences.join(last, "group_id", "left").withColumns({"_own": own, "_end": F.coalesce(F.floor(F.col("_last") / block).cast("int"), F.lit(0))}).drop("_last")
+    top = known.withColumns({"_i": F.col("_own"), "_j": F.explode(F.sequence("_own", "_end"))})
+    bot = known.withColumns({"_j": F.col("_own"), "_i": F.explode(F.sequence(F.lit(0), "_own"))})
+    return top.drop("_own", "_end"), bot.drop("_own", "_end")
+
+
+def sequence_pairs(coded: DataFrame, statistic: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(group_id, top_id, bot_id, top, bot, stat) for sequences (group_id, sequence_id,
-    ord, ids): all pairs of a group, the earlier one on top. `dealt_out` spreads the pairs
-    of a large group over tasks."""
-    a = coded.select("group_id", F.col("sequence_id").alias("top_id"), F.col("ord").alias("_a"), F.col("ids").alias("top"))
-    b = coded.select("group_id", F.col("sequence_id").alias("bot_id"), F.col("ord").alias("_b"), F.col("ids").alias("bot"))
+    ord, ids): all pairs of a group, the earlier one on top; those of a large group come
+    block by block in many tasks. statistic: an expression over top_id, bot_id, top and bot."""
+    first, second = blocked(coded.select("group_id", "sequence_id", "ord", "ids"), block)
+    a = first.select("group_id", "_i", "_j", F.col("sequence_id").alias("top_id"), F.col("ord").alias("_a"), F.col("ids").alias("top"))
+    b = second.select("group_id", "_i", "_j", F.col("sequence_id").alias("bot_id"), F.col("ord").alias("_b"), F.col("ids").alias("bot"))
     stat = F.lit(0) if statistic is None else statistic
-    return a.join(b, "group_id").where("_a < _b").select("group_id", "top_id", "bot_id", "top", "bot", stat.alias("stat"))
+    return a.join(b, ["group_id", "_i", "_j"]).where("_a < _b").select("group_id", "top_id", "bot_id", "top", "bot", stat.cast("int").alias("stat"))
 
 
 def dealt_out(pairs: DataFrame, n: int | None = None) -> DataFrame:
@@ -40,11 +56,13 @@ def like_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("stat", "top", "bot").agg(F.count("*").alias("times"))
 
 
-def taxa_pairs(sequences: DataFrame) -> DataFrame:
+def taxa_pairs(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id1, id2): distinct pairs of sequence ids that share a group, id1 < id2."""
-    a = sequences.select("group_id", F.col("sequence_id").alias("id1"))
-    b = sequences.select("group_id", F.col("sequence_id").alias("id2"))
-    return a.join(b, "group_id").where("id1 < id2").select("id1", "id2").distinct()
+    first, second = blocked(sequences.select("group_id", "sequence_id", "ord"), block)
+    a = first.select("group_id", "_i", "_j", F.col("sequence_id").alias("_a"), F.col("ord").alias("_x"))
+    b = second.select("group_id", "_i", "_j", F.col("sequence_id").alias("_b"), F.col("ord").alias("_y"))
+    both = a.join(b, ["group_id", "_i", "_j"]).where("_x < _y and _a <> _b")
+    return both.select(F.least("_a", "_b").alias("id1"), F.greatest("_a", "_b").alias("id2")).distinct()
 
 
 def pair_statistic_index(sequences: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
@@ -49,3 +49,16 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
         before[r], total = total, total + sizes.get(r, 0)
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranges.withColumn(name, (within + F.array(*map(F.lit, before))[F.col("_range")]).cast("long")).drop("_range")
+
+
+def numbered_within(df: DataFrame, name: str, group: str, *order: str | Column) -> DataFrame:
+    """df with the rows of each group numbered from 0 in the given order. A large group lies
+    in several ranges, each numbered by itself after the rows of its group in those before."""
+    ranges = saved(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = ranges.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    # One row a group and range: as many as there are groups and ranges together.
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
+    starts = sizes.withColumn("_before", before).where("_before > 0").select(group, "_range", "_before")
+    placed = ranges.withColumn("_within", within).join(starts, [group, "_range"], "left")
+    return placed.withColumn(name, (F.col("_within") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)

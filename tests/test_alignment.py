@@ -134,7 +134,7 @@ def slow_consensus(seqs, edges, threshold):
         trial = {r: (a if c == b else c) for r, c in column.items()}
         members = [r[0] for r, c in trial.items() if c == a]
         arcs = {(trial[s, i], trial[s, i + 1]) for s, x in seqs.items() for i in range(len(x) - 1)}
-        if len(set(members)) == len(members) and graphs.ordered(sorted(set(trial.values())), arcs) is not None and not any(u == v for u, v in arcs):
+        if len(set(members)) == len(members) and len(graphs.depths(set(trial.values()), arcs)) == len(set(trial.values())) and not any(u == v for u, v in arcs):
             column = trial
     out: dict = {}
     for r, c in column.items():
