@@ -144,14 +144,19 @@ def disjoint_columns(pairs: DataFrame, columns: DataFrame) -> DataFrame:
     return pairs.join(a, ["aln_id", "column_a"]).join(b, ["aln_id", "column_b"]).where(~F.arrays_overlap("_a", "_b")).select("aln_id", "column_a", "column_b")
 
 
-def union_alignments(one: DataFrame, two: DataFrame, strict: bool = False) -> DataFrame:
+def union_alignments(one: DataFrame, two: DataFrame, strict: bool = False, sequences: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Columns of the union of links, with `valid`: false for alignments whose links
-    conflict. With strict, a link that both have counts as a conflict too."""
+    conflict. With strict, a link that both have counts as a conflict too. sequences: those
+    of the two alignments; an id with different letters is an error."""
     from .construct import columns_from_edges, validate_alignment
 
     residues = one.select("aln_id", "sequence_id", "pos").union(two.select("aln_id", "sequence_id", "pos")).distinct()
     links = spanning_edges(one).union(spanning_edges(two))
     merged = columns_from_edges(residues, links)
+    if sequences is not None:
+        letters = union_sequences(*sequences).select(F.col("group_id").alias("aln_id"), "sequence_id", F.posexplode("letters").alias("pos", "_letter"))
+        merged = merged.join(letters.drop("_letter"), ["aln_id", "sequence_id", "pos"], "left_semi").select("aln_id", "column_id", "sequence_id", "pos")
+    merged = saved(merged, "united")
     found = merged.join(validate_alignment(merged), "aln_id")
     if strict:
         common = edges_of_alignment(one).join(edges_of_alignment(two), ["aln_id", "seq1", "pos1", "seq2", "pos2"], "left_semi").select("aln_id").distinct().withColumn("_common", F.lit(True))

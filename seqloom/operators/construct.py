@@ -14,7 +14,7 @@ from ..functions import graphs
 from ..functions.letters import ratio
 from ..sources.shared import saved
 from ..sources.views import column_name
-from .alignment import canonical_edges, column_depths
+from .alignment import ALONE, canonical_edges, column_depths
 from .components import components
 
 #: Sequences of a group from which parts that no link joins are built by themselves.
@@ -25,10 +25,10 @@ SEQUENCE, HELD, NAMED, LINK = range(4)
 _STREAM = ("aln_id", "piece", "kind", "seq1", "pos1", "seq2", "pos2", "score")
 
 
-def validate_alignment(columns: DataFrame) -> DataFrame:
+def validate_alignment(columns: DataFrame, alone: int = ALONE) -> DataFrame:
     """(aln_id, valid): no column has two residues of a sequence, and there is no cycle."""
     twice = columns.groupBy("aln_id", "column_id", "sequence_id").agg(F.count("*").alias("n")).groupBy("aln_id").agg((F.max("n") == 1).alias("single"))
-    acyclic = column_depths(columns).groupBy("aln_id").agg((F.count("*") == F.count("depth")).alias("acyclic"))
+    acyclic = column_depths(columns, alone).groupBy("aln_id").agg((F.count("*") == F.count("depth")).alias("acyclic"))
     return twice.join(acyclic, "aln_id").select("aln_id", (F.col("single") & F.col("acyclic")).alias("valid"))
 
 

@@ -7,15 +7,18 @@ All tables are as large as the alphabet squared, times the number of pair statis
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import NEG, Weights
 from ..functions.letters import BOUNDARY, GAP, collapse_indel_state
+from ..sources.shared import numbered, saved
 
 SUB, INS, DEL = 0, 1, 2
 KEY = ["state1", "stat", "state2", "top_sym", "bot_sym"]
@@ -159,21 +162,39 @@ def export_model_table(logprobs: DataFrame) -> DataFrame:
     return logprobs.where(F.col("logp") > float("-inf")).select(*KEY, F.exp("logp").alias("probability"))
 
 
+def weights_of(state1: np.ndarray, state2: np.ndarray, top: np.ndarray, bot: np.ndarray, logp: np.ndarray, n_letters: int) -> Weights:
+    """One model as arrays for the recurrences."""
+    n = n_letters + 2
+    table = np.full((3, 3, n, n), NEG)
+    table[state1, state2, top, bot] = logp
+    if np.exp(table.max(initial=NEG)) > 1 + 1e-4:
+        raise ValueError("a log-probability is above 0")
+    only = lambda s: np.where(np.arange(3)[None, :, None, None] == s, table, NEG)
+    return Weights(sub=only(SUB), drop=only(DEL)[:, :, :, n - 1], ins=only(INS)[:, :, n - 1, :])
+
+
 def model_weights(logprobs: DataFrame, n_letters: int) -> dict[int, Weights]:
-    """The table as arrays for the recurrences, by pair statistic."""
+    """The table as arrays, by pair statistic, for models that are sent to every task."""
     n = n_letters + 2
     n_cells = 9 * n * n * logprobs.select("stat").distinct().count()
     if n_cells > MAX_TABLE:
-        raise ValueError(f"a model table of {n_cells} cells is too large to send to the executors")
-    out, rows = {}, logprobs.toPandas()
-    for stat, part in rows.groupby("stat"):
-        table = np.full((3, 3, n, n), NEG)
-        table[part.state1, part.state2, part.top_sym, part.bot_sym] = part.logp
-        if np.exp(table.max(initial=NEG)) > 1 + 1e-4:
-            raise ValueError("a log-probability is above 0")
-        only = lambda s: np.where(np.arange(3)[None, :, None, None] == s, table, NEG)  # noqa: E731, B023
-        out[int(stat)] = Weights(sub=only(SUB), drop=only(DEL)[:, :, :, n - 1], ins=only(INS)[:, :, n - 1, :])
-    return out
+        raise ValueError(f"a model table of {n_cells} cells is too large to send to the executors; see model_tables")
+    rows = logprobs.toPandas()
+    return {int(stat): weights_of(part.state1, part.state2, part.top_sym, part.bot_sym, part.logp, n_letters) for stat, part in rows.groupby("stat")}
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Models of many pair statistics, which meet their pairs in a shuffle: a row a
+    statistic, (stat, cells), with as many cells as one model."""
+
+    rows: DataFrame
+    n_letters: int
+
+
+def model_tables(logprobs: DataFrame, n_letters: int) -> Tables:
+    cells = F.collect_list(F.struct("state1", "state2", "top_sym", "bot_sym", "logp"))
+    return Tables(logprobs.groupBy("stat").agg(cells.alias("cells")), n_letters)
 
 
 # --- the fit ----------------------------------------------------------------
@@ -252,3 +273,85 @@ def m_step(features: DataFrame, suffstats: DataFrame, start: DataFrame | None =
     begin = as_dict(start)
     fitted = minimise(function, np.array([begin.get(f, 0.0) for f in names]))
     return spark.createDataFrame(pd.DataFrame({"feature": names, "weight": fitted}), "feature string, weight double")
+
+
+# --- the fit in tasks, for models of many pair statistics --------------------
+
+
+def contexts(features: DataFrame, suffstats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(feature, index), and a row for each (state1, stat), saved: the expected counts of its
+    cells, the number of features of each, and their indices and values one after another.
+    A row is as large as one statistic's model."""
+    index = saved(numbered(features.select("feature").distinct(), "index", "feature"), "features")
+    cells = features.join(index, "feature").groupBy(*KEY).agg(F.collect_list(F.struct("index", "value")).alias("f"))
+    counted = cells.join(suffstats.select(*KEY, "expected"), KEY, "left")
+    each = F.collect_list(F.struct(F.coalesce("expected", F.lit(0.0)).alias("c"), "f"))
+    rows = counted.groupBy("state1", "stat").agg(each.alias("cells"))
+    of = lambda name: F.flatten(F.transform("cells", lambda x: F.transform(x["f"], lambda f: f[name])))
+    return index, saved(rows.select(F.transform("cells", lambda x: x["c"]).alias("counts"), F.transform("cells", lambda x: F.size(x["f"])).alias("sizes"), of("index").alias("at"), of("value").alias("values")), "contexts")
+
+
+def loss_and_gradient(rows: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """The negative log-likelihood of the counts and its gradient, added up in the tasks;
+    only vectors as long as the weights come to the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        slope, loss = np.zeros(len(w)), 0.0
+        for batch in batches:
+            for c, size, at, value in zip(*(col for col in batch.columns), strict=True):
+                c, size, at, value = (x.values.to_numpy() for x in (c, size, at, value))
+                cell = np.repeat(np.arange(len(c)), size)
+                score = np.bincount(cell, value * w[at], len(c))
+                top = score.max()
+                logp = score - top - np.log(np.exp(score - top).sum())
+                loss -= (c * logp).sum()
+                slope -= np.bincount(at, value * (c - c.sum() * np.exp(logp))[cell], len(w))
+        some = np.nonzero(slope)[0]
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(slope[some], loss))], names=["index", "part"])
+
+    found = rows.mapInArrow(run, "index long, part double").groupBy("index").agg(F.sum("part").alias("part")).toPandas()
+    shared.destroy()
+    slope = np.zeros(len(weights))
+    own = found[found["index"] >= 0]
+    slope[own["index"]] = own.part
+    return float(found.part[found["index"] < 0].sum()), slope
+
+
+def m_step_in_tasks(features: DataFrame, suffstats: DataFrame, start: DataFrame | None = None, centers: DataFrame | None = None, sigma: float = 1.0, factors: DataFrame | None = None) -> DataFrame:
+    """m_step for models of many pair statistics, whose cells stay in the tasks."""
+    spark = features.sparkSession
+    index, rows = contexts(features, suffstats)
+    rows = rows.persist()
+
+    def vector(table: DataFrame | None, of: str, default: float) -> np.ndarray:
+        out = np.full(len(names), default)
+        if table is not None:
+            own = index.join(table, "feature").select("index", of).toPandas()
+            out[own["index"]] = own[of]
+        return out
+
+    names = index.orderBy("index").toPandas().feature.tolist()
+    center, factor = vector(centers, "weight", 0.0), vector(factors, "factor", 1.0)
+
+    def function(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = loss_and_gradient(rows, w)
+        away = w - center
+        return loss + float((factor * away**2).sum()) / (2 * sigma**2), slope + factor * away / sigma**2
+
+    fitted = minimise(function, vector(start, "weight", 0.0))
+    rows.unpersist()
+    return spark.createDataFrame(pd.DataFrame({"feature": names, "weight": fitted}), "feature string, weight double")
+
+
+def fit_gradient(features: DataFrame, suffstats: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(feature, gradient) of the negative log-likelihood at given weights, or at zero."""
+    index, rows = contexts(features, suffstats)
+    at = np.zeros(index.count())
+    if weights is not None:
+        own = index.join(weights, "feature").select("index", "weight").toPandas()
+        at[own["index"]] = own.weight
+    _, slope = loss_and_gradient(rows, at)
+    found = features.sparkSession.createDataFrame(pd.DataFrame({"index": np.arange(len(slope)), "gradient": slope}), "index long, gradient double")
+    return index.join(found, "index").select("feature", "gradient")

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.kernels import Batch, Weights
-from ..sources.shared import numbered
+from ..sources.shared import numbered, saved
+from .model import Tables, weights_of
 
 #: Cells of one padded batch of pairs.
 BATCH_CELLS = 400_000
 #: Sequences of a block: two blocks make up to its square of pairs in one task.
 BLOCK = 512
+#: Pairs of one statistic that one task takes, where models meet their pairs in a shuffle.
+PER_TASK = 100_000
 
 
 def blocked(sequences: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +92,7 @@ def reweight_pairs(pairs: DataFrame, odds: DataFrame) -> DataFrame:
     return joined.withColumn("bonus", bonus).drop("_odds")
 
 
-def in_batches(rows: pd.DataFrame, weights: dict[int, Weights], boundary: int | None) -> Iterator[tuple[pd.DataFrame, Batch, Weights]]:
+def in_batches(rows: pd.DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None) -> Iterator[tuple[pd.DataFrame, Batch, Weights]]:
     """Pairs of like sizes together, at most BATCH_CELLS padded cells at once. boundary:
     the symbol to append to both sides."""
     if not len(rows):
@@ -124,24 +127,59 @@ def in_batches(rows: pd.DataFrame, weights: dict[int, Weights], boundary: int |
         first = last
 
 
-def per_pairs(pairs: DataFrame, weights: dict[int, Weights], boundary: int | None, schema: str, work: Callable) -> DataFrame:
-    """Rows that work(rows, batch, weights) gives as a pandas frame for each batch; what it
-    returns for None closes a task."""
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)  # bounded by MAX_TABLE
+def with_models(pairs: DataFrame, tables: Tables, per_task: int = PER_TASK) -> DataFrame:
+    """The pairs with the models of their statistics, each model's row before its pairs in
+    the same task; a statistic of more than `per_task` pairs is dealt over several tasks,
+    each with the model's row."""
+    counts = pairs.groupBy("stat").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_parts"))
+    dealt = pairs.join(counts, "stat").withColumn("_part", F.pmod(F.xxhash64("top", "bot"), F.col("_parts")).cast("int")).drop("_parts")
+    models = tables.rows.join(counts, "stat").select("stat", "cells", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    both = models.unionByName(dealt, allowMissingColumns=True)
+    return both.repartition("stat", "_part").sortWithinPartitions("stat", "_part", F.col("cells").isNull())
+
+
+def per_pairs(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None, schema: str, work: Callable) -> DataFrame:
+    """Rows that work(rows, batch, weights) gives as a pandas frame for each batch. Models
+    are sent to every task, or meet their pairs by statistic."""
     columns = [f.split()[0] for f in schema.split(", ")]
 
+    def results(rows: pd.DataFrame, models: dict[int, Weights]) -> Iterator[pa.RecordBatch]:
+        for part, padded, w in in_batches(rows, models, boundary):
+            out = work(part, padded, w)
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out[columns], preserve_index=False)
+
+    if isinstance(weights, Tables):
+        n_letters = weights.n_letters
+
+        def run_by_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models: dict[int, Weights] = {}
+            for batch in batches:
+                names = batch.schema.names
+                is_model = np.asarray(batch.column(names.index("cells")).is_valid())
+                kept = {models_of: models[models_of] for models_of in list(models)[-1:]}  # the last one goes on
+                fresh = batch.filter(pa.array(is_model))
+                for stat, cells in zip(fresh.column(names.index("stat")).to_pylist(), fresh.column(names.index("cells")), strict=True):
+                    fields = [f.to_numpy() for f in cells.values.flatten()]
+                    kept[stat] = kept.pop(stat, None) or weights_of(*fields, n_letters)
+                models = kept
+                rows = batch.filter(pa.array(~is_model))
+                frame = pd.DataFrame({n: rows.column(i).to_pylist() for i, n in enumerate(names) if n not in ("cells", "_part")})
+                yield from results(frame, models)
+
+        return with_models(pairs, weights).mapInArrow(run_by_model, schema)
+
+    shared = pairs.sparkSession.sparkContext.broadcast(weights)  # bounded by MAX_TABLE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pd.DataFrame({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            for part, padded, w in in_batches(rows, shared.value, boundary):
-                out = work(part, padded, w)
-                if len(out):
-                    yield pa.RecordBatch.from_pandas(out[columns], preserve_index=False)
+            yield from results(rows, shared.value)
 
     return pairs.mapInArrow(run, schema)
 
 
-def pair_log_likelihood(pairs: DataFrame, weights: dict[int, Weights], boundary: int | None) -> DataFrame:
+def pair_log_likelihood(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None) -> DataFrame:
     """(group_id, top_id, bot_id, loglik): log of the summed weight of all paths."""
 
     def work(rows: pd.DataFrame, batch: Batch, w: Weights) -> pd.DataFrame:
@@ -167,7 +205,7 @@ def inner_cells(rows: pd.DataFrame, chance: np.ndarray, over: float) -> pd.DataF
 _EDGES = "aln_id string, seq1 string, pos1 int, seq2 string, pos2 int, score double"
 
 
-def pair_posteriors(pairs: DataFrame, weights: dict[int, Weights], boundary: int | None, over: float = -1.0) -> DataFrame:
+def pair_posteriors(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None, over: float = -1.0) -> DataFrame:
     """Scored edges: the chance that two positions are aligned. over: edges of at most
     this chance are left out before any shuffle."""
 
@@ -180,14 +218,14 @@ def pair_posteriors(pairs: DataFrame, weights: dict[int, Weights], boundary: int
 _COUNTS = "state1 int, stat int, state2 int, top_sym int, bot_sym int, expected double"
 
 
-def expected_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> DataFrame:
+def expected_counts(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int, n_letters: int) -> DataFrame:
     """(state1, stat, state2, top_sym, bot_sym, expected): posterior numbers of moves over
     all pairs, the boundary's included; added up within a batch, then over tasks. A column
     `times` says how often a pair counts."""
     return sum_sufficient_statistics(batch_counts(pairs, weights, boundary, n_letters).where("state1 >= 0"))
 
 
-def batch_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> DataFrame:
+def batch_counts(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int, n_letters: int) -> DataFrame:
     """The expected counts of each batch, and as a row of state1 -1 its log-likelihood."""
     n = n_letters + 2
 
@@ -202,11 +240,15 @@ def batch_counts(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n
     return per_pairs(pairs, weights, boundary, _COUNTS, work)
 
 
-def counts_and_likelihood(pairs: DataFrame, weights: dict[int, Weights], boundary: int, n_letters: int) -> tuple[DataFrame, float]:
+def counts_and_likelihood(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int, n_letters: int) -> tuple[DataFrame, float]:
     """Expected counts and the summed log-likelihood of all pairs, by one pass over them.
     The counts are as large as the model."""
     schema, each = _COUNTS, batch_counts(pairs, weights, boundary, n_letters)
-    rows = each.groupBy("state1", "stat", "state2", "top_sym", "bot_sym").agg(F.sum("expected").alias("expected")).toPandas()
+    summed = each.groupBy("state1", "stat", "state2", "top_sym", "bot_sym").agg(F.sum("expected").alias("expected"))
+    if isinstance(weights, Tables):  # many statistics: the counts stay in Spark
+        kept = saved(summed, "counts")
+        return kept.where("state1 >= 0"), float(kept.where("state1 < 0").agg(F.coalesce(F.sum("expected"), F.lit(0.0))).first()[0])
+    rows = summed.toPandas()
     loglik = float(rows.expected[rows.state1 < 0].sum())
     return pairs.sparkSession.createDataFrame(rows[rows.state1 >= 0], schema), loglik
 
@@ -219,7 +261,7 @@ def sum_sufficient_statistics(counts: DataFrame) -> DataFrame:
 _DERIVATION = "group_id string, top_id string, bot_id string, ancestors array<int>"
 
 
-def viterbi_alignment(pairs: DataFrame, weights: dict[int, Weights], boundary: int | None, with_states: bool = False) -> DataFrame:
+def viterbi_alignment(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None, with_states: bool = False) -> DataFrame:
     """(group_id, top_id, bot_id, ancestors): the best path, without the boundary. Of equal
     paths the first by state, then drop, insertion, alignment."""
     schema = _DERIVATION + ", states array<int>" * with_states
@@ -233,7 +275,7 @@ def viterbi_alignment(pairs: DataFrame, weights: dict[int, Weights], boundary: i
     return per_pairs(pairs, weights, boundary, schema, work)
 
 
-def sample_alignments(pairs: DataFrame, weights: dict[int, Weights], boundary: int | None, n_draws: int = 1, seed: int = 0) -> DataFrame:
+def sample_alignments(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None, n_draws: int = 1, seed: int = 0) -> DataFrame:
     """(group_id, top_id, bot_id, draw, ancestors) from the posterior. Draws depend on the
     seed and the pair alone, so that a task run again gives them again."""
     keyed = pairs.withColumn("_seed", F.xxhash64(F.lit(seed), "group_id", "top_id", "bot_id"))
@@ -248,7 +290,7 @@ def sample_alignments(pairs: DataFrame, weights: dict[int, Weights], boundary: i
     return per_pairs(keyed, weights, boundary, "group_id string, top_id string, bot_id string, draw int, ancestors array<int>", work)
 
 
-def mbr_alignment(pairs: DataFrame, weights: dict[int, Weights], boundary: int | None) -> DataFrame:
+def mbr_alignment(pairs: DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None) -> DataFrame:
     """(group_id, top_id, bot_id, ancestors): the path with the greatest sum of chances of
     its aligned moves."""
 

@@ -51,7 +51,8 @@ def train(
     outputs: str | None = None, thresholds: list[float] | None = None, write_every_iteration: bool = False,
 ) -> list[Step]:
     """Expected counts of all pairs, then new weights, `iterations` times. custom and factors:
-    further features, and the penalty's factor of some. outputs: a folder for the weights
+    further features, and the penalty's factor of some. pair_specific: a model for each pair
+    of ids, which meets its pairs by a shuffle, however many there are. outputs: a folder for the weights
     and the alignments at each threshold after the last round, or after each."""
     from ..sources.files import write_iteration_outputs
 
@@ -71,8 +72,13 @@ def train(
     center = regularization_centers(spark, centers, weights)
     steps = []
     for i in range(iterations):
-        counts, loglik = pairs.counts_and_likelihood(paired, current_model(features, weights, n), n, n)
-        weights = model.m_step(features, counts, weights, center, sigma, factors)
+        if pair_specific:  # models and counts of all statistics stay in Spark
+            tables = model.model_tables(model.transition_logprobs(features, weights), n)
+            counts, loglik = pairs.counts_and_likelihood(paired, tables, n, n)
+            weights = model.m_step_in_tasks(features, counts, weights, center, sigma, factors)
+        else:
+            counts, loglik = pairs.counts_and_likelihood(paired, current_model(features, weights, n), n, n)
+            weights = model.m_step(features, counts, weights, center, sigma, factors)
         steps.append(Step(i, loglik, weights))
         if outputs is not None and (write_every_iteration or i == iterations - 1):
             grid = align_groups(sequences, weights, letter_features, thresholds or [0.0], custom)

@@ -107,6 +107,11 @@ _MERGED = "coalesce(a.seq1 || ':' || a.pos1, d.sequence_id || ':' || d.pos) AS c
 _LINKED = "a.aln_id = d.aln_id AND a.seq2 = d.sequence_id AND a.pos2 = d.pos"
 
 
+def in_one_alignment(rows: DataFrame) -> DataFrame:
+    """All groups as one: sequences have ids of their own."""
+    return rows.withColumn("aln_id", F.lit("all"))
+
+
 def letters_text(df: DataFrame, name: str = "letters") -> DataFrame:
     return df.withColumn(name, F.array_join(name, " "))
 
@@ -520,6 +525,25 @@ def linearize_columns(spark, sf_dir):
     return A.linearize_columns(gold(spark, sf_dir))
 
 
+_SPLIT = f"""WITH RECURSIVE {COLS}, n AS (SELECT *, count(*) OVER (PARTITION BY aln_id, column_id) AS n, min(sequence_id) OVER (PARTITION BY aln_id, column_id) AS low FROM gold),
+s AS (SELECT *, n > 1 AND sequence_id = low AS side FROM n),
+parted AS (SELECT aln_id, first_value(sequence_id || ':' || pos) OVER (PARTITION BY aln_id, column_id, side ORDER BY sequence_id) AS column_id, sequence_id, pos FROM s)"""
+
+
+@query(_SPLIT + """, arcs AS (SELECT DISTINCT * FROM (SELECT aln_id, column_id AS src, lead(column_id) OVER (PARTITION BY aln_id, sequence_id ORDER BY pos) AS dst FROM parted) WHERE dst IS NOT NULL),
+walk AS (SELECT DISTINCT aln_id, column_id, 0 AS depth FROM parted UNION SELECT w.aln_id, a.dst, depth + 1 FROM walk w JOIN arcs a ON a.aln_id = w.aln_id AND a.src = w.column_id)
+SELECT aln_id, column_id, CAST(row_number() OVER (PARTITION BY aln_id ORDER BY max(depth), column_id) - 1 AS INTEGER) AS place FROM walk GROUP BY aln_id, column_id""")
+def linearize_split_columns(spark, sf_dir):
+    """Columns of which the least sequence is set apart have many orders: by depth, then id."""
+    return A.linearize_columns(split_column(spark, sf_dir))
+
+
+@query(f"WITH {COLS} SELECT 'all' AS aln_id, column_id, CAST(row_number() OVER (ORDER BY pos, column_id) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT column_id, pos FROM gold)")
+def linearize_one_alignment(spark, sf_dir):
+    """All columns of all groups as one alignment, peeled over all tasks."""
+    return A.linearize_columns(in_one_alignment(gold(spark, sf_dir)), alone=0)
+
+
 @query(f"WITH {SEQ}{_PADDED} SELECT aln_id, sequence_id, r AS row FROM padded")
 def render_alignment(spark, sf_dir):
     g = gold(spark, sf_dir)
@@ -539,17 +563,24 @@ def union_alignments(spark, sf_dir):
     return united.where("valid").drop("valid")
 
 
+@query(f"WITH {COLS} SELECT gold.aln_id, column_id, sequence_id, pos FROM gold JOIN (SELECT group_id, sequence_id AS s, row_number() OVER (PARTITION BY group_id ORDER BY sequence_id) - 1 AS ord FROM seq) o ON o.group_id = aln_id AND s = sequence_id")
+def union_of_overlapping(spark, sf_dir):
+    """The alignments of each group's even and odd sequences, both with its longest one, whose
+    letters must be the same and which links the two."""
+    s = order_sequences(spark, sf_dir)
+    longest = F.max(F.struct(F.size("letters").alias("n"), F.col("ord")))
+    first = s.groupBy("group_id").agg(longest.alias("m")).select("group_id", F.col("m.ord").alias("_ord"))
+    even, odd = (s.join(first, "group_id").where((F.col("ord") == F.col("_ord")) | (F.col("ord") % 2 == r)).drop("_ord") for r in (0, 1))
+    united = A.union_alignments(justified(even), justified(odd), sequences=(even, odd))
+    return united.where("valid").drop("valid")
+
+
 @query(f"WITH {SEQ} SELECT group_id AS aln_id, min(len(letters)) = max(len(letters)) AS valid FROM seq GROUP BY 1")
 def union_conflicts(spark, sf_dir):
     """Flush left and flush right, united: sequences of unlike length cannot have both."""
     return A.union_alignments(gold(spark, sf_dir), guess(spark, sf_dir)).select("aln_id", "valid").distinct()
 
 
-_SPLIT = f"""WITH {COLS}, n AS (SELECT *, count(*) OVER (PARTITION BY aln_id, column_id) AS n, min(sequence_id) OVER (PARTITION BY aln_id, column_id) AS low FROM gold),
-s AS (SELECT *, n > 1 AND sequence_id = low AS side FROM n),
-parted AS (SELECT aln_id, first_value(sequence_id || ':' || pos) OVER (PARTITION BY aln_id, column_id, side ORDER BY sequence_id) AS column_id, sequence_id, pos FROM s)"""
-
-
 @query(_SPLIT + " SELECT * FROM parted")
 def split_column(spark, sf_dir):
     """The least sequence of every column is set apart."""
@@ -591,6 +622,28 @@ def columns_from_edges(spark, sf_dir):
     return C.columns_from_edges(g.select("aln_id", "sequence_id", "pos"), A.spanning_edges(g))
 
 
+@query("SELECT 'all' AS aln_id, true AS valid")
+def validate_one_alignment(spark, sf_dir):
+    """All columns of all groups as one alignment, peeled over all tasks."""
+    return C.validate_alignment(in_one_alignment(guess(spark, sf_dir)), alone=0)
+
+
+@query(f"WITH {COLS} SELECT 'all' AS aln_id, column_id, sequence_id, pos FROM guess")
+def columns_of_one_alignment(spark, sf_dir):
+    """Every link of the table in one alignment."""
+    g = in_one_alignment(guess(spark, sf_dir))
+    return C.columns_from_edges(g.select("aln_id", "sequence_id", "pos"), A.spanning_edges(g))
+
+
+@query(f"""WITH {SCORED}, ends AS (SELECT DISTINCT sequence_id, n FROM res)
+SELECT s.aln_id, seq1, pos1, seq2, pos2, CASE WHEN pos1 = 0 AND pos2 = 0 THEN true WHEN pos1 = 0 THEN a.n = 1 WHEN pos2 = 0 THEN b.n = 1 ELSE pos1 > 1 AND pos2 > 1 END AS valid
+FROM scored s JOIN ends a ON a.sequence_id = seq1 JOIN ends b ON b.sequence_id = seq2""")
+def is_valid_addition_about_a_column(spark, sf_dir):
+    """To an alignment of the second positions: a link across that column closes a cycle,
+    unless one of its sequences ends before."""
+    return C.is_valid_addition(order_sequences(spark, sf_dir), scored(spark, sf_dir), gold(spark, sf_dir).where("pos = 1"))
+
+
 @query(f"""WITH {SCORED}, low AS (SELECT aln_id, pos, min(sequence_id) AS seq1 FROM res GROUP BY ALL)
 SELECT s.aln_id, s.seq1, pos1, seq2, pos2, pos1 = pos2 AND pos1 > 0 AND s.seq1 = low.seq1 AS accepted FROM scored s JOIN low ON low.aln_id = s.aln_id AND low.pos = pos1""")
 def try_adding_edges(spark, sf_dir):
@@ -800,6 +853,27 @@ def homogeneous_pair_model(spark, sf_dir):
     return pairs.pair_log_likelihood(paired, weights, None).withColumn("loglik", rounded("loglik"))
 
 
+@query(f"""{_TRANSITION}, counts AS (SELECT * FROM ({ORACLE["expected_counts_of_zero_weights"]})),
+n AS (SELECT state1, count(*) AS n FROM support GROUP BY 1), t AS (SELECT state1, sum(expected) AS t FROM counts GROUP BY 1)
+SELECT feature, round(-sum(coalesce(expected, 0) - coalesce(t, 0) / n), 2) + 0.0 AS gradient FROM f JOIN n USING (state1) LEFT JOIN t USING (state1) LEFT JOIN counts USING (state1, state2, top_sym, bot_sym) GROUP BY 1""")
+def fit_gradient(spark, sf_dir):
+    """The slope that the fit starts with, added up in tasks."""
+    _, alphabet, paired, n = coded(spark, sf_dir)
+    features = model.transition_features(alphabet)
+    table = model.model_tables(model.transition_logprobs(features, training.zero_weights(spark)), n)
+    found = model.fit_gradient(features, pairs.expected_counts(paired, table, n, n))
+    return found.withColumn("gradient", F.round("gradient", 2) + F.lit(0.0))
+
+
+@query()
+def train_pair_specific(spark, sf_dir):
+    """A model for each pair of user groups' places in their group, which meets its pairs in
+    a shuffle; one round."""
+    sequences = event_sequences(spark, sf_dir, groups=50).withColumn("sequence_id", F.col("ord").cast("string"))
+    steps = training.train(sequences, iterations=1, pair_specific=True)
+    return steps[-1].weights.withColumn("weight", F.round("weight", 3))
+
+
 @query()
 def m_step(spark, sf_dir):
     """Weights fitted to the expected counts of one round."""
@@ -828,6 +902,22 @@ def align_event_groups(spark, sf_dir):
     return training.align_groups(sequences, trained(sequences), thresholds=[0.5, 0.75])
 
 
+@query("""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS sequence_id, list(event_type ORDER BY ts, event_id) AS letters FROM events GROUP BY user_id)
+SELECT 'all' AS group_id, a.sequence_id AS top_id, b.sequence_id AS bot_id, array_to_string(a.letters, ' ') AS top, array_to_string(b.letters, ' ') AS bot FROM ev a JOIN ev b ON a.sequence_id < b.sequence_id""")
+def pairs_of_one_group(spark, sf_dir):
+    """All users' events as one group, whose pairs are made block by block."""
+    ev = event_sequences(spark, sf_dir, groups=1)
+    p = pairs.sequence_pairs(ev.withColumn("group_id", F.lit("all")).withColumnRenamed("letters", "ids"), block=32)
+    return p.select("group_id", "top_id", "bot_id", F.array_join("top", " ").alias("top"), F.array_join("bot", " ").alias("bot"))
+
+
+@query(f"WITH {SEQ} SELECT a.group_id, a.sequence_id AS top_id, b.sequence_id AS bot_id, CAST(len(b.letters) - len(a.letters) AS INTEGER) AS stat FROM seq a JOIN seq b ON a.group_id = b.group_id AND a.sequence_id < b.sequence_id")
+def pairs_of_own_statistic(spark, sf_dir):
+    """Pairs told apart by how much longer the later sequence is."""
+    coded = order_sequences(spark, sf_dir).withColumnRenamed("letters", "ids")
+    return pairs.sequence_pairs(coded, F.size("bot") - F.size("top")).select("group_id", "top_id", "bot_id", "stat")
+
+
 @query(f"WITH {SEQ}, p AS (SELECT DISTINCT a.sequence_id AS id1, b.sequence_id AS id2 FROM seq a JOIN seq b ON a.group_id = b.group_id AND a.sequence_id < b.sequence_id) SELECT id1, id2, id1 || '|' || id2 AS label, CAST(row_number() OVER (ORDER BY id1, id2) - 1 AS INTEGER) AS stat FROM p")
 def pair_statistic_index(spark, sf_dir):
     return pairs.pair_statistic_index(order_sequences(spark, sf_dir))

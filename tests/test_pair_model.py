@@ -193,6 +193,49 @@ def test_pair_specific_training(sequences):
     assert any(f.startswith("taxon1|taxon2,") for f in steps[0].weights.toPandas().feature)
 
 
+def test_fit_in_tasks_is_the_fit_of_the_driver(spark, sequences):
+    alphabet = model.build_alphabet(sequences)
+    index = pairs.pair_statistic_index(sequences)
+    paired = pairs.with_statistics(pairs.sequence_pairs(model.with_letter_ids(sequences, alphabet)), index)
+    features = model.transition_features(alphabet, statistics=index)
+    first = model.transition_logprobs(features, training.zero_weights(spark))
+    counts = pairs.expected_counts(paired, model.model_weights(first, 3), 3, 3)
+    centers = spark.createDataFrame([("selfsub", 0.5), ("no such feature", 1.0)], "feature string, weight double")
+    factors = spark.createDataFrame([("state(0)", 7.0), ("statePair(0,0)", 50.0)], "feature string, factor double")
+    one, two = (fit(features, counts, None, centers, 2.0, factors).toPandas().set_index("feature").weight.sort_index() for fit in (model.m_step, model.m_step_in_tasks))
+    assert list(one.index) == list(two.index) and np.allclose(one, two, atol=1e-5)
+    free = model.m_step(features, counts, None, centers, 2.0).toPandas().set_index("feature").weight
+    assert abs(two["statePair(0,0)"]) < abs(free["statePair(0,0)"]) / 5  # held at its center by its factor
+    names, function = model.objective(features.toPandas(), counts.toPandas(), {}, 1e9)
+    slope = model.fit_gradient(features, counts).toPandas().set_index("feature").gradient
+    assert np.allclose(function(np.zeros(len(names)))[1], slope[names], atol=1e-9)
+
+
+def test_models_meet_their_pairs(spark, sequences, zero, monkeypatch):
+    """Many statistics: the same posteriors and counts as with models sent to every task."""
+    alphabet = zero[0]
+    coded = model.with_letter_ids(sequences, alphabet)
+    many = coded.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({"group_id": F.concat_ws("/", "group_id", "_copy"), "sequence_id": F.concat_ws("/", "sequence_id", F.col("_copy") % 3)})
+    paired = pairs.sequence_pairs(many.drop("_copy"))
+    index = pairs.pair_statistic_index(many)
+    paired = pairs.with_statistics(paired, index)
+    features = model.transition_features(alphabet, statistics=index)
+    weights = features.select("feature").distinct().withColumn("weight", F.xxhash64("feature") % 100 / F.lit(70.0))
+    logprobs = model.transition_logprobs(features, weights)
+    sent, met = model.model_weights(logprobs, 3), model.model_tables(logprobs, 3)
+    assert len(sent) == 6
+    key = ["aln_id", "seq1", "pos1", "seq2", "pos2"]
+    want = pairs.pair_posteriors(paired, sent, 3).toPandas().sort_values(key)
+    got = pairs.pair_posteriors(paired, met, 3).toPandas().sort_values(key)
+    assert want[key].values.tolist() == got[key].values.tolist() and np.allclose(want.score, got.score, atol=1e-12)
+    dealt = pairs.with_models(paired, met, per_task=1)
+    assert dealt.where("cells is not null").count() > 6  # a model for each part of a statistic
+    (one, log_one), (two, log_two) = (pairs.counts_and_likelihood(paired, w, 3, 3) for w in (sent, met))
+    cells = ["state1", "stat", "state2", "top_sym", "bot_sym"]
+    one, two = (d.toPandas().set_index(cells).expected.sort_index() for d in (one, two))
+    assert list(one.index) == list(two.index) and np.allclose(one, two) and abs(log_one - log_two) < 1e-9
+
+
 def test_table_weights(spark):
     rows = spark.createDataFrame([("sub", 0, 0, 0, 0, 0.5), ("del", 0, 0, 0, None, 0.2), ("ins", 0, 0, None, 0, 0.1)], "move string, state1 int, state2 int, a int, b int, weight double")
     w = pairs.table_weights(rows, 1, 1)
