@@ -19,8 +19,10 @@ elements find. The first `deleting` segments of a band have such keys.
    against one node, each against the `BEST` centers that it meets most often, and good
    links join components.
 4. All pairs of different components that meet under a key that remains are listed, if
-   their sizes allow it. Among the sets of keys with more than `CROWD` nodes, shingles that
-   one set alone holds are counted before, as no pair can share them: this bound is exact.
+   their sizes and parities allow it: each element of a set turns over one of `PARITY` bits,
+   so that two sets differ in no fewer elements than bits. Among the sets of keys with more
+   than `CROWD` nodes, shingles that one set alone holds are counted before, as no pair can
+   share them. Both bounds are exact.
 5. All listed pairs are checked on their sets, and the components of good links are the
    classes.
 
@@ -57,6 +59,8 @@ DELETING = 32
 ROUNDS, BEST = 2, 2
 #: Nodes of a key from which shingles of one set alone are counted.
 CROWD = 16
+#: Bits of a set's parity, a multiple of 64.
+PARITY = 1024
 #: Sets that a task remembers, to list the keys of copies once.
 REMEMBERED = 1 << 20
 _U = np.uint64
@@ -292,6 +296,21 @@ def unshared(sets: DataFrame) -> DataFrame:
     return held.where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(node, p0, p1, ...): the parity of the elements that fall on each of PARITY bits."""
+    names = [f"p{i}" for i in range(PARITY // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((len(batch), PARITY), np.uint8)
+            for row, v in zip(bits, batch.column(1), strict=True):
+                row[:] = np.bincount((mixed(np.frombuffer(v.as_buffer(), np.uint64)) % _U(PARITY)).astype(np.int64), minlength=PARITY) & 1
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], names=["node", *names])
+
+    return sets.mapInArrow(run, ", ".join(["node long", *(f"{n} long" for n in names)]))
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows, the nodes (a row a set: high, low, node, size, first, doc_key), and
     (node, label) for all nodes that are linked to another."""
@@ -322,13 +341,20 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         labels = components(links, "op11-trees")
 
     crowded = open_rows.where(F.col("n") > CROWD).select("node").distinct()
-    alone = saved(unshared(sets.join(crowded, "node", "left_semi")), "op11-alone")
-    known = open_rows.join(alone, "node", "left").withColumn("alone", F.when(F.col("n") > CROWD, F.coalesce("alone", F.lit(0))).otherwise(0))
-    side = lambda v, *more: known.select("key", F.col("node").alias(v), *more, *(F.col(c).alias(f"{c}_{v}") for c in ("label", "size", "alone")))
+    alone = unshared(sets.join(crowded, "node", "left_semi"))
+    bits = parities(sets.join(open_rows.select("node").distinct(), "node", "left_semi"))
+    facts = saved(bits.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "op11-facts")
+    own = [c for c in facts.columns if c.startswith("p")]
+    known = open_rows.join(facts, "node").withColumn("alone", F.when(F.col("n") > CROWD, F.col("alone")).otherwise(0))
+    # What a set can share at most, with the smallest set that may be similar.
+    known = known.where((100 + percent) * (F.col("size") - F.col("alone")) >= percent * (F.col("size") + F.ceil(F.col("size") * percent / 100)))
+    side = lambda v, *more: known.select("key", F.col("node").alias(v), *more, *(F.col(c).alias(f"{c}_{v}") for c in ("label", "size", "alone", *own)))
     both = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
     enough = (100 + percent) * both >= percent * (F.col("size_a") + F.col("size_b"))
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in own), F.lit(0))
+    close = (100 + percent) * differing <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
     smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
-    met = side("a", "asks").where("asks").join(side("b"), "key").where("label_a <> label_b").where(smaller).where(enough)
+    met = side("a", "asks").where("asks").join(side("b"), "key").where("label_a <> label_b").where(smaller).where(enough).where(close)
     pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "op11-pairs")
     good = saved(checked(pairs, sets, percent), "op11-links")
