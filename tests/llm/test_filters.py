@@ -242,6 +242,51 @@ def test_placeholders_hide_no_secret_beside_them(spark):
     assert got[4] == got[5] == ""
 
 
+def test_very_long_words_and_many_matches(spark):
+    """Slugs, paths and separators of 100,000 characters, and 50,000 matches in a text."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    secret = "q7Rk2Zx9Lm4Tn8Wv3Yb6Hd1Pc5"
+    many = "".join(f"password: s3cr3t{i}passé " for i in range(50_000))
+    hot = " ".join("".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(24)) for _ in range(3000))
+    rows = [
+        (1, "ab-" * 35_000 + "x1"), (2, "12/" * 35_000 + "abc"), (3, "path/" * 20_000 + "end-of-it"), (4, "-" * 100_000 + "a1"), (5, "a-_/=+" * 20_000 + "7"),
+        (6, "ab-" * 33_000 + secret), (7, "x" * 100_000 + "1"), (8, "0123456789abcdef" * 7_000), (9, "/example/" * 12_000 + secret), (10, many), (11, hot), (12, f"token={'ab-' * 33_000}x1"),
+    ]
+    df = docs(spark, rows)
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    texts_of = dict(rows)
+    for i, t in rows:
+        named = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t))
+        assert got[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest(), i
+    assert got[10].n_assign == 50_000 and got[11].spans.count("entropy") > 2500
+    assert [got[i].spans for i in (1, 2, 3, 5, 7)] == [""] * 5
+    assert secret in texts_of[6][int(got[6].spans.split(":")[1]) :] and got[9].spans.endswith(str(len(texts_of[9])))
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, t in rows:
+        out, at = [], 0
+        for span in filter(None, got[i].spans.split(",")):
+            _, a, b = span.split(":")
+            if int(a) >= at:
+                out += [t[at : int(a)], "[SECRET]"]
+            at = max(at, int(b))
+        assert clean[i] == "".join(out) + t[at:], i
+    assert secrets.redact(df).where("doc_id = 1").select(F.col("text") == rows[0][1]).first()[0]
+
+
+def test_hot_ranges_and_base_spans_in_blocks(spark):
+    """More spans than a block holds, some covering others: as by brute force."""
+    rng = random.Random(6)
+    parts = ["token=" + "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(30)) if i % 3 else "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(26)) for i in range(900)]
+    got = secrets.scan(docs(spark, [(1, " ".join(parts))])).first()
+    spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in got.spans.split(","))]
+    assert spans == sorted(spans, key=lambda s: (s[0], secrets.KINDS.index(s[2]))) and got.n_assign == 600
+    base = [s for s in spans if s[2] != "entropy"]
+    assert not [e for e in spans if e[2] == "entropy" and any(b[0] <= e[0] and b[1] >= e[1] for b in base)]
+    assert len(spans) > 850
+
+
 def test_window_entropy_against_brute_force(spark):
     """First and last characters of hot windows, by counting each window anew."""
     from pyspark.sql import functions as F
