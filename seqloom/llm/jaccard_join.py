@@ -15,9 +15,9 @@ elements find. The first `deleting` segments of a band have such keys.
 2. Each set then gives its segments what costs the least: it leaves out the keys that
    most sets hold, as many as the sum allows. It looks for smaller sets under the keys
    that remain, while every set can be found under all of its keys.
-3. Rounds of centers join what is alike without listing pairs: a key's nodes are held
-   against one node, each against the `BEST` centers that it meets most often, and good
-   links join components.
+3. Rounds of centers join what is alike without listing pairs: each key draws one of its
+   nodes, the others are held against it, each against the `BEST` centers nearest to it by
+   the parity below, and good links join components.
 4. All pairs of different components that meet under a key that remains are listed, if
    their sizes and parities allow it: each element of a set turns over one of `PARITY` bits,
    so that two sets differ in no fewer elements than bits. Among the sets of keys with more
@@ -56,7 +56,7 @@ PERCENT = 90
 #: One segment of so many has keys of one deletion; one at least.
 DELETING = 32
 #: Rounds of centers, and centers that a node is checked against in one round.
-ROUNDS, BEST = 2, 2
+ROUNDS, BEST = 2, 3
 #: Nodes of a key from which shingles of one set alone are counted.
 CROWD = 16
 #: Bits of a set's parity, a multiple of 64.
@@ -320,6 +320,12 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     within = saved(buckets.groupBy("node").agg(F.count("*").alias("degree")), "op11-within")
     sets = sets_of(docs, nodes, within)
 
+    facts = saved(parities(sets), "op11-parities")
+    own = [c for c in facts.columns if c.startswith("p")]
+    of = lambda v: facts.select(F.col("node").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in own))
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in own), F.lit(0))
+    close = (100 + percent) * differing <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+
     links, labels, tried = None, None, None
     for n_round in range(ROUNDS + 1):
         labelled = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -327,13 +333,15 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         open_rows = saved(labelled.join(several, "key"), "op11-open")
         if n_round == ROUNDS:
             break
-        drawn = F.struct((-F.col("degree")).alias("d"), F.xxhash64("node", F.lit(n_round)).alias("h"), F.col("node").alias("center"), F.col("label").alias("center_label"), F.col("size").alias("center_size"))
+        # At first the node that shares most keys, as the text does that others were copied from; then any.
         ranked = open_rows.join(within, "node") if n_round == 0 else open_rows.withColumn("degree", F.lit(0))
-        centers = ranked.groupBy("key").agg(F.min(drawn).alias("c")).select("key", "c.center", "c.center_label", "c.center_size")
-        like = 100 * F.least("size", "center_size") >= percent * F.greatest("size", "center_size")
-        met = open_rows.join(centers, "key").where("label <> center_label").where(like).groupBy("node", "center").agg(F.count("*").alias("n"))
-        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "center"))
-        chosen = met.withColumn("_r", best).where(F.col("_r") <= BEST).select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
+        drawn = F.struct((-F.col("degree")).alias("d"), F.xxhash64("node", "key", F.lit(n_round)).alias("h"), F.col("node").alias("b"), F.col("label").alias("center_label"), F.col("size").alias("size_b"))
+        centers = ranked.groupBy("key").agg(F.min(drawn).alias("c")).select("key", "c.b", "c.center_label", "c.size_b")
+        like = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+        met = open_rows.join(centers, "key").where("label <> center_label").where(like).select(F.col("node").alias("a"), "b", F.col("size").alias("size_a"), "size_b").distinct()
+        near = met.join(of("a"), "a").join(of("b"), "b").where(close).select("a", "b", differing.alias("d"))
+        best = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+        chosen = near.withColumn("_r", best).where(F.col("_r") <= BEST).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         chosen = saved(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"), "op11-tried")
         tried = chosen if tried is None else tried.union(chosen)
         good = saved(checked(chosen, sets, percent), "op11-links")
@@ -342,17 +350,14 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
 
     crowded = open_rows.where(F.col("n") > CROWD).select("node").distinct()
     alone = unshared(sets.join(crowded, "node", "left_semi"))
-    bits = parities(sets.join(open_rows.select("node").distinct(), "node", "left_semi"))
-    facts = saved(bits.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "op11-facts")
-    own = [c for c in facts.columns if c.startswith("p")]
-    known = open_rows.join(facts, "node").withColumn("alone", F.when(F.col("n") > CROWD, F.col("alone")).otherwise(0))
+    still = facts.join(open_rows.select("node").distinct(), "node", "left_semi")
+    still = saved(still.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "op11-facts")
+    known = open_rows.join(still, "node").withColumn("alone", F.when(F.col("n") > CROWD, F.col("alone")).otherwise(0))
     # What a set can share at most, with the smallest set that may be similar.
     known = known.where((100 + percent) * (F.col("size") - F.col("alone")) >= percent * (F.col("size") + F.ceil(F.col("size") * percent / 100)))
     side = lambda v, *more: known.select("key", F.col("node").alias(v), *more, *(F.col(c).alias(f"{c}_{v}") for c in ("label", "size", "alone", *own)))
     both = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
     enough = (100 + percent) * both >= percent * (F.col("size_a") + F.col("size_b"))
-    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in own), F.lit(0))
-    close = (100 + percent) * differing <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
     smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
     met = side("a", "asks").where("asks").join(side("b"), "key").where("label_a <> label_b").where(smaller).where(enough).where(close)
     pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
