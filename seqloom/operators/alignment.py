@@ -79,9 +79,9 @@ def column_arcs(columns: DataFrame) -> DataFrame:
 
 def initial_linearization(sequences: DataFrame) -> DataFrame:
     """Singletons by their relative place pos / (1 + length), with their rank."""
-    rows = sequences.select(F.col("group_id").alias("aln_id"), "sequence_id", F.size("letters").alias("_n"), F.posexplode("letters").alias("pos", "letter"))
-    by = Window.partitionBy("aln_id").orderBy(F.col("pos") / (1 + F.col("_n")), "sequence_id", "pos")
-    return rows.select("aln_id", "sequence_id", "pos", (F.row_number().over(by) - 1).alias("place"))
+    rows = sequences.select(F.col("group_id").alias("aln_id"), "sequence_id", F.posexplode("letters").alias("pos", "letter"), (1 + F.size("letters")).alias("_n"))
+    placed = rows.select("aln_id", (F.col("pos") / F.col("_n")).alias("_at"), "sequence_id", "pos")
+    return numbered_within(placed, "place", "aln_id", "_at", "sequence_id", "pos").select("aln_id", "sequence_id", "pos", F.col("place").cast("int").alias("place"))
 
 
 def gapped_to_positions(gapped: DataFrame, gap: str = "-") -> DataFrame:
@@ -101,8 +101,8 @@ def crossing_edges(edges: DataFrame) -> DataFrame:
 
 def rank_edges(edges: DataFrame) -> DataFrame:
     """Best first: score, then seq1, pos1, seq2, pos2."""
-    by = Window.partitionBy("aln_id").orderBy(F.desc("score"), "seq1", "pos1", "seq2", "pos2")
-    return edges.withColumn("rank", F.row_number().over(by))
+    ranked = numbered_within(edges, "rank", "aln_id", F.desc("score"), "seq1", "pos1", "seq2", "pos2")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def filter_edges_by_score(edges: DataFrame, threshold: float) -> DataFrame:

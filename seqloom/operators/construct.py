@@ -276,9 +276,10 @@ def merges(sequences: DataFrame, edges: DataFrame, reference: DataFrame) -> Data
 def roc_sample_points(accepted: DataFrame, n_points: int) -> DataFrame:
     """Of (aln_id, k, ...) every interval-th row and the last; interval is the number of
     rows over n_points, at least 1."""
-    total = F.max("k").over(Window.partitionBy("aln_id"))
+    last = accepted.groupBy("aln_id").agg(F.max("k").alias("_total"))
     interval = F.greatest(F.floor(F.col("_total") / n_points), F.lit(1))
-    return accepted.withColumn("_total", total).where((F.col("k") == F.col("_total")) | (F.col("k") % interval == 0)).drop("_total")
+    known = accepted.join(last, "aln_id").where((F.col("k") == F.col("_total")) | (F.col("k") % interval == 0))
+    return known.select(*accepted.columns)
 
 
 def roc_curve(sequences: DataFrame, edges: DataFrame, reference: DataFrame, n_points: int = 10) -> DataFrame:

@@ -50,11 +50,12 @@ def with_letter_ids(sequences: DataFrame, alphabet: DataFrame) -> DataFrame:
     """sequences with `ids` in place of letters; an unknown letter is an error."""
     rows = alphabet.limit(MAX_LITERALS + 1).collect()
     if len(rows) > MAX_LITERALS:
-        key = [c for c in sequences.columns if c != "letters"]
-        each = sequences.select("group_id", "sequence_id", F.posexplode("letters").alias("_i", "letter")).join(alphabet, "letter", "left")
+        # Each row has a name of its own, so that repeated sequences stay apart.
+        rows = saved(sequences.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        each = rows.select("_row", F.posexplode("letters").alias("_i", "letter")).join(alphabet, "letter", "left")
         known = each.withColumn("letter_id", F.coalesce("letter_id", F.raise_error(F.concat(F.lit("unknown letter "), "letter")).cast("int")))
-        ids = known.groupBy("group_id", "sequence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "letter_id"))), lambda x: x["letter_id"]).alias("ids"))
-        return sequences.join(ids, ["group_id", "sequence_id"], "left").select(*key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+        ids = known.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "letter_id"))), lambda x: x["letter_id"]).alias("ids"))
+        return rows.drop("letters").join(ids, "_row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop("_row")
     known = F.create_map(*[v for r in rows for v in (F.lit(r.letter), F.lit(r.letter_id))])
     found = F.transform("letters", lambda x: F.coalesce(F.try_element_at(known, x), F.raise_error(F.concat(F.lit("unknown letter "), x)).cast("int")))
     return sequences.withColumn("ids", found).drop("letters")
@@ -91,7 +92,7 @@ def letter_feature_lookup(table: DataFrame, alphabet: DataFrame, letter_features
     and letters without any."""
     known = letter_features.join(alphabet, "letter").select("letter_id", "features")
     side = lambda name: known.select(F.col("letter_id").alias(f"{name}_sym"), F.col("features").alias(f"{name}_features"))
-    return table.join(F.broadcast(side("top")), "top_sym", "left").join(F.broadcast(side("bot")), "bot_sym", "left")
+    return table.join(side("top"), "top_sym", "left").join(side("bot"), "bot_sym", "left")
 
 
 #: Features of one's own: transitions (the key, top_name, bot_name) to (the key, feature, value).
@@ -109,8 +110,8 @@ def transition_features(
     spark = alphabet.sparkSession
     names = symbols(alphabet).select("id", "name")
     rows = transition_support(alphabet)
-    rows = rows.join(F.broadcast(names.select(F.col("id").alias("top_sym"), F.col("name").alias("top_name"))), "top_sym")
-    rows = rows.join(F.broadcast(names.select(F.col("id").alias("bot_sym"), F.col("name").alias("bot_name"))), "bot_sym")
+    rows = rows.join(names.select(F.col("id").alias("top_sym"), F.col("name").alias("top_name")), "top_sym")
+    rows = rows.join(names.select(F.col("id").alias("bot_sym"), F.col("name").alias("bot_name")), "bot_sym")
     if letter_features is not None:
         rows = letter_feature_lookup(rows, alphabet, letter_features)
     else:

@@ -81,15 +81,14 @@ def with_statistics(pairs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def reweight_pairs(pairs: DataFrame, odds: DataFrame) -> DataFrame:
-    """pairs with `bonus`: the log odds (group_id, top_id, bot_id, x, y, log_odds) of
-    aligned positions as one array by rows of top; 0 where there are none."""
+    """pairs with the log odds (group_id, top_id, bot_id, x, y, log_odds) of aligned positions
+    as two lists, `bonus_at` (cells by rows of top) and `bonus`; others have none, and odds
+    of one cell add up."""
     key = ["group_id", "top_id", "bot_id"]
     listed = odds.groupBy(*key).agg(F.collect_list(F.struct("x", "y", "log_odds")).alias("_odds"))
     joined = pairs.join(listed, key, "left")
-    at = F.map_from_entries(F.transform("_odds", lambda o: F.struct(o["x"] * F.size("bot") + o["y"], o["log_odds"])))
-    cells = F.size("top") * F.size("bot")
-    bonus = F.when(F.col("_odds").isNotNull() & (cells > 0), F.transform(F.sequence(F.lit(0), cells - 1), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0))))
-    return joined.withColumn("bonus", bonus).drop("_odds")
+    at = F.transform("_odds", lambda o: (o["x"] * F.size("bot") + o["y"]).cast("int"))
+    return joined.withColumns({"bonus_at": at, "bonus": F.transform("_odds", lambda o: o["log_odds"].cast("double"))}).drop("_odds")
 
 
 def in_batches(rows: pd.DataFrame, weights: dict[int, Weights] | Tables, boundary: int | None) -> Iterator[tuple[pd.DataFrame, Batch, Weights]]:
@@ -114,14 +113,11 @@ def in_batches(rows: pd.DataFrame, weights: dict[int, Weights] | Tables, boundar
         if "bonus" in rows.columns:
             bonus = []
             for i in chosen:
-                own = rows.bonus.iloc[i]
-                if own is None:
-                    bonus.append(None)
-                    continue
-                odds = np.zeros((len(tops[i]), len(bots[i])))
-                inner = np.asarray(own, float)
-                if len(inner):
-                    odds[: len(rows.top.iloc[i]), : len(rows.bot.iloc[i])] = inner.reshape(len(rows.top.iloc[i]), -1)
+                cells, own = rows.bonus_at.iloc[i], rows.bonus.iloc[i]
+                odds = None
+                if own is not None and len(own):
+                    odds = np.zeros((len(tops[i]), len(bots[i])))
+                    np.add.at(odds, np.divmod(np.asarray(cells, np.int64), len(bots[i]) - len(end)), np.asarray(own, float))
                 bonus.append(odds)
         yield rows.iloc[chosen], Batch.of([tops[i] for i in chosen], [bots[i] for i in chosen], bonus), weights[int(stat)]
         first = last

@@ -163,13 +163,23 @@ _PADDED = ", padded AS (SELECT group_id AS aln_id, sequence_id, rpad(array_to_st
 @query(f"WITH {SEQ}{_PADDED} SELECT aln_id, string_agg('>' || sequence_id || chr(10) || r, chr(10) ORDER BY sequence_id) AS value FROM padded GROUP BY aln_id")
 def write_fasta(spark, sf_dir):
     path = new_path(spark, "fasta")
-    files.fasta_text(gold(spark, sf_dir), order_sequences(spark, sf_dir)).write.parquet(path)
-    return spark.read.parquet(path)
+    files.write_fasta(gold(spark, sf_dir), order_sequences(spark, sf_dir), path)
+    return files.read_bundles(spark, path)
+
+
+@query(f"WITH {COLS} SELECT * FROM guess")
+def read_written_fasta(spark, sf_dir):
+    """Alignments written as files of many and read back."""
+    path = new_path(spark, "fasta")
+    files.write_fasta(guess(spark, sf_dir), order_sequences(spark, sf_dir), path)
+    return files.read_bundled_fasta(spark, path)[1]
 
 
 @query(f"WITH {SEQ}{_PADDED} SELECT aln_id, string_agg(r || '|' || sequence_id, chr(10) ORDER BY sequence_id) AS value FROM padded GROUP BY aln_id")
 def write_alignment_text(spark, sf_dir):
-    return files.alignment_text(gold(spark, sf_dir), order_sequences(spark, sf_dir))
+    path = new_path(spark, "text")
+    files.write_alignment_text(gold(spark, sf_dir), order_sequences(spark, sf_dir), path)
+    return files.read_bundles(spark, path)
 
 
 def flag_features(spark, sf_dir) -> DataFrame:
@@ -247,14 +257,16 @@ def parse_edge_literal(spark, sf_dir):
     return e.select("aln_id", L.parse_edge_literal(text).alias("e")).select("aln_id", "e.*")
 
 
-@query("SELECT CAST(0 AS DOUBLE) AS threshold, CAST(user_id % 10 AS VARCHAR) AS aln_id, 2 * count(DISTINCT user_id) AS lines FROM events GROUP BY 2")
+@query(f"""WITH {SEQ}{_PADDED}, t AS (SELECT unnest(['0.0', '0.5']) AS threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, aln_id, string_agg('>' || sequence_id || chr(10) || r, chr(10) ORDER BY sequence_id) AS fasta, string_agg(r || '|' || sequence_id, chr(10) ORDER BY sequence_id) AS rows FROM padded, t GROUP BY threshold, aln_id""")
 def write_iteration_outputs(spark, sf_dir):
-    """Rows written for the events of each user group, by folder."""
-    sequences = event_sequences(spark, sf_dir)
-    columns = justified(sequences).withColumn("threshold", F.lit(0.0))
+    """Both texts of every alignment at two thresholds, read back."""
+    columns = gold(spark, sf_dir).withColumn("threshold", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
     path = new_path(spark, "iteration")
-    files.write_iteration_outputs(columns, sequences, brand_weights(spark, sf_dir), path, 0)
-    return spark.read.text(f"{path}/iteration=0/fasta").groupBy("threshold", F.col("aln_id").cast("string").alias("aln_id")).agg(F.count("*").alias("lines"))
+    files.write_iteration_outputs(columns, order_sequences(spark, sf_dir), brand_weights(spark, sf_dir), path, 0)
+    fasta, text = (files.read_bundles(spark, f"{path}/iteration=0/{kind}") for kind in ("fasta", "text"))
+    both = fasta.withColumnRenamed("value", "fasta").join(text.withColumnRenamed("value", "rows"), ["threshold", "aln_id"])
+    return both.select(F.col("threshold").cast("double").alias("threshold"), "aln_id", "fasta", "rows")
 
 
 # --- projections, filters, functions ----------------------------------------

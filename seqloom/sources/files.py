@@ -18,10 +18,12 @@ def _need(good, message) -> F.Column:
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """(group_id, sequence_id, ord, letters) of a CSV without header: group, id, letters
     parted by white space. A row without exactly three fields is an error. Of repeated
-    (group, id) the last row counts, at the first one's place."""
+    (group, id) the last row counts, at the first one's place; files follow one another by
+    their paths, whatever their sizes."""
     schema = "group_id string, sequence_id string, text string, _corrupt string"
     rows = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    rows = rows.withColumn("line_no", F.monotonically_increasing_id())
+    # A task reads its splits one after another, and the rows of a split in order.
+    rows = rows.withColumn("line_no", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     rows = rows.where(_need(F.col("_corrupt").isNull() & F.col("sequence_id").isNotNull(), F.concat(F.lit("not three fields: "), F.coalesce("_corrupt", "group_id"))))
     letters = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
     return dedupe_sequences(rows.select("group_id", "sequence_id", "line_no", letters.alias("letters")))
@@ -89,23 +91,48 @@ def alignment_text(columns: DataFrame, sequences: DataFrame) -> DataFrame:
     return rows.select("aln_id", F.array_join(F.transform("rows", lambda r: F.concat_ws("|", r["row"], r["sequence_id"])), "\n").alias("value"))
 
 
+#: What stands before each alignment of a file of many; a comment to readers of FASTA.
+ALIGNMENT = "; alignment "
+
+
+def write_bundles(texts: DataFrame, path: str, *by: str) -> None:
+    """(aln_id, value) as text files, each of many alignments: as many files as there are
+    tasks, in a folder for each value of `by`. An id is one line."""
+    one_line = F.when(~F.col("aln_id").contains("\n"), F.col("aln_id")).otherwise(F.raise_error(F.lit("an alignment's id has a line break")).cast("string"))
+    rows = texts.select(*by, F.concat(F.lit(ALIGNMENT), one_line, F.lit("\n"), "value").alias("value"))
+    (rows.write.partitionBy(*by) if by else rows.write).text(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(aln_id, value) of such files, and the columns of their folders. A file is read in
+    splits, one record an alignment."""
+    rows = spark.read.option("lineSep", "\n" + ALIGNMENT).text(path).withColumn("value", F.regexp_replace(F.regexp_replace("value", "^" + ALIGNMENT, ""), r"\n\z", ""))
+    return rows.select(*(c for c in rows.columns if c != "value"), F.substring_index("value", "\n", 1).alias("aln_id"), F.expr("substring(value, locate('\n', value) + 1)").alias("value"))
+
+
+def read_bundled_fasta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(sequences, columns) of files of many aligned FASTA texts."""
+    lines = read_bundles(spark, path).select("aln_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return alignment_of(fasta_rows(lines))
+
+
 def write_fasta(columns: DataFrame, sequences: DataFrame, path: str) -> None:
-    """A folder for each alignment below path."""
-    fasta_text(columns, sequences).write.partitionBy("aln_id").text(path)
+    write_bundles(fasta_text(columns, sequences), path)
 
 
 def write_alignment_text(columns: DataFrame, sequences: DataFrame, path: str) -> None:
-    alignment_text(columns, sequences).write.partitionBy("aln_id").text(path)
+    write_bundles(alignment_text(columns, sequences), path)
 
 
 def write_iteration_outputs(grid: DataFrame, sequences: DataFrame, weights: DataFrame, path: str, iteration: int) -> None:
-    """FASTA and text of columns with `threshold`, and the weights, of one iteration."""
+    """FASTA and text of columns with `threshold`, a folder for each threshold, and the
+    weights, of one iteration."""
     keyed = grid.withColumn("aln_id", F.concat_ws("@", "aln_id", F.col("threshold").cast("string"))).drop("threshold")
     thresholds = grid.select("aln_id", "threshold").distinct()
     own = sequences.join(thresholds.withColumnRenamed("aln_id", "group_id"), "group_id").withColumn("group_id", F.concat_ws("@", "group_id", F.col("threshold").cast("string"))).drop("threshold")
     parted = lambda df: df.select(F.element_at(F.split("aln_id", "@"), -1).alias("threshold"), F.regexp_replace("aln_id", "@[^@]*$", "").alias("aln_id"), "value")
-    parted(fasta_text(keyed, own)).write.partitionBy("threshold", "aln_id").text(f"{path}/iteration={iteration}/fasta")
-    parted(alignment_text(keyed, own)).write.partitionBy("threshold", "aln_id").text(f"{path}/iteration={iteration}/text")
+    write_bundles(parted(fasta_text(keyed, own)), f"{path}/iteration={iteration}/fasta", "threshold")
+    write_bundles(parted(alignment_text(keyed, own)), f"{path}/iteration={iteration}/text", "threshold")
     write_weights(weights, f"{path}/iteration={iteration}/weights")
 
 
@@ -144,7 +171,7 @@ def convert_cognate_table(table: DataFrame, letters: DataFrame, language: str =
     cleaned = F.replace(F.replace(F.regexp_replace(F.regexp_replace("cell", r"\]\s+.*", "]"), r"[()]", ""), F.lit("-["), F.lit("[")), F.lit("]-"), F.lit("]"))
     tokens = F.transform(F.filter(F.split(cleaned, r"\]"), lambda t: F.trim(t) != ""), lambda t: F.concat(F.trim(t), F.lit("]")))
     each = cells.select("group_id", "sequence_id", F.posexplode(tokens).alias("i", "features"))
-    found = each.join(F.broadcast(letters), "features", "left")
+    found = each.join(letters, "features", "left")
     found = found.where(_need(F.col("letter").isNotNull(), F.concat(F.lit("no letter for "), F.col("features"))))
     words = found.groupBy("group_id", "sequence_id").agg(F.array_sort(F.collect_list(F.struct("i", "letter"))).alias("l"), F.count_if(F.col("i") == 0).alias("_n"))
     words = words.where(_need(F.col("_n") == 1, F.concat(F.lit("repeated "), F.col("group_id"), F.lit(", "), F.col("sequence_id"))))

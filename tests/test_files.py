@@ -29,6 +29,41 @@ def test_read_sequences(spark, tmp_path):
     assert again.letters == ["x"]
 
 
+def test_last_row_wins_over_files_of_unlike_size(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    filler = "".join(f"g{i},s,x\n" for i in range(20_000))
+    for name, text in (("a.csv", "g,one,a\ng,two,a\n"), ("b.csv", filler + "g,two,b\ng,three,b\n" + filler), ("c.csv", "g,one,c\n"), ("d.csv", "g,zero,d\ng,two,d1 d2\n")):
+        (folder / name).write_text(text)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64k", "128m"):  # splits of one file, and many files in a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.read_sequences(spark, f"file://{folder}").where("group_id = 'g'").orderBy("ord").collect()
+            assert [(r.ord, r.sequence_id, r.letters) for r in got] == [(0, "one", ["c"]), (1, "two", ["d1", "d2"]), (2, "three", ["b"]), (3, "zero", ["d"])]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_many_alignments_a_file(spark, tmp_path):
+    rows = [(f"g {i}/{c}", s, i) for i in range(150) for c in "ab" for s in ("x", "y")]
+    columns = spark.createDataFrame([(a, f"x:{p}", s, p) for a, s, _ in rows for p in range(3)], "aln_id string, column_id string, sequence_id string, pos int")
+    sequences = spark.createDataFrame([(a, s, ["A", "C", "GT"[i % 2]]) for a, s, i in rows], "group_id string, sequence_id string, letters array<string>")
+    path = f"file://{tmp_path}/fasta"
+    files.write_fasta(columns.repartition(3), sequences, path)
+    assert len(list((tmp_path / "fasta").glob("part-*"))) < 30
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # records over the bounds of splits
+        again, read = files.read_bundled_fasta(spark, path)
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, columns.collect()))
+        assert sorted((r.group_id, r.sequence_id, r.letters) for r in again.collect()) == sorted(map(tuple, sequences.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    with pytest.raises(Exception, match="line break"):
+        files.write_bundles(spark.createDataFrame([("a\nb", "x")], "aln_id string, value string"), f"file://{tmp_path}/bad")
+
+
 @pytest.mark.parametrize("line", ["a,b", "a,b,c,d"])
 def test_bad_sequence_rows(spark, tmp_path, line):
     with pytest.raises(Exception, match="three fields"):

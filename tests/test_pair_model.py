@@ -152,6 +152,40 @@ def test_bonus_changes_only_aligned_moves():
     assert math.isclose(kernels.log_likelihoods(batch, w)[0], np.logaddexp.reduce(log), rel_tol=1e-9)
 
 
+def test_traces_of_blocks_are_those_of_the_whole(monkeypatch):
+    """With few diagonals kept, and all pairs of a batch at once: the same paths."""
+    rng = np.random.default_rng(5)
+    w = Weights(*(rng.normal(size=shape) for shape in ((3, 3, 4, 4), (3, 3, 4), (3, 3, 4))))
+    tops, bots = ([rng.integers(0, 4, n).tolist() for n in rng.integers(0, 30, 25)] for _ in range(2))
+    seeds = list(range(25))
+    whole = kernels.viterbi(Batch.of(tops, bots), w), kernels.least_risk(Batch.of(tops, bots), w), kernels.samples(Batch.of(tops, bots), w, seeds, 3)
+    monkeypatch.setattr(kernels, "MAX_CELLS", 10)
+    parts = kernels.viterbi(Batch.of(tops, bots), w), kernels.least_risk(Batch.of(tops, bots), w), kernels.samples(Batch.of(tops, bots), w, seeds, 3)
+    for i in range(25):
+        one = Batch.of([tops[i]], [bots[i]])
+        single = kernels.viterbi(one, w)[0], kernels.least_risk(one, w)[0], kernels.samples(one, w, [i], 3)[0]
+        for other in (tuple(p[i] for p in parts), single):
+            assert other[0][0].tolist() == whole[0][i][0].tolist() and other[0][1].tolist() == whole[0][i][1].tolist()
+            assert other[1].tolist() == whole[1][i].tolist()
+            assert [d.tolist() for d in other[2]] == [d.tolist() for d in whole[2][i]]
+
+
+def test_long_pair(monkeypatch):
+    """A pair whose tables would not fit: its path is as good as its likelihood says."""
+    monkeypatch.setattr(kernels, "MAX_CELLS", 100_000)
+    rng = np.random.default_rng(6)
+    top = rng.integers(0, 4, 600)
+    bot = np.delete(top, rng.choice(600, 60, replace=False))
+    w = Weights(np.log(np.full((1, 1, 4, 4), 0.01) + np.eye(4) * 0.2), np.log(np.full((1, 1, 4), 0.01)), np.log(np.full((1, 1, 4), 0.01)))
+    batch = Batch.of([top.tolist()], [bot.tolist()])
+    ((ancestors, _),) = kernels.viterbi(batch, w)
+    linked = ancestors >= 0
+    assert linked.all() and (np.diff(ancestors[linked]) > 0).all() and (top[ancestors] == bot).all()
+    weight = linked.sum() * math.log(0.21) + 60 * math.log(0.01)
+    assert weight <= kernels.log_likelihoods(batch, w)[0]
+    assert (kernels.least_risk(batch, w)[0] >= 0).mean() > 0.9
+
+
 def test_features(spark, sequences, zero):
     alphabet = zero[0]
     listed = spark.createDataFrame([("firstLetter", ["f1v1", "f2v1", "f3v1"]), ("secondLetter", ["f1v1", "f2v2", "f3v1"]), ("thirdLetter", ["f4v1", "f5v1"])], "letter string, features array<string>")
