@@ -58,6 +58,8 @@ OVERLAP = 0.6
 POSTINGS, GROUP, COMMON_SHARE = 32, 1, 0.3
 #: Items and segments in one broadcast block.
 BLOCK_ITEMS = 5_000
+#: Bounds (strides times units) that are held at once.
+MOST_CELLS = 1 << 21
 TRIPLE = 3
 
 _WORD = re.compile(r"\w+")
@@ -146,18 +148,27 @@ class Index:
         self.row_start = np.cumsum(self.row_size) - self.row_size
 
     def promising(self, terms: np.ndarray, known: np.ndarray, threshold: float) -> np.ndarray:
-        """Numbers of the passages that some group's bound lets reach the threshold."""
+        """Numbers of the passages that some group's bound lets reach the threshold. Strides
+        are taken some at a time, so that a long text needs no more room than a short one."""
         at = np.flatnonzero(known)
         # Each word once a stride.
         part, word = np.divmod(np.unique(at // STRIDE * len(self.items) + terms[at]), max(1, len(self.items)))
-        sizes = self.row_size[word]
-        entry = np.repeat(self.row_start[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        steps = -(-len(terms) // STRIDE)
-        sums = np.bincount(np.repeat(part, sizes) * self.n_groups + self.group_of[entry], self.top_of[entry], steps * self.n_groups).reshape(steps, self.n_groups)
-        whole = sums.copy()
-        for i in range(1, PASSAGE_WORDS // STRIDE):
-            whole[:-i] += sums[i:]
-        return np.flatnonzero((whole + self.granted >= threshold - 1e-9).any(1))
+        steps, wide = -(-len(terms) // STRIDE), PASSAGE_WORDS // STRIDE
+        once = max(1, MOST_CELLS // max(1, self.n_groups))
+        found = []
+        for first in range(0, steps, once):
+            last = min(first + once + wide - 1, steps)  # passages begin before first + once, and reach beyond
+            lo, hi = np.searchsorted(part, (first, last))
+            sizes = self.row_size[word[lo:hi]]
+            entry = np.repeat(self.row_start[word[lo:hi]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            cell = np.repeat(part[lo:hi] - first, sizes) * self.n_groups + self.group_of[entry]
+            sums = np.bincount(cell, self.top_of[entry], (last - first) * self.n_groups).reshape(last - first, self.n_groups)
+            whole = sums.copy()
+            for i in range(1, wide):
+                whole[:-i] += sums[i:]
+            hits = np.flatnonzero((whole + self.granted >= threshold - 1e-9).any(1)) + first
+            found.append(hits[hits < first + once])
+        return np.concatenate(found) if found else np.empty(0, np.int64)
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(unit, score) of every unit with a score of at least `threshold`: block-max WAND."""

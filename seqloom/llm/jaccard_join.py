@@ -60,7 +60,7 @@ ROUNDS, BEST = 2, 3
 #: Nodes of a key from which shingles of one set alone are counted.
 CROWD = 16
 #: Bits of a set's parity, a multiple of 64.
-PARITY = 1024
+PARITY = 512
 #: Sets that a task remembers, to list the keys of copies once.
 REMEMBERED = 1 << 20
 _U = np.uint64

@@ -114,6 +114,26 @@ def test_leaks_against_all_passages_and_items(spark, block_items):
     assert found == want and len(want) > 5
 
 
+def test_long_texts_need_no_more_room(monkeypatch):
+    """Strides taken a few at a time give the same passages; a long text stays within a bound."""
+    import tracemalloc
+
+    rng = random.Random(12)
+    said = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
+    items = [(i, said(rng.randint(20, 60))) for i in range(1500)]
+    words = [w for _, t in items for w in set(decontamination.words_of(t))]
+    index = decontamination.Index(items, Counter(words), len(items), 40.0)
+    text = " ".join([said(3000), items[7][1], said(90_000), items[1400][1], said(500)])
+    tracemalloc.start()
+    want = index.search(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {7, 1400} <= {w[0] for w in want} and peak < 200 << 20
+    for cells in (1, 5 * 1500, 1 << 40):
+        monkeypatch.setattr(decontamination, "MOST_CELLS", cells)
+        assert index.search(text[:40_000]) == [w for w in want if w[0] == 7]
+
+
 def test_segments_cover_long_items():
     for n in (0, 1, 64, 65, 96, 97, 600):
         parts = decontamination.segments(list(map(str, range(n))))
