@@ -877,15 +877,6 @@ def fit_gradient(spark, sf_dir):
     return found.withColumn("gradient", F.round("gradient", 2) + F.lit(0.0))
 
 
-@query()
-def train_pair_specific(spark, sf_dir):
-    """A model for each pair of user groups' places in their group, which meets its pairs in
-    a shuffle; one round."""
-    sequences = event_sequences(spark, sf_dir, groups=50).withColumn("sequence_id", F.col("ord").cast("string"))
-    steps = training.train(sequences, iterations=1, pair_specific=True)
-    return steps[-1].weights.withColumn("weight", F.round("weight", 3))
-
-
 @query()
 def m_step(spark, sf_dir):
     """Weights fitted to the expected counts of one round."""
