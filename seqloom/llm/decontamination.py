@@ -19,8 +19,9 @@ there. The question is the item without its last sentence, the answer its last
 sentence; an item of one sentence is halved.
 
 The index is built in blocks of about `BLOCK_ITEMS` items and segments, each in a task.
-Each block is sent to the executors in turn, and every passage is held against each, so
-that the benchmark may grow.
+Spark hands the files that hold them to every executor. The documents are read and cut
+into words once: a task holds each batch of them against one block after another, so that
+its memory is that of a block, however large the benchmark is.
 
 Defined cases: null text is the empty text and matches nothing; an item without words
 is never retrieved; equal items are retrieved each; null item_ids and doc_ids are kept;
@@ -35,12 +36,14 @@ import itertools
 import math
 import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +59,8 @@ SCORE = 0.5
 OVERLAP = 0.6
 #: Postings in a block of the index, items in a group, and the share of an item that its commonest words may have.
 POSTINGS, GROUP, COMMON_SHARE = 32, 1, 0.3
-#: Items and segments in one broadcast block.
-BLOCK_ITEMS = 5_000
+#: Items and segments in one block, and blocks from which on a worker reads them anew for each batch.
+BLOCK_ITEMS, HELD_BLOCKS = 5_000, 4
 #: Bounds (strides times units) that are held at once.
 MOST_CELLS = 1 << 21
 TRIPLE = 3
@@ -92,13 +95,13 @@ def segments(words: list[str]) -> list[list[str]]:
 
 class Index:
     """Postings of one block of items and of their segments, together its units. df and n
-    count the items of all blocks."""
+    count the items of all blocks, reach is the number of words of the longest of all."""
 
-    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n: int, mean_words: float):
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n: int, mean_words: float, reach: int = 0):
         self.ids = [i for i, _ in items]
         self.parts = [tuple(map(triples, question_and_answer(t))) for _, t in items]
         each = [words_of(t) for _, t in items]
-        self.reach = max(map(len, each), default=0)
+        self.reach = max(reach, *map(len, each), 0)
         cut = list(map(segments, each))
         # Items are the first units.
         self.item_of = [*range(len(each)), *(k for k, parts in enumerate(cut) for _ in parts)]
@@ -219,14 +222,16 @@ class Index:
     def search(self, text: str, score: float = SCORE, overlap: float = OVERLAP) -> list[tuple]:
         """(item_id, first word of the passage, score, question overlap, answer overlap)
         of each verified item: its best passage."""
-        words = words_of(text)
-        if not words:
-            return []
-        terms = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), np.int64, len(words))
+        return found_in([text], [self], score, overlap)[0]
+
+    def within(self, codes: np.ndarray, term_of: np.ndarray, word_of: list[str], score: float, overlap: float, one: bool) -> list[tuple]:
+        """As `search`, for the words of a text as codes, whose terms and words are given;
+        with `one`, the first verified item will do."""
+        terms = term_of[codes]
         known = terms >= 0
         best: dict[int, tuple] = {}
         for k in self.promising(terms, known, score):
-            first, last = int(k) * STRIDE, min(int(k) * STRIDE + PASSAGE_WORDS, len(words))
+            first, last = int(k) * STRIDE, min(int(k) * STRIDE + PASSAGE_WORDS, len(terms))
             distinct = np.unique(terms[first:last][known[first:last]])
             around = None
             hits: dict[int, float] = {}
@@ -234,14 +239,34 @@ class Index:
                 hits[self.item_of[unit]] = max(got, hits.get(self.item_of[unit], 0.0))
             for item, got in hits.items():
                 if around is None:
-                    near = words[max(0, first - self.reach) : last + self.reach]
+                    near = [word_of[c] for c in codes[max(0, first - self.reach) : last + self.reach].tolist()]
                     around = [{tuple(near[i : i + n]) for i in range(len(near) - n + 1)} for n in range(TRIPLE + 1)]
                 shares = [sum(t in around[len(t)] for t in part) / len(part) if part else 1.0 for part in self.parts[item]]
                 if min(shares) >= overlap and (item not in best or got > best[item][2] + 1e-12):
                     best[item] = (self.ids[item], first, got, *shares)
+                    if one:
+                        return [best[item]]
         return [best[i] for i in sorted(best)]
 
 
+def found_in(texts: Iterable[str], blocks: Iterable[Index], score: float, overlap: float, one: bool = False) -> list[list[tuple]]:
+    """What is found in each text of the items of all blocks. Texts are cut into words once,
+    blocks pass by once; with `one`, a text in which an item was found is passed over."""
+    code: defaultdict[str, int] = defaultdict()
+    code.default_factory = code.__len__
+    coded = []
+    for words in map(words_of, texts):
+        coded.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
+    word_of = list(code)
+    out: list[list[tuple]] = [[] for _ in coded]
+    for index in blocks:
+        term_of = np.fromiter(map(index.terms.get, word_of, itertools.repeat(-1)), np.int64, len(word_of))
+        for found, codes in zip(out, coded, strict=True):
+            if len(codes) and not (one and found):
+                found += index.within(codes, term_of, word_of, score, overlap, one)
+    return out
+
+
 def index_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> tuple[DataFrame, int]:
     """(block, index) and the number of blocks: each is built in a task from its items and
     the document frequencies of their words, which count all items, and is written to the
@@ -256,16 +281,17 @@ def index_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> tuple[
     split = items.withColumn("words", tokens("text"))
     longer = F.size("words") - SEGMENT_WORDS
     units = F.when(longer > 0, F.ceil(longer / SEGMENT_STRIDE) + 2).otherwise(1)
-    n, n_units, mean_words = split.agg(F.count("*"), F.sum(units), F.avg(F.size("words"))).first()
+    n, n_units, mean_words, reach = split.agg(F.count("*"), F.sum(units), F.avg(F.size("words")), F.max(F.size("words"))).first()
     n_blocks, mean_words = -(-(n_units or 0) // block_items), mean_words or 1.0
-    numbered = saved(split.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks)))), "op2-items")
+    # By row, so that one item many times over does not make one block too large.
+    numbered = saved(split.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, n_blocks)))), "op2-items")
     words = numbered.select("block", F.explode(F.array_distinct("words")).alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))
     used = saved(words.distinct().join(frequency, "word").select("block", "word", "df"), "op2-words")
 
     def build(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(((None if pd.isna(i) else int(i), t) for i, t in zip(mine["item_id"], mine["text"], strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        index = Index(rows, dict(zip(found["word"], found["df"], strict=True)), n, mean_words)
+        index = Index(rows, dict(zip(found["word"], found["df"], strict=True)), n, mean_words, reach)
         return pd.DataFrame({"block": mine["block"][:1], "index": [pickle.dumps(index)]})
 
     # A null item_id must not turn the others into floats.
@@ -274,48 +300,66 @@ def index_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> tuple[
     return saved(built, "op2-index"), n_blocks
 
 
-def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
-    """The index, a block of about block_items items and segments at a time, as it is
-    broadcast."""
+#: The blocks that a worker keeps from batch to batch and task to task, with their files' names.
+_held: dict[str, list] = {"names": [], "blocks": []}
+
+
+class Blocks:
+    """The blocks of an index as a task reads them, from files that Spark hands to each
+    executor, a later one included. A few are kept by the worker, of more only one is
+    held at a time."""
+
+    def __init__(self, names: list[str], n_blocks: int):
+        self.names, self.n_blocks = names, n_blocks
+
+    def _read(self) -> Iterator[Index]:
+        for name in self.names:
+            with pq.ParquetFile(SparkFiles.get(name)) as file:
+                for batch in file.iter_batches(1, columns=["index"]):
+                    for value in batch.column(0):
+                        yield pickle.loads(value.as_py())
+
+    def __iter__(self) -> Iterator[Index]:
+        if self.n_blocks > HELD_BLOCKS:
+            return self._read()
+        if _held["names"] != self.names:
+            _held.update(blocks=list(self._read()), names=self.names)
+        return iter(_held["blocks"])
+
+
+def handed_out(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Blocks:
+    """The index of a benchmark, as files of every executor."""
     blocks, n_blocks = index_blocks(benchmark, block_items)
-    for block in range(n_blocks):
-        for row in blocks.where(F.col("block") == block).collect():  # one, or none
-            yield pickle.loads(row["index"])
+    files = sorted(blocks.inputFiles()) if n_blocks else []
+    for path in files:
+        benchmark.sparkSession.sparkContext.addFile(path)
+    return Blocks([path.rsplit("/", 1)[1] for path in files], n_blocks)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, passage (number of its first word), score, question_overlap,
     answer_overlap: a row for each document row and item found in it."""
-    spark = docs.sparkSession
     names = ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"]
-    schema = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
     kinds = [pa.int64()] * 3 + [pa.float64()] * 3
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    out = None
-    for index in indexes(benchmark, block_items):
-        shared = spark.sparkContext.broadcast(index)
+    blocks = handed_out(benchmark, block_items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for found in shared.value.search(t.as_py(), score, overlap)]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_each = found_in((t.as_py() for t in batch.column(1)), blocks, score, overlap)
+            rows = [(d, *found) for d, all_found in zip(batch.column(0).to_pylist(), of_each, strict=True) for found in all_found]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        found = picked.mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return picked.mapInArrow(run, "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows in which no item is found, with all their columns."""
-    for index in indexes(benchmark, block_items):
-        docs = docs.where(_free_of(docs.sparkSession.sparkContext.broadcast(index), score, overlap)("text"))
-    return docs
-
+    blocks = handed_out(benchmark, block_items)
 
-def _free_of(shared, score: float, overlap: float):
     @F.pandas_udf("boolean")
     def free(texts: pd.Series) -> pd.Series:
-        return pd.Series([not (t and shared.value.search(t, score, overlap)) for t in texts], dtype=bool)
+        return pd.Series([not found for found in found_in(texts, blocks, score, overlap, one=True)], dtype=bool)
 
-    return free
+    return docs.where(free(text_or_empty()))

@@ -134,6 +134,24 @@ def test_long_texts_need_no_more_room(monkeypatch):
         assert index.search(text[:40_000]) == [w for w in want if w[0] == 7]
 
 
+def test_many_blocks_in_one_scan(spark, monkeypatch):
+    """Many more blocks than a worker keeps: the documents are read once, and the same is
+    found as with one block; one item a thousand times over is spread over blocks."""
+    rng = random.Random(31)
+    items = [(i, prose(rng, rng.randint(8, 30))) for i in range(60)] + [(7, ITEMS[0][1])] * 1000 + [(None, ITEMS[1][1]), (None, None)]
+    rows = [(i, f"{prose(rng, rng.randint(0, 200))} {rng.choice(items[:61])[1]} {prose(rng, 40)}") for i in range(40)] + [(100, None), (None, ITEMS[1][1]), (None, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    df = docs(spark, rows)
+    plan = decontamination.leaks(df, bench, block_items=20)
+    assert decontamination.index_blocks(bench, 20)[0].selectExpr("max(length(index))").first()[0] < decontamination.index_blocks(bench)[0].selectExpr("max(length(index))").first()[0] / 4
+    assert plan._jdf.queryExecution().toString().count("MapInArrow") and "Union" not in plan._jdf.queryExecution().toString()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.item_id is None, r.item_id or 0, r.passage, round(r.score, 9))
+    many, few = (sorted(map(key, decontamination.leaks(df, bench, block_items=n).collect())) for n in (20, 5_000))
+    assert many == few and len(many) > 40
+    kept = [{r.doc_id for r in decontamination.clean(df, bench, block_items=n).collect()} for n in (20, 5_000)]
+    assert kept[0] == kept[1] == {i for i, _ in rows} - {k[1] for k in many if not k[0]}
+
+
 def test_segments_cover_long_items():
     for n in (0, 1, 64, 65, 96, 97, 600):
         parts = decontamination.segments(list(map(str, range(n))))
