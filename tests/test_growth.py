@@ -26,3 +26,19 @@ def test_equal_pairs_are_worked_on_once(spark):
     found = pairs.per_distinct(paired, {0: None}, None, "last double", work).collect()
     assert seen.value == 3
     assert sorted((r.top_id, r.bot_id, r["last"]) for r in found) == sorted((t, b, float(top[-1])) for _, t, b, top, _, _ in rows)
+
+
+def test_a_merge_is_run_once_for_a_curve(spark, capsys):
+    s = spark.createDataFrame([("g", x, i, ["x"]) for i, x in enumerate("ab")], "group_id string, sequence_id string, ord int, letters array<string>")
+    e = spark.createDataFrame([("g", "a", 0, "b", 0, 0.5)], LINKS)
+    C.roc_curve(s, e, spark.createDataFrame([("g", "a:0", "a", 0), ("g", "a:0", "b", 0)], C._COLUMNS)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_a_refused_pair_of_columns_is_searched_once(monkeypatch):
+    columns, searched = graphs.Columns([2, 2]), []
+    assert columns.merge(0, 3)
+    real = graphs.Columns.behind
+    monkeypatch.setattr(graphs.Columns, "behind", lambda self, x, y: searched.append((x, y)) or real(self, x, y))
+    assert columns.merge_all([1, 1, 1], [2, 2, 2]) == [False] * 3
+    assert len(searched) == 1 and not columns.may_fit(1, 2) and not columns.may_fit(2, 1)
