@@ -42,3 +42,15 @@ def test_a_refused_pair_of_columns_is_searched_once(monkeypatch):
     monkeypatch.setattr(graphs.Columns, "behind", lambda self, x, y: searched.append((x, y)) or real(self, x, y))
     assert columns.merge_all([1, 1, 1], [2, 2, 2]) == [False] * 3
     assert len(searched) == 1 and not columns.may_fit(1, 2) and not columns.may_fit(2, 1)
+
+
+def test_small_groups_are_ranked_without_writing_their_rows(spark, monkeypatch):
+    written, real = [], shared.saved
+    monkeypatch.setattr(shared, "saved", lambda df, name: written.append(name) or real(df, name))
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(f"g{i % 7}", "a", i, "b", i, round(rng.random(), 1)) for i in range(400)], LINKS)
+    found = {tuple(r) for r in A.rank_edges(edges).collect()}
+    assert "numbered" not in written and len(found) == 400
+    order = (F.desc("score"), "seq1", "pos1", "seq2", "pos2")
+    over_ranges = shared.numbered_within(edges, "rank", "aln_id", *order, over=57)  # g0 has 58 rows, g6 57
+    assert "numbered" in written and {(*r[:6], r["rank"] + 1) for r in over_ranges.collect()} == found
