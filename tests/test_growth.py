@@ -54,3 +54,19 @@ def test_small_groups_are_ranked_without_writing_their_rows(spark, monkeypatch):
     order = (F.desc("score"), "seq1", "pos1", "seq2", "pos2")
     over_ranges = shared.numbered_within(edges, "rank", "aln_id", *order, over=57)  # g0 has 58 rows, g6 57
     assert "numbered" in written and {(*r[:6], r["rank"] + 1) for r in over_ranges.collect()} == found
+
+
+def test_small_alignments_are_placed_where_they_are_walked(spark, monkeypatch):
+    def numbered_within(*given, **named):
+        raise AssertionError("columns are numbered in a pass of their own")
+
+    columns = spark.createDataFrame([("g", "a:0", "a", 0), ("g", "a:1", "a", 1), ("g", "a:1", "b", 0), ("g", "b:1", "b", 1)], C._COLUMNS)
+    with monkeypatch.context() as m:
+        m.setattr(A, "numbered_within", numbered_within)
+        places = sorted((r.column_id, r.place) for r in A.linearize_columns(columns).collect())
+    assert places == [("a:0", 0), ("a:1", 1), ("b:1", 2)]
+    s = spark.createDataFrame([("g", "a", ["x", "yy"]), ("g", "b", ["z", "w"]), ("g", "c", [])], "group_id string, sequence_id string, letters array<string>")
+    shown = {r.sequence_id: r.row for r in A.render_alignment(columns, s, A.linearize_columns(columns)).collect()}
+    assert shown == {"a": "x \tyy\t- \t", "b": "- \tz \tw \t", "c": "- \t- \t- \t"}
+    only = s.select("group_id", "sequence_id").where("sequence_id = 'b'").withColumnRenamed("group_id", "aln_id")
+    assert [r.row for r in A.render_alignment(columns, s, A.linearize_columns(columns), only).collect()] == ["z \tw \t"]
